@@ -1,4 +1,72 @@
 """Queries of the problems for training data, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stepweave.cluster import table
+from stepweave.llm import pairs, quantiles, sampling, truncation
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return pairs.broken_pairs(*(table(spark, root, t) for t in ("training_examples", "step_results", "eval_examples", "fallback_configs")))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.truncated_outputs(table(spark, root, "step_results"), table(spark, root, "fallback_configs")).where("cut is not null").select("result_id")
+
+
+def p4_rates(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.rates(truncation.truncated_outputs(table(spark, root, "step_results"), table(spark, root, "fallback_configs")))
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    _, report = sampling.sample(table(spark, root, "eval_examples"), table(spark, root, "sample_targets"))
+    return report.where("exhausted").select("partition_name", "instruction_mode")
+
+
+def p2_report(spark: SparkSession, root: str) -> DataFrame:
+    return sampling.sample(table(spark, root, "eval_examples"), table(spark, root, "sample_targets"))[1].drop("cut", "of_cut")
+
+
+def p2_sample(spark: SparkSession, root: str) -> DataFrame:
+    return sampling.sample(table(spark, root, "eval_examples"), table(spark, root, "sample_targets"))[0]
+
+
+P5_KEYS = ["partition_name", "method", "day", "metric"]
+
+
+def p5_percentiles(spark: SparkSession, root: str) -> DataFrame:
+    rows = quantiles.measurements(*(table(spark, root, t) for t in ("step_timings", "step_results", "eval_examples")), sampling.canonical(F.col("partition_name"), sampling.PARTITIONS))
+    return quantiles.percentiles(quantiles.summaries(rows, P5_KEYS, "value"), P5_KEYS)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p4_found": p4_found, "p4_rates": p4_rates, "p5_percentiles": p5_percentiles}
+SQL: dict[str, str] = {
+    "p2_found": """
+        with named as (
+            select observation_id, regexp_replace(regexp_replace(lower(trim(partition_name)), '[ _-]+', '_', 'g'), '^idd$', 'in_distribution') as p,
+                regexp_replace(regexp_replace(regexp_replace(lower(trim(instruction_mode)), '[ _-]+', '_', 'g'), '^hl$', 'high_level'), '^ll$', 'low_level') as m
+            from eval_examples where observation_id is not null),
+        each as (select observation_id, min(p) as p, min(m) as m from named group by 1),
+        size as (select floor(count(*) / 2) as half from each),
+        cells as (select p, m, count(*) as n from each group by 1, 2)
+        select t.partition_name, t.instruction_mode from sample_targets t cross join size left join cells c on c.p = t.partition_name and c.m = t.instruction_mode
+        where coalesce(c.n, 0) < greatest(t.min_count, t.target_share * half)""",
+    "p5_percentiles": """
+        with named as (
+            select example_id, regexp_replace(regexp_replace(lower(trim(partition_name)), '[ _-]+', '_', 'g'), '^idd$', 'in_distribution') as partition_name from eval_examples),
+        res as (select r.*, n.partition_name from step_results r left join named n using (example_id)),
+        rows as (
+            select partition_name, method, cast(cast(finished_at as date) as varchar) as day, 'latency_ms' as metric, latency_ms as value from res
+            union all
+            select r.partition_name, r.method, cast(cast(t.started_at as date) as varchar), 'model_generate_ms', t.model_generate_ms from step_timings t left join res r using (result_id)),
+        ranked as (
+            select *, row_number() over w as k, count(*) over (partition by partition_name, method, day, metric) as n
+            from rows where value is not null and not isnan(value) and not isinf(value) and value >= 0
+            window w as (partition by partition_name, method, day, metric order by value))
+        select partition_name, method, day, metric, n, max(value) filter (k = greatest(1, ceil(0.5 * n - 1e-9))) as p50, max(value) filter (k = greatest(1, ceil(0.9 * n - 1e-9))) as p90,
+            max(value) filter (k = greatest(1, ceil(0.99 * n - 1e-9))) as p99, cast(0 as double) as rank_error
+        from ranked group by partition_name, method, day, metric, n""",
+}
