@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -14,9 +15,9 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Rows over at least the cluster's cores before Python work that costs much per row.
+    """Rows of a scan over at least the cluster's cores before Python work that costs much per row.
 
-    Only where the scan has fewer partitions than there are cores (a small table in one
+    For scans only: with a shuffle in df's plan, counting partitions would run it. Only where the scan has fewer partitions than there are cores (a small table in one
     file); a large table has more splits than cores, and its rows stay where they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -45,3 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stepweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df for a broadcast join if it has at most so many rows, else df itself for a shuffled one."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
