@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.cluster import table
-from stepweave.llm import pairs, quantiles, sampling, truncation
+from stepweave.llm import packing, pairs, quantiles, sampling, truncation
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -42,7 +42,15 @@ def p5_percentiles(spark: SparkSession, root: str) -> DataFrame:
     return quantiles.percentiles(quantiles.summaries(rows, P5_KEYS, "value"), P5_KEYS)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p4_found": p4_found, "p4_rates": p4_rates, "p5_percentiles": p5_percentiles}
+def p7_containers(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(table(spark, root, "documents"))
+
+
+def p7_fill(spark: SparkSession, root: str) -> DataFrame:
+    return packing.fill_report(packing.pack(table(spark, root, "documents")))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p4_found": p4_found, "p4_rates": p4_rates, "p5_percentiles": p5_percentiles, "p7_containers": p7_containers, "p7_fill": p7_fill}
 SQL: dict[str, str] = {
     "p2_found": """
         with named as (
