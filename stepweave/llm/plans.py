@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.cluster import table
-from stepweave.llm import packing, pairs, quantiles, sampling, truncation
+from stepweave.llm import overlap, packing, pairs, quantiles, sampling, truncation
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.broken_pairs(*(table(spark, root, t) for t in ("training_examples", "step_results", "eval_examples", "fallback_configs")))
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return overlap.found(table(spark, root, "episodes"))
+
+
+def p3_report(spark: SparkSession, root: str) -> DataFrame:
+    return overlap.report(table(spark, root, "episodes"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return truncation.truncated_outputs(table(spark, root, "step_results"), table(spark, root, "fallback_configs")).where("cut is not null").select("result_id")
 
@@ -50,7 +58,7 @@ def p7_fill(spark: SparkSession, root: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, root, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p4_found": p4_found, "p4_rates": p4_rates, "p5_percentiles": p5_percentiles, "p7_containers": p7_containers, "p7_fill": p7_fill}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_rates": p4_rates, "p5_percentiles": p5_percentiles, "p7_containers": p7_containers, "p7_fill": p7_fill}
 SQL: dict[str, str] = {
     "p2_found": """
         with named as (
