@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.cluster import table
-from stepweave.llm import leakage, overlap, packing, pairs, quantiles, sampling, truncation
+from stepweave.llm import leakage, overlap, packing, pairs, quantiles, sampling, sentences, truncation
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -66,7 +66,11 @@ def p8_items(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaked_items(table(spark, root, "documents"), table(spark, root, "test_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_rates": p4_rates, "p5_percentiles": p5_percentiles, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_items": p8_items}
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, root, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_rates": p4_rates, "p5_percentiles": p5_percentiles, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found}
 SQL: dict[str, str] = {
     "p2_found": """
         with named as (
