@@ -25,4 +25,3 @@ def p6_windows(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_nodes": p6_nodes, "p6_actions": p6_actions, "p6_windows": p6_windows}
-SQL: dict[str, str] = {}
