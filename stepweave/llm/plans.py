@@ -92,7 +92,7 @@ SQL: dict[str, str] = {
             select r.partition_name, r.method, cast(cast(t.started_at as date) as varchar), 'model_generate_ms', t.model_generate_ms from step_timings t left join res r using (result_id)),
         ranked as (
             select *, row_number() over w as k, count(*) over (partition by partition_name, method, day, metric) as n
-            from rows where value is not null and not isnan(value) and not isinf(value) and value >= 0
+            from rows where cast(value as varchar) not in ('nan', 'inf', '-inf') and value >= 0
             window w as (partition by partition_name, method, day, metric order by value))
         select partition_name, method, day, metric, n, max(value) filter (k = greatest(1, ceil(0.5 * n - 1e-9))) as p50, max(value) filter (k = greatest(1, ceil(0.9 * n - 1e-9))) as p90,
             max(value) filter (k = greatest(1, ceil(0.99 * n - 1e-9))) as p99, cast(0 as double) as rank_error
