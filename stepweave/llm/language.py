@@ -12,6 +12,8 @@ FUNCTION_WORDS = {
     "fr": "le la les un une des et ou de à en est sont était ce cette que pour avec par du au aux ne pas je il elle sur dans se déjà plus avant comme encore dois qui prochaine étape donc ouvre dernière puis".split(),
 }
 _ONLY = {w: [lang for lang, ws in FUNCTION_WORDS.items() if w in ws] for ws in FUNCTION_WORDS.values() for w in ws}
+# Letters that only one of these languages has.
+LETTERS = {"de": set("äöüß"), "es": set("ñáíóú"), "fr": set("çèêàùîôœ")}
 _SCRIPTS = (("ja", re.compile(r"[぀-ゟ゠-ヺー-ヿ]")), ("zh", re.compile(r"[㐀-鿿]")), ("th", re.compile(r"[฀-๿]")), ("hi", re.compile(r"[ऀ-ॿ]")))
 _WORD = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
@@ -27,6 +29,9 @@ def language(text: str) -> str | None:
     for w in _WORD.findall(text.lower()):
         for lang in (langs := _ONLY.get(w, ())):
             votes[lang] += 1 / len(langs)
+        for lang, letters in LETTERS.items():
+            if not letters.isdisjoint(w):
+                votes[lang] += 0.5
     if most >= 2 and most >= 3 * sum(votes.values()):
         return code
     (best, score), (_, second) = sorted(votes.items(), key=lambda x: -x[1])[:2]
