@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepweave.cluster import cut
 from stepweave.functions.text import MODES, PARTITIONS, canonical
 
 PHASES = (
@@ -102,6 +103,16 @@ def nearest_index(q: float) -> Column:
     return F.bround((F.col("n") - 1) * q).cast("bigint")
 
 
+def number(df: DataFrame, key: str) -> DataFrame:
+    """df with no: each row's place from 0 in the order of a unique key. Ranges of the key are numbered apart and shifted by what lies before them."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = cut(df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    ranked = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
+    return ranked.join(F.broadcast(before), "_part").withColumn("no", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
 def bootstrap(rows: DataFrame, group: str, flag: str, draws: int = 200, seed: int = 0) -> DataFrame:
     """Cluster bootstrap of an accuracy: mean and nearest-index 2.5 and 97.5 % of `draws` resamples of the groups.
 
@@ -109,10 +120,9 @@ def bootstrap(rows: DataFrame, group: str, flag: str, draws: int = 200, seed: in
     repeated anywhere; a resample has as many draws as there are groups.
     """
     sums = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col(flag), F.lit(False)).cast("int")).alias("right"))
-    # groups are numbered in order; there are far fewer than rows
-    numbered = sums.withColumn("no", F.row_number().over(Window.orderBy(group)) - 1)
-    size = sums.count()
     spark = rows.sparkSession
+    numbered = number(sums, group)
+    size = numbered.count()
     spin = spark.range(draws * size).select(F.floor(F.col("id") / size).cast("bigint").alias("draw"), F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col("id"))), 1, 12), 16, 10).cast("bigint"), F.lit(size)).alias("no"))
     weights = spin.groupBy("draw", "no").agg(F.count("*").alias("w"))
     each = weights.join(numbered, "no").groupBy("draw").agg((F.sum(F.col("w") * F.col("right")) / F.sum(F.col("w") * F.col("n"))).alias("accuracy"))

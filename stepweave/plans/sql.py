@@ -95,4 +95,17 @@ SQL: dict[str, str] = {
     "running_metrics": _RUNNING,
     "stream_metrics": _RUNNING,
     "pending_results": "select example_id from eval_examples e where not exists (select 1 from step_results r where r.example_id = e.example_id)",
+    "tool_calls": f"""with b as (select result_id, nullif(regexp_extract(raw_output, '(?is)<tool_call>\\s*(.*?)\\s*</tool_call>', 1), '') as body from step_results), j as (select result_id, case when json_valid(body) then body::json end as j from b)
+        select result_id, {_TYPE.format(t=_TYPES, c="j ->> '$.arguments.action'")} as action_type, try_cast(j ->> '$.arguments.coordinate[0]' as double) as x, try_cast(j ->> '$.arguments.coordinate[1]' as double) as y,
+        coalesce(j ->> '$.arguments.text', j ->> '$.arguments.direction', j ->> '$.arguments.app_name', j ->> '$.arguments.goal_status') as argument from j where j ->> '$.arguments.action' is not null""",
+    "runtime_views": f"with {_ACTION} select step_id, mode, case when mode = 'low_level' then step_instruction end as instruction, case when mode = 'low_level' then action_type else 'UNOBSERVED' end as action_type from typed cross join (values ('high_level'), ('low_level')) m(mode)",
+    "accuracy_pivot": f"with {_JUDGED} select part, round(avg(ok::int) filter (where mode = 'high_level'), 6) as high_level, round(avg(ok::int) filter (where mode = 'low_level'), 6) as low_level from judged group by all",
+    "best_configs": """with c as (select method, config_id, round(avg(coalesce(primary_correct, false)::int), 6) as accuracy, round(avg(generated_tokens), 4) as tokens from step_results where config_id is not null group by all)
+        select method, config_id, accuracy, tokens from c qualify row_number() over (partition by method order by accuracy desc, config_id) = 1""",
+    "phase_coverage": f"""with v as (select worker_id, {_SANE.format(c="total_e2e_step_ms")} as total, {" + ".join(f"coalesce({_SANE.format(c=c)}, 0.0)" for c in ("image_prep_ms", "message_build_ms", "total_generation_ms", "output_parse_ms"))} as parts from step_timings)
+        select worker_id, count(*) as n, round(avg((abs(parts - total) / total < 0.3)::int), 6) as covered from v where total > 0 group by all""",
+    "prompt_cost": "select example_id, greatest(1, length(prompt_text) // 4)::bigint as text_tokens, (ceil(screenshot.width / 28) * ceil(screenshot.height / 28))::bigint as visual_tokens from training_examples",
+    "shard_sizes": "select ('0x' || substr(md5(group_id), 1, 8))::bigint % 16 as shard, count(*) as n, count(distinct group_id) as n_groups from step_results where group_id is not null group by all",
+    "latency_text": f"""with m as (select method, cast(sum(cast({_SANE.format(c="latency_ms")} as decimal(30,4))) as double) / 1000 as s, round(avg(coalesce(full_model_calls = 0, false)::int), 6) as saved from step_results group by all), t as (select method, floor(s)::bigint as s, saved from m)
+        select method, printf('%dh%02dm%02ds', s // 3600, s % 3600 // 60, s % 60) as total, printf('%.2f%%', saved * 100) as saved from t""",
 }

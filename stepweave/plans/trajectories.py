@@ -10,9 +10,10 @@ from stepweave.functions import geometry as G
 from stepweave.functions import text as T
 from stepweave.operators import actions as A
 from stepweave.operators import metrics as M
+from stepweave.operators import payloads as L
 from stepweave.operators import sequence as S
 from stepweave.operators import spatial as P
-from stepweave.operators.shred import ui_nodes
+from stepweave.operators.shred import action_objects, ui_nodes
 from stepweave.sources.sinks import chat_rows
 from stepweave.streaming.metrics import running, stream_files
 
@@ -271,8 +272,86 @@ def screen_text(spark: SparkSession, root: str) -> DataFrame:
     return d.where("raw is not null").select("record_id", "step_index", T.bounded_fragments(F.decode("raw", "UTF-8")).alias("text"))
 
 
+def tool_calls(spark: SparkSession, root: str) -> DataFrame:
+    body = L.tool_call(F.col("raw_output"))
+    r = table(spark, root, "step_results").select("result_id", L.from_tool_call(body).alias("call"))
+    return r.where("call.action_type is not null").select("result_id", "call.*")
+
+
+def repaired_calls(spark: SparkSession, root: str) -> DataFrame:
+    """What can be read of calls whose end is lost."""
+    r = table(spark, root, "step_results").where("raw_output like '%<tool_call>%' and raw_output not like '%</tool_call>%'")
+    fixed = r.select("result_id", L.repaired(F.regexp_extract("raw_output", r"(?is)<tool_call>\s*(.*)$", 1)).alias("body"))
+    return fixed.where("body is not null").select("result_id", "body", L.from_tool_call(F.col("body")).alias("call")).select("result_id", "body", "call.*")
+
+
+def payload_paths(spark: SparkSession, root: str) -> DataFrame:
+    return L.key_paths(table(spark, root, "steps"), "step_id", "raw_action").groupBy("path", "kind").agg(F.count("*").alias("n"))
+
+
+def leaking_steps(spark: SparkSession, root: str) -> DataFrame:
+    return L.leaking_paths(L.key_paths(table(spark, root, "steps"), "step_id", "raw_action"))
+
+
+def runtime_views(spark: SparkSession, root: str) -> DataFrame:
+    """Each step as a model sees it in either mode: without its instruction and action in the high-level one."""
+    s = _typed(spark, root).select("step_id", "step_instruction", "action.action_type", F.explode(F.array(F.lit("high_level"), F.lit("low_level"))).alias("mode"))
+    low = F.col("mode") == "low_level"
+    return s.select("step_id", "mode", F.when(low, F.col("step_instruction")).alias("instruction"), F.when(low, F.col("action_type")).otherwise("UNOBSERVED").alias("action_type"))
+
+
+def accuracy_pivot(spark: SparkSession, root: str) -> DataFrame:
+    """Partitions by modes: shares of right steps."""
+    return _judged(spark, root).groupBy("part").pivot("mode", ["high_level", "low_level"]).agg(F.round(M.share(F.col("primary_correct")), 6))
+
+
+def best_configs(spark: SparkSession, root: str) -> DataFrame:
+    """Per method the config with the highest share of right steps (the smallest id of equal ones), and its tokens."""
+    c = table(spark, root, "step_results").where("config_id is not null").groupBy("method", "config_id").agg(F.round(M.share(F.col("primary_correct")), 6).alias("accuracy"), F.round(F.avg("generated_tokens"), 4).alias("tokens"))
+    return c.groupBy("method").agg(F.min_by(F.struct("config_id", "accuracy", "tokens"), F.struct(-F.col("accuracy"), "config_id")).alias("best")).select("method", "best.*")
+
+
+def phase_coverage(spark: SparkSession, root: str) -> DataFrame:
+    """Share of calls whose parts add up to their total within 30 %."""
+    total = M.sane(F.col("total_e2e_step_ms"))
+    parts = sum((F.coalesce(M.sane(F.col(c)), F.lit(0.0)) for c in ("image_prep_ms", "message_build_ms", "total_generation_ms", "output_parse_ms")), F.lit(0.0))
+    t = table(spark, root, "step_timings").where(total > 0)
+    return t.groupBy("worker_id").agg(F.count("*").alias("n"), F.round(F.avg((F.abs(parts - total) / total < 0.3).cast("int")), 6).alias("covered"))
+
+
+def prompt_cost(spark: SparkSession, root: str) -> DataFrame:
+    """Words and estimated tokens of prompts, and visual tokens of their screenshots."""
+    t = table(spark, root, "training_examples")
+    return t.select("example_id", F.greatest(F.lit(1), F.floor(F.length("prompt_text") / 4)).cast("bigint").alias("text_tokens"), G.visual_tokens(F.col("screenshot.width"), F.col("screenshot.height")).alias("visual_tokens"))
+
+
+def shard_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """Groups over 16 shards by a hash that any system has."""
+    shard = F.pmod(F.conv(F.substring(F.md5("group_id"), 1, 8), 16, 10).cast("bigint"), F.lit(16))
+    return table(spark, root, "step_results").where("group_id is not null").groupBy(shard.alias("shard")).agg(F.count("*").alias("n"), F.countDistinct("group_id").alias("n_groups"))
+
+
+def latency_text(spark: SparkSession, root: str) -> DataFrame:
+    """Total latency per method as text, and the share of calls it saves."""
+    m = table(spark, root, "step_results").groupBy("method").agg(F.sum(M.sane(F.col("latency_ms")).cast(M.EXACT)).cast("double").alias("ms"), F.round(M.share(F.col("full_model_calls") == 0), 6).alias("saved"))
+    return m.select("method", T.duration(F.col("ms") / 1000).alias("total"), T.percent(F.col("saved")).alias("saved"))
+
+
+def action_paths(spark: SparkSession, root: str) -> DataFrame:
+    """Depth and path of every action object from its payload's root, level by level (payloads nest a few levels deep)."""
+    nodes = action_objects(table(spark, root, "steps")).select("record_id", "node_no", "parent_no")
+    nodes.createOrReplaceTempView("stepweave_action_nodes")
+    return spark.sql("""
+        with recursive paths as (
+            select record_id, node_no, 0 as depth, cast(node_no as string) as path from stepweave_action_nodes where parent_no = -1
+            union all
+            select n.record_id, n.node_no, p.depth + 1, concat(p.path, '/', n.node_no) from stepweave_action_nodes n join paths p on n.record_id = p.record_id and n.parent_no = p.node_no)
+        select record_id, node_no, depth, path from paths""")
+
+
 QUERIES = {f.__name__: f for f in (
     accuracy_by_partition, accuracy_delta, mode_metrics, shot_metrics, phase_summary, phase_merge, phase_comparison, token_totals, call_reduction, latency_quantiles, upper_median, decode_bands, group_spread,
     task_export, micro_macro, error_audit, instruction_index, action_history, next_features, typed_into, accepted_prefix, canonical_actions, action_mix, output_calls, method_agreement, click_scales, goal_text,
     instruction_overlap, split_lookup, missing_episodes, group_sources, call_reconciliation, prompts, chat_lines, bound_clicks, node_candidates, accuracy_interval, running_metrics, stream_metrics, pending_results, screen_text,
+    tool_calls, repaired_calls, payload_paths, leaking_steps, runtime_views, accuracy_pivot, best_configs, phase_coverage, prompt_cost, shard_sizes, latency_text, action_paths,
 )}
