@@ -80,3 +80,23 @@ def farthest_points(vectors: list, share: float) -> list[int]:
         gap = np.minimum(gap, distance[i])
         gap[chosen] = -np.inf
     return sorted(chosen)
+
+
+def draft_tree(scores: DataFrame, roots: DataFrame, levels: int, per_level: int, total: int) -> DataFrame:
+    """Best nodes of a tree that grows by scores: tree_id, node, parent, depth, score.
+
+    scores: tree_id, parent, node, score (log-probability of the step); roots: tree_id, node.
+    Each level keeps the per_level nodes of the highest summed score that follow the level
+    before; of all levels the `total` best are kept, ties by node. A parent scores at least
+    as high as its children, so that a kept node's ancestors are kept.
+    """
+    level = roots.select("tree_id", "node", F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("depth"), F.lit(0.0).alias("score"))
+    grown = None
+    step = scores.select("tree_id", F.col("parent").alias("from"), F.col("node").alias("to"), F.least(F.col("score"), F.lit(0.0)).alias("gain"))
+    for depth in range(1, levels + 1):
+        below = level.withColumnRenamed("node", "from").join(step, ["tree_id", "from"]).select("tree_id", F.col("to").alias("node"), F.col("from").alias("parent"), F.lit(depth).alias("depth"), (F.col("score") + F.col("gain")).alias("score"))
+        rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "node"))
+        level = below.withColumn("rank", rank).where(F.col("rank") <= per_level).drop("rank")
+        grown = level if grown is None else grown.unionByName(level)
+    best = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "depth", "node"))
+    return grown.withColumn("rank", best).where(F.col("rank") <= total).drop("rank")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stepweave.operators import metrics as M
 from stepweave.operators.sequence import leading_true
-from stepweave.operators.spatial import bind_points, candidates, nearest, smallest_containing, with_boxes
+from stepweave.operators.spatial import bind_points, candidates, draft_tree, nearest, smallest_containing, with_boxes
 
 
 def test_exact_ranks(spark):
@@ -50,3 +50,11 @@ def test_binding_and_candidates(spark):
     held = with_boxes(nodes).where("box is not null").agg(F.sort_array(F.collect_list(F.struct(F.col("node_no").alias("pos"), "box", F.col("depth").cast("int").alias("depth"), "label"))).alias("all"))
     r = held.select(smallest_containing(F.col("all"), F.lit(15), F.lit(15)).alias("s"), nearest(F.col("all"), F.lit(200), F.lit(200)).alias("n")).first()
     assert (r.s.label, r.n.pos) == ("d", 6)
+
+
+def test_draft_tree(spark):
+    scores = spark.createDataFrame([("t", 0, 1, -0.1), ("t", 0, 2, -0.5), ("t", 0, 3, -2.0), ("t", 1, 4, -0.2), ("t", 1, 5, -3.0), ("t", 2, 6, -0.1), ("t", 4, 7, -0.1), ("u", 0, 1, -1.0)], "tree_id string, parent bigint, node bigint, score double")
+    roots = spark.createDataFrame([("t", 0), ("u", 0)], "tree_id string, node bigint")
+    got = sorted((r.tree_id, r.node, r.parent, r.depth, round(r.score, 3)) for r in draft_tree(scores, roots, 3, 2, 4).collect())
+    assert got == [("t", 1, 0, 1, -0.1), ("t", 2, 0, 1, -0.5), ("t", 4, 1, 2, -0.3), ("t", 7, 4, 3, -0.4), ("u", 1, 0, 1, -1.0)]
+    assert draft_tree(scores.limit(0), roots, 2, 2, 2).collect() == []
