@@ -128,7 +128,7 @@ class TerminalContexts:
     terminator, and the last words of those without. A text that ends openly is complete if
     its opening mostly has no terminator and its last word, names and numbers masked, ended
     at least two other such segments or is a word known from elsewhere. A text of one or two
-    words is complete if it stands alone at least five times.
+    words is complete if it stands alone at least five times and more often than it goes on.
     """
 
     def __init__(self, texts: list[str]):
@@ -137,6 +137,7 @@ class TerminalContexts:
         self.last: dict = defaultdict(Counter)
         self.known: Counter = Counter()
         self.whole: Counter = Counter()
+        self.begun: Counter = Counter()
         for text in texts:
             if not text or ending(text) == "broken":
                 continue
@@ -147,6 +148,8 @@ class TerminalContexts:
                 key = self._opening(w)
                 if len(w) <= 3:
                     self.whole[tuple(w)] += 1
+                for k in range(1, min(len(w), 4)):
+                    self.begun[tuple(w[:k])] += 1
                 if w[-1] in TERMINATORS:
                     self.closed[key] += 1
                     self.known.update(set(w[:-1]))
@@ -167,7 +170,8 @@ class TerminalContexts:
         if not w:
             return True
         if len(w) <= 2 or _SPACELESS.match(w[0]) and len(w) <= 3:
-            return self.whole[tuple(w)] > 4
+            # it stands alone at least five times, and more often than it goes on
+            return self.whole[tuple(w)] > max(4, self.begun[tuple(w)]) and (self.known[w[-1]] > 1 or not w[-1].isalpha())
         key = self._opening(w)
         if self.open[key] <= self.closed[key]:
             return self.whole[tuple(w)] > 4
@@ -178,8 +182,8 @@ _FEATURE = re.compile(r"(?P<cjk>[㐀-鿿豈-﫿])|(?P<kana>[぀-ヿ฀-๿ऀ-
 
 
 def token_features(text: str) -> list[float]:
-    """Counts from which a tokenizer's length is estimated: signs by kind, words, their quarters, digits."""
-    n = [0.0] * 10
+    """Counts from which a tokenizer's length is estimated: signs by kind, words, their quarters, digits and their groups."""
+    n = [0.0] * 13
     structured = 0
     for m in _FEATURE.finditer(text):
         kind, s = m.lastgroup, m.group()
@@ -193,6 +197,9 @@ def token_features(text: str) -> list[float]:
         elif kind == "digits":
             n[3] += 1
             n[4] += len(s)
+            n[10] += math.ceil(len(s) / 2)
+            n[11] += math.ceil(len(s) / 3)
+            n[12] += math.ceil(len(s) / 4)
         elif kind == "sign":
             n[5] += 1
             structured += s in '{}[]":<>/'
