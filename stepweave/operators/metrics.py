@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stepweave.cluster import cut
 from stepweave.functions.text import MODES, PARTITIONS, canonical
+from stepweave.operators.scoring import reduction
 
 PHASES = (
     "image_prep_ms", "message_build_ms", "total_generation_ms", "output_parse_ms", "total_e2e_step_ms", "tokenization_ms", "gpu_transfer_ms", "model_generate_ms", "output_decode_ms",
@@ -129,3 +130,45 @@ def bootstrap(rows: DataFrame, group: str, flag: str, draws: int = 200, seed: in
     low, high = int(round((draws - 1) * 0.025)), int(round((draws - 1) * 0.975))
     ranked = each.withColumn("at", F.row_number().over(Window.orderBy("accuracy", "draw")) - 1)  # as many rows as draws
     return ranked.agg(F.round(F.avg("accuracy"), 6).alias("mean"), F.round(F.max(F.when(F.col("at") == low, F.col("accuracy"))), 6).alias("low"), F.round(F.max(F.when(F.col("at") == high, F.col("accuracy"))), 6).alias("high"))
+
+
+def benchmark_bootstrap(rows: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
+    """Cluster bootstrap per benchmark: of five metrics mean, nearest-index 2.5 and 97.5 % and the one-sided 5 % bound of `draws` resamples of the groups.
+
+    rows: step_results with mode and shot_count. The primary accuracy is that of low-level
+    steps for AndroidControl, of the first shot count (as text) of the resample for LearnGUI.
+    Accepted steps are the examples that hybrid answered without a full model call: the
+    reference's own formula isn't in its sources. A metric without rows is 0. Draws are
+    those of `bootstrap`, and join sums per group; a null group is a group.
+    """
+    of = lambda m, v: F.sum(F.when(F.col("method") == m, v).otherwise(F.lit(0)))
+    ok, calls = F.coalesce(F.col("primary_correct"), F.lit(False)).cast("bigint"), F.coalesce(F.col("full_model_calls"), F.lit(0)).cast("bigint")
+    tokens = (F.coalesce(F.col("prompt_tokens"), F.lit(0)) + F.coalesce(F.col("generated_tokens"), F.lit(0))).cast("bigint")
+    ms = F.coalesce(sane(F.col("latency_ms")), F.lit(0.0)).cast(EXACT)
+    parts = {"n": F.lit(1), "right": ok, "calls": calls, "tokens": tokens, "ms": ms}
+    primary = F.when(F.col("benchmark") == "AndroidControl", F.when(F.col("mode") == "low_level", F.col("mode"))).when(F.col("benchmark") == "LearnGUI", F.concat(F.col("shot_count").cast("string"), F.lit("_shot")))
+    examples = rows.where("benchmark is not null").withColumn("part", primary).groupBy("benchmark", "group_id", "part", "example_id").agg(
+        *[of(m, v).alias(f"{m}_{k}") for m in ("baseline", "hybrid") for k, v in parts.items()], F.max((F.col("method") == "hybrid") & (F.col("full_model_calls") == 0)).alias("local")
+    )
+    kept = [f"{m}_{k}" for m in ("baseline", "hybrid") for k in parts]
+    accepted = [f"{m}_{k}" for m in ("baseline", "hybrid") for k in ("n", "right")]
+    by_part = cut(examples.groupBy("benchmark", "group_id", "part").agg(*[F.sum(k).alias(k) for k in kept], *[F.sum(F.when(F.col("local"), F.col(k)).otherwise(F.lit(0))).alias(f"local_{k}") for k in accepted]))
+    names = [*kept, *[f"local_{k}" for k in accepted]]
+    groups = number(by_part.select(F.struct("benchmark", "group_id").alias("key")).distinct(), "key").select("key.*", "no")
+    sizes = groups.groupBy("benchmark").agg(F.min("no").alias("first"), F.count("*").alias("size")).collect()  # a row a benchmark
+    spark = rows.sparkSession
+    spin = spark.createDataFrame([], "benchmark string, draw bigint, no bigint")
+    for benchmark, first, size in sizes:
+        place = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col("id"))), 1, 12), 16, 10).cast("bigint"), F.lit(size))
+        spin = spin.unionByName(spark.range(draws * size).select(F.lit(benchmark).alias("benchmark"), F.floor(F.col("id") / size).cast("bigint").alias("draw"), (F.lit(first) + place).alias("no")))
+    weights = spin.groupBy("benchmark", "draw", "no").agg(F.count("*").alias("w")).join(groups.select("no", "group_id"), "no")
+    sums = by_part.withColumnRenamed("benchmark", "b").withColumnRenamed("group_id", "g")
+    drawn = weights.join(sums, (F.col("benchmark") == F.col("b")) & F.col("group_id").eqNullSafe(F.col("g"))).groupBy("benchmark", "draw", "part").agg(*[F.sum(F.col("w") * F.col(k)).alias(k) for k in names])
+    mean = lambda m, p="": F.coalesce(F.try_divide(F.col(f"{p}{m}_right"), F.col(f"{p}{m}_n")), F.lit(0.0))
+    total = drawn.withColumn("delta", mean("hybrid") - mean("baseline")).groupBy("benchmark", "draw").agg(F.coalesce(F.min_by("delta", "part"), F.lit(0.0)).alias("primary_accuracy_delta"), *[F.sum(k).cast("double").alias(k) for k in names])
+    less = lambda k: reduction(F.col(f"hybrid_{k}"), F.col(f"baseline_{k}"))
+    metrics = {"primary_accuracy_delta": F.col("primary_accuracy_delta"), "full_model_call_reduction": less("calls"), "total_token_reduction": less("tokens"), "latency_reduction": less("ms"), "accepted_step_accuracy_delta": mean("hybrid", "local_") - mean("baseline", "local_")}
+    each = total.select("benchmark", "draw", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metrics.items()])).alias("e")).select("benchmark", "draw", "e.*")
+    ranked = each.withColumn("at", F.row_number().over(Window.partitionBy("benchmark", "metric").orderBy("value", "draw")) - 1)  # as many rows as draws
+    bound = lambda q: F.round(F.max(F.when(F.col("at") == round((draws - 1) * q), F.col("value"))), 6)
+    return ranked.groupBy("benchmark", "metric").agg(F.round(F.avg("value"), 6).alias("mean"), bound(0.025).alias("lower"), bound(0.975).alias("upper"), bound(0.05).alias("lower_one_sided_95"))

@@ -254,6 +254,13 @@ def accuracy_interval(spark: SparkSession, root: str) -> DataFrame:
     return M.bootstrap(table(spark, root, "step_results"), "group_id", "primary_correct")
 
 
+def benchmark_intervals(spark: SparkSession, root: str) -> DataFrame:
+    """The reference's evaluation statistics: five metrics per benchmark over 1,000 resamples."""
+    shots = table(spark, root, "eval_examples").groupBy("example_id").agg(F.min("shot_count").alias("shot_count"))
+    r = table(spark, root, "step_results").withColumn("mode", T.canonical(F.col("instruction_mode"), T.MODES))
+    return M.benchmark_bootstrap(r.join(shots, "example_id", "left"))
+
+
 def running_metrics(spark: SparkSession, root: str) -> DataFrame:
     return running(table(spark, root, "step_results"))
 
@@ -352,6 +359,6 @@ def action_paths(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     accuracy_by_partition, accuracy_delta, mode_metrics, shot_metrics, phase_summary, phase_merge, phase_comparison, token_totals, call_reduction, latency_quantiles, upper_median, decode_bands, group_spread,
     task_export, micro_macro, error_audit, instruction_index, action_history, next_features, typed_into, accepted_prefix, canonical_actions, action_mix, output_calls, method_agreement, click_scales, goal_text,
-    instruction_overlap, split_lookup, missing_episodes, group_sources, call_reconciliation, prompts, chat_lines, bound_clicks, node_candidates, accuracy_interval, running_metrics, stream_metrics, pending_results, screen_text,
+    instruction_overlap, split_lookup, missing_episodes, group_sources, call_reconciliation, prompts, chat_lines, bound_clicks, node_candidates, accuracy_interval, benchmark_intervals, running_metrics, stream_metrics, pending_results, screen_text,
     tool_calls, repaired_calls, payload_paths, leaking_steps, runtime_views, accuracy_pivot, best_configs, phase_coverage, prompt_cost, shard_sizes, latency_text, action_paths,
 )}

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from stepweave.operators import metrics as M
@@ -58,3 +59,46 @@ def test_draft_tree(spark):
     got = sorted((r.tree_id, r.node, r.parent, r.depth, round(r.score, 3)) for r in draft_tree(scores, roots, 3, 2, 4).collect())
     assert got == [("t", 1, 0, 1, -0.1), ("t", 2, 0, 1, -0.5), ("t", 4, 1, 2, -0.3), ("t", 7, 4, 3, -0.4), ("u", 1, 0, 1, -1.0)]
     assert draft_tree(scores.limit(0), roots, 2, 2, 2).collect() == []
+
+
+def test_benchmark_bootstrap(spark):
+    """Against resamples of the rows themselves, with the same draws."""
+    import hashlib
+
+    rng = random.Random(3)
+    data, example = [], 0
+    for b, groups in (("AndroidControl", ["a", "b", "c", None, "d"]), ("LearnGUI", ["a", "x", "y"])):
+        for g in groups:
+            for _ in range(rng.randrange(2, 9)):
+                example += 1
+                mode, shot = rng.choice(["high_level", "low_level", None]), rng.choice([None, 2, 10]) if g != "x" else 1
+                for m in ("baseline", "hybrid", "hybrid")[: rng.choice([2, 2, 3])]:
+                    data.append((example, b, g, mode, shot if b == "LearnGUI" else None, m, rng.choice([0, 1, None]), rng.randrange(50), rng.choice([None, 7]), rng.choice([True, False, None]), rng.choice([None, -1.0, 12.5, float("nan")])))
+    names = "example_id bigint, benchmark string, group_id string, mode string, shot_count int, method string, full_model_calls int, prompt_tokens bigint, generated_tokens bigint, primary_correct boolean, latency_ms double"
+    got = {(r.benchmark, r.metric): tuple(r)[2:] for r in M.benchmark_bootstrap(spark.createDataFrame(data, names)).collect()}
+
+    def acc(rows, m):
+        own = [bool(r[9]) for r in rows if r[5] == m]
+        return sum(own) / len(own) if own else 0.0
+
+    def less(rows, value):
+        base, hybrid = (sum(value(r) for r in rows if r[5] == m) for m in ("baseline", "hybrid"))
+        return 1 - hybrid / base if base > 0 else 0.0
+
+    want = {}
+    for b in ("AndroidControl", "LearnGUI"):
+        keys = sorted({r[2] for r in data if r[1] == b}, key=lambda g: (g is not None, g))
+        size, samples = len(keys), []
+        for d in range(1000):
+            rows = [r for p in range(size) for r in data if r[1] == b and r[2] == keys[int(hashlib.md5(f"0-{d * size + p}".encode()).hexdigest()[:12], 16) % size]]
+            shots = sorted({f"{r[4]}_shot" for r in rows if r[4] is not None})
+            first = [r for r in rows if (r[3] == "low_level" if b == "AndroidControl" else shots and f"{r[4]}_shot" == shots[0])]
+            local = {r[0] for r in rows if r[5] == "hybrid" and r[6] == 0}
+            taken = [r for r in rows if r[0] in local]
+            samples.append((acc(first, "hybrid") - acc(first, "baseline"), less(rows, lambda r: r[6] or 0), less(rows, lambda r: r[7] + (r[8] or 0)), less(rows, lambda r: r[10] if r[10] == 12.5 else 0), acc(taken, "hybrid") - acc(taken, "baseline")))
+        for i, metric in enumerate(("primary_accuracy_delta", "full_model_call_reduction", "total_token_reduction", "latency_reduction", "accepted_step_accuracy_delta")):
+            own = sorted(s[i] for s in samples)
+            want[b, metric] = (sum(own) / 1000, own[25], own[974], own[50])
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=2e-6), k
