@@ -268,6 +268,37 @@ def action_objects(steps: DataFrame, leaves: bool = False) -> DataFrame:
     return flatten(spread(steps.select("step_id", "step_index", "raw_action")), "step_id", "step_index", "raw_action", ACTION, leaves)
 
 
+def action_paths(steps: DataFrame, most: int = 1 << 24) -> DataFrame:
+    """Of every action object of raw_action: record_id, node_no, depth from its payload's root, and path of numbers from there.
+
+    A parent stands before what it holds, so that one pass over a payload does for any depth
+    and any number of rows. A batch ends after `most` characters of paths.
+    """
+    names, types = ["record_id", "node_no", "depth", "path"], [pa.int64(), pa.int32(), pa.int32(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, types)], names=names)
+        for batch in batches:
+            rows: list[tuple] = []
+            size = 0
+            for k, p in zip(*(c.to_pylist() for c in batch.columns)):
+                above: list[tuple[int, str]] = []  # from the root to the latest object
+                for _, i, parent, _ in assemble(shred(p, ACTION), ACTION):
+                    while above and above[-1][0] != parent:
+                        above.pop()
+                    path = f"{above[-1][1]}/{i}" if above else str(i)
+                    rows.append((k, i, len(above), path))
+                    above.append((i, path))
+                    size += len(path)
+                    if size >= most or len(rows) >= 50_000:
+                        yield pack(rows)
+                        rows, size = [], 0
+            yield pack(rows)
+
+    payloads = spread(steps.select("step_id", "raw_action")).where("raw_action is not null")
+    return payloads.select(F.col("step_id").cast("bigint").alias("k"), F.col("raw_action").alias("p")).mapInArrow(run, "record_id bigint, node_no int, depth int, path string")
+
+
 def ui_windows(records: DataFrame) -> DataFrame:
     """Flat windows: record_id, step_index, window_no, title, type, n_nodes (readable ones)."""
     shape = UI_TREE

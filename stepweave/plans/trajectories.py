@@ -13,7 +13,8 @@ from stepweave.operators import metrics as M
 from stepweave.operators import payloads as L
 from stepweave.operators import sequence as S
 from stepweave.operators import spatial as P
-from stepweave.operators.shred import action_objects, ui_nodes
+from stepweave.operators.shred import action_paths as object_paths
+from stepweave.operators.shred import ui_nodes
 from stepweave.sources.sinks import chat_rows
 from stepweave.streaming.metrics import running, stream_files
 
@@ -345,15 +346,8 @@ def latency_text(spark: SparkSession, root: str) -> DataFrame:
 
 
 def action_paths(spark: SparkSession, root: str) -> DataFrame:
-    """Depth and path of every action object from its payload's root, level by level (payloads nest a few levels deep)."""
-    nodes = action_objects(table(spark, root, "steps")).select("record_id", "node_no", "parent_no")
-    nodes.createOrReplaceTempView("stepweave_action_nodes")
-    return spark.sql("""
-        with recursive paths as (
-            select record_id, node_no, 0 as depth, cast(node_no as string) as path from stepweave_action_nodes where parent_no = -1
-            union all
-            select n.record_id, n.node_no, p.depth + 1, concat(p.path, '/', n.node_no) from stepweave_action_nodes n join paths p on n.record_id = p.record_id and n.parent_no = p.node_no)
-        select record_id, node_no, depth, path from paths""")
+    """Depth and path of every action object from its payload's root, from its levels."""
+    return object_paths(table(spark, root, "steps"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 
-from stepweave.operators.shred import ACTION, UI_TREE, _loads_deep, action_objects, assemble, content, shred, ui_nodes, ui_windows
+from stepweave.operators.shred import ACTION, UI_TREE, _loads_deep, action_objects, action_paths, assemble, content, shred, ui_nodes, ui_windows
 
 
 def walk(document):
@@ -90,3 +90,14 @@ def test_tables(spark):
     assert ui_nodes(df.limit(0)).collect() == []
     steps = spark.createDataFrame([(7, None, '"{\\"action_type\\": \\"wait\\"}"'), (8, 2, None)], "step_id bigint, step_index int, raw_action string")
     assert [tuple(r) for r in action_objects(steps).collect()] == [(7, None, 0, 0, -1)]
+
+
+def test_action_paths(spark):
+    """Deeper than a recursive query goes by default, siblings at several levels, and batches cut within a payload."""
+    deep = '{"action_type": "a", "actions": [' * 300 + '{"action_type": "a"}' + "]}" * 300
+    wide = '{"actions": [{"action_type": "a", "actions": [{"action_type": "b", "actions": [{"action_type": "c"}]}, {"action_type": "d"}]}, {"x": 1, "actions": {"action_type": "e"}}]}'
+    steps = spark.createDataFrame([(1, deep), (2, wide), (3, None), (4, "no")], "step_id bigint, raw_action string")
+    for most in (1 << 24, 5):
+        got = sorted(tuple(r) for r in action_paths(steps, most).collect())
+        assert [r for r in got if r[0] == 1] == [(1, i, i, "/".join(map(str, range(i + 1)))) for i in range(301)]
+        assert [r[1:] for r in got if r[0] > 1] == [(0, 0, "0"), (1, 1, "0/1"), (2, 2, "0/1/2"), (3, 1, "0/3"), (4, 0, "4")]
