@@ -15,6 +15,9 @@ from stepweave.functions.text import clean, normalize, overlap_f1, tokens
 # Widgets that only hold others, and widgets that tell something without a text.
 CONTAINERS = ("framelayout", "linearlayout", "relativelayout", "recyclerview", "scrollview", "viewgroup", "view")
 INFORMATIVE = ("button", "imagebutton", "checkbox", "switch", "radiobutton", "edittext", "seekbar", "spinner")
+#: The reference's own sets, as it compares them: its containers have underscores, which only `view` does without.
+STORED_CONTAINERS = ("frame_layout", "linear_layout", "relative_layout", "view", "view_group")
+STORED_INFORMATIVE = ("button", "checkbox", "checkedtextview", "edittext", "imagebutton", "imageview", "radiobutton", "recyclerview", "scrollview", "seekbar", "spinner", "switch", "tabwidget", "textview", "webview")
 
 
 def _yes(flag: Column) -> Column:
@@ -62,7 +65,7 @@ def second_benchmark(truth: Column, predicted: Column, width: Column) -> Column:
     return _yes(truth["type"] == predicted["type"]) & rule
 
 
-def keeps_node(node: Column, screen_area: Column) -> Column:
+def keeps_node(node: Column, screen_area: Column, containers: tuple[str, ...] = CONTAINERS, informative: tuple[str, ...] = INFORMATIVE) -> Column:
     """Whether a UI node may be a candidate.
 
     node: box, visible, clickable, editable, scrollable, checkable (booleans), text,
@@ -74,7 +77,7 @@ def keeps_node(node: Column, screen_area: Column) -> Column:
     active = F.coalesce(node["clickable"], F.lit(False)) | F.coalesce(node["editable"], F.lit(False)) | F.coalesce(node["scrollable"], F.lit(False)) | F.coalesce(node["checkable"], F.lit(False))
     text, description, widget = clean(node["text"]), clean(node["description"]), F.lower(F.coalesce(node["widget"], F.lit("")))
     silent = text.isNull() & description.isNull()
-    passive_ok = ~((silent & node["view_id"].isNull()) | (ratio > 0.60) | widget.isin(*CONTAINERS) | _yes(F.length(text) > 96) | (silent & ~widget.isin(*INFORMATIVE)))
+    passive_ok = ~((silent & node["view_id"].isNull()) | (ratio > 0.60) | widget.isin(*containers) | _yes(F.length(text) > 96) | (silent & ~widget.isin(*informative)))
     return strict_box(node["box"]).isNotNull() & F.coalesce(node["visible"], F.lit(True)) & (ratio < 0.95) & (active | passive_ok)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stepweave.functions.geometry import area, contains
 from stepweave.functions.text import clean, view_id_leaf, widget_leaf
+from stepweave.operators.scoring import STORED_CONTAINERS, STORED_INFORMATIVE, keeps_node
 
 BOX = "l int, t int, r int, b int"
 
@@ -44,20 +45,36 @@ def bind_points(points: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFra
     return points.join(best, "point_id", "left").select("point_id", *keys, "x", "y", F.col("best.area").alias("area"), F.col("best.label").alias("label"), F.col("best.node_no").alias("node_no"))
 
 
-def candidates(nodes: DataFrame, most: int = 128) -> DataFrame:
-    """Per screen the `most` best nodes: first of each (box, label, role), actionable before labelled before small before deep, then in order.
+def candidates(nodes: DataFrame, most: int = 128, stored: int = 192, screens: DataFrame | None = None) -> DataFrame:
+    """Per screen the `most` best of its `stored` best nodes: actionable before named before small before deep, then in order.
 
-    Full-screen boxes (0.95 of the largest) and invisible nodes are no candidates.
+    Stored are nodes that keeps_node keeps, the first of each (box, text, description,
+    class, view id); of those the best of each (box, name, role with its flags) is a
+    candidate. screens: record_id, step_index, width, height; a screen of unknown size takes
+    no node for large. Without screens its size is that of the farthest corner of a visible
+    node.
     """
     screen = ["record_id", "step_index"]
-    n = with_boxes(nodes).where("box is not null and coalesce(visible, 'true') <> 'false'").withColumn("role", widget_leaf(F.col("class_name"))).withColumn("area", area(F.col("box")))
-    per_screen = Window.partitionBy(*screen)
-    n = n.withColumn("screen", F.max(F.col("box.r").cast("bigint") * F.col("box.b")).over(per_screen)).where("area < 0.95 * screen and area > 0")
-    first = F.row_number().over(Window.partitionBy(*screen, "bbox", "label", "role").orderBy("window_no", "node_no"))
-    n = n.withColumn("first", first).where("first = 1")
-    actionable = (F.coalesce(F.col("clickable"), F.lit("")) == "true") | (F.coalesce(F.col("scrollable"), F.lit("")) == "true") | (F.coalesce(F.col("editable"), F.lit("")) == "true")
-    order = Window.partitionBy(*screen).orderBy(actionable.desc(), F.col("label").isNotNull().desc(), "area", F.expr("try_cast(depth as int)").desc_nulls_last(), "window_no", "node_no")
-    return n.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(*screen, "window_no", "node_no", "label", "role", "area", "rank")
+    on = lambda c: F.coalesce(F.col(c) == "true", F.lit(False)) if c in nodes.columns else F.lit(False)
+    n = with_boxes(nodes).where("box is not null").withColumn("role", widget_leaf(F.col("class_name"))).withColumn("area", area(F.col("box")))
+    if screens is None:
+        seen = F.when(F.coalesce(F.col("visible"), F.lit("true")) != "false", F.col("box.r").cast("bigint") * F.col("box.b"))
+        n = n.withColumn("screen", F.max(seen).over(Window.partitionBy(*screen)))
+    else:
+        n = n.join(screens.select(*screen, F.when((F.col("width") > 0) & (F.col("height") > 0), F.col("width").cast("bigint") * F.col("height")).alias("screen")), screen, "left")
+    text, description, class_name, view_id = clean(F.col("text")), clean(F.col("content_description")), clean(F.col("class_name")), view_id_leaf(clean(F.col("view_id_resource_name")))
+    flags = ("editable", "clickable", "scrollable", "checkable", "checked")
+    parts = F.array_distinct(F.array_compact(F.array("t", "d", "v")))
+    n = n.withColumns({"t": text, "d": description, "c": class_name, "v": F.rtrim(F.when(~view_id.startswith("gbs."), view_id)), "leaf": F.lower(widget_leaf(class_name)), **{f"is_{k}": on(k) for k in flags}})
+    node = F.struct("box", (F.coalesce(F.col("visible"), F.lit("true")) != "false").alias("visible"), *[F.col(f"is_{k}").alias(k) for k in flags[:4]], F.col("t").alias("text"), F.col("d").alias("description"), F.col("v").alias("view_id"), F.col("leaf").alias("widget"))
+    n = n.where(keeps_node(node, F.col("screen"), STORED_CONTAINERS, STORED_INFORMATIVE))
+    n = n.withColumn("first", F.row_number().over(Window.partitionBy(*screen, "box", "t", "d", "c", "v").orderBy("window_no", "node_no"))).where("first = 1")
+    n = n.withColumn("name", F.nullif(F.rtrim(F.substring(F.array_join(F.slice(parts, 1, 2), " | "), 1, 160)), F.lit(""))).withColumn("kind", F.concat_ws(" ", "leaf", *[F.when(F.col(f"is_{k}"), F.lit(k)) for k in flags]))
+    actionable = F.col("is_editable") | F.col("is_clickable") | F.col("is_scrollable") | F.col("is_checkable")
+    size = F.when(F.col("screen") > 0, F.col("area")).otherwise(F.lit(0))
+    n = n.withColumn("place", F.row_number().over(Window.partitionBy(*screen).orderBy(actionable.desc(), F.col("name").isNotNull().desc(), size, F.coalesce(F.expr("try_cast(depth as int)"), F.lit(0)).desc(), "window_no", "node_no"))).where(F.col("place") <= stored)
+    n = n.withColumn("first", F.row_number().over(Window.partitionBy(*screen, "box", "name", "kind").orderBy("place"))).where("first = 1")
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy(*screen).orderBy("place"))).where(F.col("rank") <= most).select(*screen, "window_no", "node_no", "label", "role", "area", "rank")
 
 
 def farthest_points(vectors: list, share: float) -> list[int]:

@@ -248,7 +248,10 @@ def bound_clicks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def node_candidates(spark: SparkSession, root: str) -> DataFrame:
-    return P.candidates(ui_nodes(table(spark, root, "android_records"), leaves=True))
+    records = table(spark, root, "android_records")
+    sizes = records.select("record_id", F.posexplode(F.arrays_zip("screenshot_widths", "screenshot_heights")).alias("step_index", "size"))
+    screens = sizes.select("record_id", "step_index", F.col("size.screenshot_widths").alias("width"), F.col("size.screenshot_heights").alias("height"))
+    return P.candidates(ui_nodes(records, leaves=True), screens=screens)
 
 
 def accuracy_interval(spark: SparkSession, root: str) -> DataFrame:

@@ -102,3 +102,24 @@ def test_benchmark_bootstrap(spark):
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=2e-6), k
+
+
+def test_stored_nodes(spark):
+    """Filter, both dedupes and both cuts, against the reference's steps in plain Python."""
+    names = NODES + ", checkable string"
+    big, box = (0, 0, 80, 80), lambda i: (10, 10, 20 + i, 20)
+    of = lambda no, where, text=None, **more: tuple({**dict(zip("record_id step_index window_no node_no bbox text content_description view_id_resource_name class_name visible clickable scrollable editable depth checkable".split(), node(no, where, text) + (None,))), **more}.values())
+    rows = [
+        of(0, box(0)), of(1, box(1), "x" * 97), of(2, big, "passive"), of(3, big, "active", clickable="true"), of(4, box(2), "v", class_name="android.view.View"), of(5, box(3), view_id_resource_name="a:id/b"),
+        of(6, box(4), view_id_resource_name="a:id/b", class_name="android.widget.ImageView"), of(7, box(5), "same", clickable="true"), of(8, box(5), "same"), of(9, box(5), "same", content_description="other", clickable="true"),
+        of(10, box(6), checkable="true"), of(11, box(0), "named"), of(12, box(7), "hidden", visible="false"),
+    ]
+    screens = spark.createDataFrame([(1, 0, 100, 100)], "record_id bigint, step_index int, width bigint, height bigint")
+    got = [r.node_no for r in candidates(spark.createDataFrame(rows, names), screens=screens).orderBy("rank").collect()]
+    assert got == [7, 9, 3, 10, 11, 6]
+    many = spark.createDataFrame([of(i, box(i), "t", clickable=None) for i in range(300)], names)
+    twins = spark.createDataFrame([of(1000 + i, box(i % 100), "u", view_id_resource_name=f"p{i // 100}:id/{'ab'[i // 100]}", content_description="d", clickable="true") for i in range(200)], names)
+    assert [r.node_no for r in candidates(many, screens=screens).orderBy("rank").collect()] == list(range(128))
+    # 200 differ by view id; 192 are stored, pairs of equal names in a row
+    assert candidates(twins, screens=screens).count() == 96
+    assert candidates(many.unionByName(twins), screens=screens).count() == 96
