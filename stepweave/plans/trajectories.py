@@ -116,11 +116,22 @@ def micro_macro(spark: SparkSession, root: str) -> DataFrame:
     return g.withColumn("differs", F.abs(F.col("micro") - F.col("macro")) > 0.002)
 
 
-def error_audit(spark: SparkSession, root: str) -> DataFrame:
-    """The first 50 rows that baseline got right and hybrid wrong, in order; the limit is the report's."""
+def _lost(spark: SparkSession, root: str) -> DataFrame:
+    """Examples that baseline got right and hybrid wrong."""
     r = table(spark, root, "step_results").select("example_id", "method", "result_id", "primary_correct")
     side = lambda m: r.where(F.col("method") == m).groupBy("example_id").agg(F.min("result_id").alias(f"{m}_id"), F.min("primary_correct").alias(f"{m}_ok"))
-    return side("baseline").join(side("hybrid"), "example_id").where("baseline_ok and not hybrid_ok").select("example_id", "baseline_id", "hybrid_id").orderBy("example_id").limit(50)
+    return side("baseline").join(side("hybrid"), "example_id").where("baseline_ok and not hybrid_ok").select("example_id", "baseline_id", "hybrid_id")
+
+
+def error_audit(spark: SparkSession, root: str) -> DataFrame:
+    """The first 50 rows that baseline got right and hybrid wrong, in order; the limit is the report's."""
+    return _lost(spark, root).orderBy("example_id").limit(50)
+
+
+def error_audit_counted(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of error_audit, each with the count of all such examples; with none, one row of the count 0."""
+    lost = _lost(spark, root)
+    return lost.agg(F.count("*").alias("n_all")).join(lost.orderBy("example_id").limit(50), how="left").select("example_id", "baseline_id", "hybrid_id", "n_all")
 
 
 def instruction_index(spark: SparkSession, root: str) -> DataFrame:
@@ -355,7 +366,7 @@ def action_paths(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     accuracy_by_partition, accuracy_delta, mode_metrics, shot_metrics, phase_summary, phase_merge, phase_comparison, token_totals, call_reduction, latency_quantiles, upper_median, decode_bands, group_spread,
-    task_export, micro_macro, error_audit, instruction_index, action_history, next_features, typed_into, accepted_prefix, canonical_actions, action_mix, output_calls, method_agreement, click_scales, goal_text,
+    task_export, micro_macro, error_audit, error_audit_counted, instruction_index, action_history, next_features, typed_into, accepted_prefix, canonical_actions, action_mix, output_calls, method_agreement, click_scales, goal_text,
     instruction_overlap, split_lookup, missing_episodes, group_sources, call_reconciliation, prompts, chat_lines, bound_clicks, node_candidates, accuracy_interval, benchmark_intervals, running_metrics, stream_metrics, pending_results, screen_text,
     tool_calls, repaired_calls, payload_paths, leaking_steps, runtime_views, accuracy_pivot, best_configs, phase_coverage, prompt_cost, shard_sizes, latency_text, action_paths,
 )}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stepweave.operators import metrics as M
 from stepweave.operators.sequence import leading_true
 from stepweave.operators.spatial import bind_points, candidates, draft_tree, nearest, smallest_containing, with_boxes
+from stepweave.plans.trajectories import QUERIES
 
 
 def test_exact_ranks(spark):
@@ -123,3 +124,13 @@ def test_stored_nodes(spark):
     # 200 differ by view id; 192 are stored, pairs of equal names in a row
     assert candidates(twins, screens=screens).count() == 96
     assert candidates(many.unionByName(twins), screens=screens).count() == 96
+
+
+def test_error_audit_counted(spark, tmp_path):
+    data = [(i, m, 2 * i + j, ok) for i in range(70) for j, (m, ok) in enumerate((("baseline", True), ("hybrid", i % 7 == 0)))]
+    df = spark.createDataFrame(data, "example_id bigint, method string, result_id bigint, primary_correct boolean")
+    for name, rows in (("all", df), ("none", df.where("primary_correct"))):
+        rows.write.parquet(f"{tmp_path}/{name}/step_results.parquet")
+    got = sorted(tuple(r) for r in QUERIES["error_audit_counted"](spark, f"{tmp_path}/all").collect())
+    assert got == [(i, 2 * i, 2 * i + 1, 60) for i in range(70) if i % 7][:50]
+    assert [tuple(r) for r in QUERIES["error_audit_counted"](spark, f"{tmp_path}/none").collect()] == [(None, None, None, 0)]
