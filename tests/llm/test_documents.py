@@ -78,6 +78,14 @@ def test_overlap(spark):
     assert overlap.found(df.limit(0)).collect() == []
 
 
+def test_short_goals_meet(spark):
+    """A sign left out takes a goal of at most five fingerprints to another size of selections."""
+    pairs = [("打 开 蓝 牙 灯", "打 开 蓝 牙"), ("关 闭 网 络", "关 闭 网")]
+    rows = [(words, "", side == 0, side == 1) for pair in pairs for side, words in enumerate(pair)]
+    classes = spark.createDataFrame(rows, "words string, numbers string, in_train boolean, in_held boolean")
+    assert sorted((r.words_a, r.words_b) for r in overlap.class_pairs(classes).collect()) == sorted(pairs)
+
+
 def test_overlap_like_brute_force(spark):
     rng = random.Random(5)
     names = ["".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.choice([2, 3]))) for _ in range(30)]
