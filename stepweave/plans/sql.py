@@ -3,7 +3,7 @@
 _CANON = "regexp_replace(lower(trim({c})), '[\\s_-]+', '_', 'g')"
 _PART = "case " + _CANON.format(c="partition_name") + " when 'idd' then 'in_distribution' when 'in_distribution' then 'in_distribution' when 'app_unseen' then 'app_unseen' when 'task_unseen' then 'task_unseen' when 'category_unseen' then 'category_unseen' end"
 _MODE = "case " + _CANON.format(c="r.instruction_mode") + " when 'hl' then 'high_level' when 'high_level' then 'high_level' when 'll' then 'low_level' when 'low_level' then 'low_level' end"
-_SPLIT = "case " + _CANON.format(c="split") + " when 'train' then 'train' when 'training' then 'train' when 'val' then 'validation' when 'validation' then 'validation' when 'test' then 'test' end"
+_SPLIT = "case " + _CANON.format(c="split") + " when 'train' then 'train' when 'training' then 'train' when 'val' then 'validation' when 'valid' then 'validation' when 'validation' then 'validation' when 'dev' then 'validation' when 'test' then 'test' when 'testing' then 'test' end"
 # NaN is told by its text: a filter by isnan() is answered from the file's statistics, which leave NaN out
 _SANE = "case when cast({c} as varchar) <> 'nan' and {c} >= 0 and {c} < 1e12 then {c} end"
 _JUDGED = f"""labels as (select example_id, coalesce({_PART}, 'in_distribution') as part, shot_count from eval_examples),
