@@ -86,23 +86,59 @@ def test_short_goals_meet(spark):
     assert sorted((r.words_a, r.words_b) for r in overlap.class_pairs(classes).collect()) == sorted(pairs)
 
 
-def test_overlap_like_brute_force(spark):
+TEMPLATES = {
+    "add": ["Open {app} and add {a} {b} to the list for {d}", "For {d}, add {a} {b} to the list; open {app} first please", "could you launch {app} and put {a} {b} to the list for {d}"],
+    "find": ["Find {a} {b} in {app} and share the top 3 results by {d}", "In {app}, look up {a} {b} and send round the top 3 results by {d}, thanks", "search {a} {b} in {app} share the top 3 results by {d}"],
+    "delete": ["Delete {a} {b} in {app} on {d}", "on {d} delete {a} {b} in {app}, please", "I want to delete {a} {b} in {app} on {d}"],
+}
+
+
+def test_overlap_like_the_tasks(spark):
+    """All pairs of goals that were written from one task, and no others."""
     rng = random.Random(5)
-    names = ["".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.choice([2, 3]))) for _ in range(30)]
+    names = ["".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(16)]
     goals = []
-    for i in range(300):
-        a, b, app, day = rng.choice(names[:8]), rng.choice(names[8:16]), rng.choice(["Bankery", "Podbarn"]), rng.choice(["Monday", "Friday"])
-        text = rng.choice(["Open {p} and add {a} {b} to the list for {d}", "For {d}, add {a} {b} to the list; open {p} first please"]).format(p=app, a=a, b=b, d=day)
+    for i in range(500):
+        task = (rng.choice(list(TEMPLATES)), rng.choice(names[:8]), rng.choice(names[8:]), rng.choice(["Bankery", "Podbarn"]), rng.choice(["Monday", "Friday"]))
+        text = rng.choice(TEMPLATES[task[0]]).format(a=task[1], b=task[2], app=task[3], d=task[4])
         if rng.random() < 0.3:
-            at = rng.randrange(5, len(text) - 5)
-            text = text[:at] + text[at + 1] + text[at] + text[at + 2 :]
-        goals.append((str(i), rng.choice(["train", "test"]), text, "s"))
-    got = {(r.episode_a, r.episode_b) for r in overlap.found(spark.createDataFrame(goals, "episode_id string, split string, goal string, source string")).collect()}
-    contents = {i: overlap.content(t) for i, _, t, _ in goals}
-    want = {(min(i, j), max(i, j)) for i, s, _, _ in goals for j, z, _, _ in goals if s == "train" and z == "test" and contents[i][1] == contents[j][1] and overlap.aligned(contents[i][0], contents[j][0])}
+            word = rng.choice([w for w in (task[1], task[2], task[3], task[4])])
+            at = rng.randrange(1, len(word) - 2)
+            text = text.replace(word, word[:at] + word[at + 1] + word[at] + word[at + 2 :], 1)
+        goals.append((str(i), rng.choice(["train", "test"]), text, "s", task))
+    got = {(r.episode_a, r.episode_b) for r in overlap.found(spark.createDataFrame([g[:4] for g in goals], "episode_id string, split string, goal string, source string")).collect()}
+    want = {(min(i, j), max(i, j)) for i, s, _, _, x in goals for j, z, _, _, y in goals if s == "train" and z == "test" and x == y}
     assert got == want and len(want) > 50
 
 
+@pytest.mark.parametrize(
+    "a,b,same",
+    [
+        ("Send Anna a photo of Ben", "Send Ben a photo of Anna", False), ("Book hotel in Austria", "Book hotel in Australia", False), ("Search for Maria in Contacts", "Share Maria in Contacts", False), ("Set the timer", "Start the timer", False),
+        ("Find Nava in Kola", "Find Kola in Nava", False), ("Move it from Rome to Oslo", "Move it from Oslo to Rome", False), ("Add 195,613,586 to the list", "add 195613586 to the list", True), ("Delete mail 12", "Delete mail 21", False),
+        ("Use Mapwren to scan Rime Mopesha, crop page 43", "Could you scan Rime Mopesha with Mapwren, crop page 43", True), ("Book 25 seats to Nava with Cartigo leaving Sunday", "With Cartigo, book 25 seats to Nava leaving Sunday", True),
+        ("Pon una alarma en Parcelly a las 5:55 del lunes con el nombre Papo", "Oye, en Parcelly pon una alarma con el nombre Papo a las 5:55 del lunes, gracias", True), ("在Parcelly搜索Dari Tevoke，并分享前52个结果", "请在Parcelly里查找Dari Tevoke，分享前52个结果", True), ("搜索Dari", "分享Dari", False),
+    ],
+)
+def test_same_task(a, b, same):
+    (x, n), (y, m) = overlap.content(a), overlap.content(b)
+    assert (n == m and overlap.aligned(x, y) is not None) == same
+    assert (n == m and overlap.aligned(y, x) is not None) == same
+
+
+def test_winnowing():
+    assert overlap.fingerprints("ab") == ["^ab$"] and len(overlap.fingerprints("monday")) == 1
+    whole = overlap.fingerprints("donaudampfschifffahrt")
+    assert len(whole) > 1 and set(overlap.fingerprints("donaudampfschifffahrtx")) & set(whole)
+
+
+def test_report_counts_like_the_pairs(spark):
+    df = spark.createDataFrame([("a", "train", "Tap Bankery", "s"), ("a", "test", "tap bankery", "s"), ("b", "train", "Tap Bankery!", "s"), ("c", "test", "tap Bankery", "t"), ("d", "val", "tap Bnakery please", "t"), ("e", "test", "tap Podbarn", "t"), ("e", "train", "tap Podbarn", "t")], "episode_id string, split string, goal string, source string")
+    pairs = overlap.overlaps(df).groupBy("split", "source").count().collect()
+    assert {(r.split, r.source): r.n_pairs for r in overlap.report(df).collect()} == {(r.split, r.source): r["count"] for r in pairs}
+    assert {(r.split, r.source): r.n_episodes for r in overlap.report(df).collect()} == {("test", "s"): 1, ("test", "t"): 1, ("validation", "t"): 1}
+
+
 def test_slips():
     assert overlap.slips("rati", "rtai", 1) and overlap.slips("seats", "sats", 1) and overlap.slips("fashi", "fasshi", 1)
     assert not overlap.slips("monday", "sunday", 2) and not overlap.slips("tuesday", "thursday", 2) and not overlap.slips("tako", "taka", 1)
