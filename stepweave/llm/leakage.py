@@ -1,19 +1,24 @@
 """Documents that hold passages of held-out items.
 
 A prefix-filtered set join. Items and documents become words of a normal form (signs of
-scripts without spaces singly). The shingles of each item are ordered by rarity, counted
-over all documents and items; a document that holds LEAST of an item must share one of the
-item's prefix, all but the most frequent shingles, so only those are looked up. A hit opens
-a window of the item's size; items whose own words (those that few items have) are not met
-in the window are dropped before the exact check, which aligns item and window, joins equal
-runs over single changed words, and measures what the best two pieces cover.
+scripts without spaces singly), their runs of SHINGLE words shingles. Every document is read
+once; of its shingles those that items have travel on, with the words around them, and all
+of them are counted. Items of the same words are one text. The shingles of a text are
+ordered by rarity, over all documents and texts; a document that holds LEAST of it shares at
+least `need` of its shingles, so one of its prefix, all but the need - 1 most frequent ones:
+documents and texts are joined on prefixes. Of the pairs those are verified whose document
+has as many shingles of items as needed (length) and as many of this text within a window of
+its size (position). Verification aligns: equal shingles become runs, runs go on over single
+changed words, and the best PIECES pieces that don't overlap in the item, wherever in the
+document and in whatever order, must hold LEAST of it.
 
-Items are a query set that does not grow; they are taken in blocks of BLOCK items, each
-block's index travels with the code, and every document is read once per block.
+A filter of bits, made of the items' shingles, keeps other shingles from travelling. It is
+sent to every executor if the items have up to FILTERED shingles, else none is used and the
+join alone decides: the result is the same.
 
 Defined results: null or blank documents and items match nothing; an item shorter than
 SHINGLE words matches nothing; sentences with which several items begin are no part of them;
-repeated documents are found each by its own id.
+repeated documents and items are found each by its own id.
 """
 
 from __future__ import annotations
@@ -21,22 +26,29 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepweave.cluster import spread
+from stepweave.cluster import cut, spread
 
-#: Words of a shingle; share of an item that must be found, in at most PIECES pieces; items of a block.
-SHINGLE, LEAST, PIECES, BLOCK = 3, 1 / 3, 2, 5_000
+#: Words of a shingle; share of an item that must be found, in at most PIECES pieces.
+SHINGLE, LEAST, PIECES = 3, 1 / 3, 2
 #: A word is an item's own if at most so many different items have it; a piece needs such words, and most of those in its reach must match.
 OWN_ITEMS, OWN_WORDS, OWN_SHARE = 1, 2, 0.6
 #: Items that begin with the same whole sentence: from so many on it is a stock opening.
 STOCK_ITEMS = 3
+#: Words between two runs of a piece, and signs of a script without spaces; words around shingles that travel with them.
+GAP, GAP_SIGNS, AROUND = 2, 4, 8
+#: Most shingles of items for which a filter is made (8 MB of bits).
+FILTERED = 4_000_000
 
 _SINGLE = "぀-ヿ㐀-鿿豈-﫿฀-๿"
 _WORD = re.compile(rf"[{_SINGLE}]|(?:(?![{_SINGLE}])[^\W_])+(?:[̀-ͯऀ-ःऺ-ॏ]|(?:(?![{_SINGLE}])[^\W_]))*")
@@ -57,146 +69,308 @@ def words(text: str) -> list[str]:
     return _WORD.findall(_IN_NUMBER.sub("", text))
 
 
-class Items:
-    """The index of one block of items."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        openings: Counter = Counter()
-        leading: dict[int, list[str]] = {}
-        for i, text in rows:
-            leading[i] = [m.group() for m in _SENTENCE.finditer(text)][:4]
-            openings.update({"".join(leading[i][: k + 1]).strip() for k in range(len(leading[i]))})
-        self.words: dict[int, list[str]] = {}
-        for i, text in rows:
-            stock = 0
-            for k in range(len(leading[i])):
-                begin = "".join(leading[i][: k + 1])
-                if openings[begin.strip()] >= STOCK_ITEMS and len(begin) < len(text):
-                    stock = len(begin)
-            w = words(text[stock:])
-            if len(w) >= SHINGLE:
-                self.words[i] = w
-        having = Counter(x for w in {tuple(w) for w in self.words.values()} for x in set(w))
-        # an item without own words is told from the others by none: all its words count
-        self.own = {i: {x for x in set(w) if having[x] <= OWN_ITEMS and len(x) > 1} or set(w) for i, w in self.words.items()}
-        self.own_of: dict[str, list[int]] = {}
-        for i, own in self.own.items():
-            for x in own:
-                self.own_of.setdefault(x, []).append(i)
-        self.shingles = {i: list(dict.fromkeys(tuple(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1))) for i, w in self.words.items()}
-        self.in_items = Counter(s for ss in self.shingles.values() for s in ss)
-        self.prefix: dict[tuple, list[int]] = {}
-
-    def order(self, in_documents: dict[tuple, int]) -> None:
-        """The prefixes: of each item all shingles but the last, in order of rarity, that a match can do without."""
-        for i, ss in self.shingles.items():
-            # a third of the words in two pieces, with a changed word in each: so many shingles are left whole
-            need = max(1, int(LEAST * len(self.words[i])) - (SHINGLE - 1) * PIECES - SHINGLE * PIECES)
-            ss = sorted(ss, key=lambda s: (in_documents.get(s, 0) + self.in_items[s], s))
-            for s in ss[: len(ss) - need + 1]:
-                self.prefix.setdefault(s, []).append(i)
-
-    def met(self, w: list[str]) -> bool:
-        """Whether a document has enough words that are items' own."""
-        return len(set(w) & self.own_of.keys()) >= OWN_WORDS
-
-    def coverage(self, i: int, window: list[str]) -> float:
-        """Share of the item that the best PIECES pieces of the window cover."""
-        item, own = self.words[i], self.own[i]
-        blocks = [b for b in SequenceMatcher(None, item, window, autojunk=False).get_matching_blocks() if b.size]
-        pieces: list[list] = []
-        for b in blocks:
-            if pieces:
-                last = pieces[-1][-1]
-                gap_item, gap_window = b.a - last.a - last.size, b.b - last.b - last.size
-                single = all(len(x) == 1 for x in item[last.a + last.size : b.a] + window[last.b + last.size : b.b])
-                most = 4 if single else 2
-                if gap_item <= most and gap_window <= most:
-                    pieces[-1].append(b)
-                    continue
-            pieces.append([b])
-        scored = []
-        for piece in pieces:
-            begin, end = piece[0].a, piece[-1].a + piece[-1].size
-            matched = [k for b in piece for k in range(b.a, b.a + b.size)]
-            reach = [k for k in range(begin, end) if item[k] in own]
-            hit = [k for k in matched if item[k] in own]
-            if len(matched) < SHINGLE + 1 or len(matched) < 0.75 * (end - begin) or not hit or len(hit) < OWN_SHARE * len(reach):
-                continue
-            scored.append((len(matched), sum(len(item[k]) for k in matched), len(hit)))
-        best = sorted(scored, reverse=True)[:PIECES]
-        if sum(h for _, _, h in best) < min(OWN_WORDS, len(own)):
-            return 0.0
-        return max(sum(n for n, _, _ in best) / len(item), sum(c for _, c, _ in best) / sum(map(len, item)))
-
-    def found(self, w: list[str]) -> list[tuple[int, float]]:
-        """(item, coverage) of every item that the document's words hold to LEAST at least."""
-        here = set(w)
-        hits: dict[int, list[int]] = {}
-        for k in range(len(w) - SHINGLE + 1):
-            for i in self.prefix.get(tuple(w[k : k + SHINGLE]), ()):
-                hits.setdefault(i, []).append(k)
-        out = []
-        for i, at in hits.items():
-            item = self.words[i]
-            if len(self.own[i] & here) < min(OWN_WORDS, len(self.own[i])):
-                continue
-            # windows: hits that lie within an item's length of each other, and as much around them
-            best, start = 0.0, 0
-            for n in range(1, len(at) + 1):
-                if n == len(at) or at[n] - at[n - 1] > 2 * len(item):
-                    best = max(best, self.coverage(i, w[max(0, at[start] - len(item)) : at[n - 1] + len(item) + SHINGLE]))
-                    start = n
-            if best >= LEAST:
-                out.append((i, best))
+def word_hashes(ws: list[str], known: dict[str, int]) -> np.ndarray:
+    """A 64-bit hash of each word; known keeps those of the words before."""
+    if len(known) > 1_000_000:
+        known.clear()
+    out = np.empty(len(ws), np.uint64)
+    for i, w in enumerate(ws):
+        h = known.get(w)
+        if h is None:
+            h = known[w] = xxhash.xxh3_64_intdigest(w)
+        out[i] = h
+    return out
+
+
+def shingle_hashes(h: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of SHINGLE words, from the words' hashes."""
+    n = len(h) - SHINGLE + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    out = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ h[k : k + n]
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+    return (out ^ (out >> np.uint64(32))).view(np.int64)
+
+
+class Filter:
+    """A set of 64-bit hashes as bits: it holds all of them, and few others (about one in 400)."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.size = max(16, int(len(hashes) * 16 - 1).bit_length()) if len(hashes) else 16
+        self.bits = np.zeros(1 << (self.size - 3), np.uint8)
+        for at in self._places(hashes.astype(np.int64)):
+            np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def _places(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
+        h = hashes.view(np.uint64)
+        mask = np.uint64((1 << self.size) - 1)
+        for shift in (0, 17, 34):
+            yield (h >> np.uint64(shift)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.size) & mask
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for at in self._places(hashes):
+            out &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         return out
 
 
-def _texts(documents: DataFrame) -> DataFrame:
-    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null"))
+def openings(text: str) -> list[str]:
+    """The beginnings of a text that end with one of its first four sentences."""
+    leading = [m.group() for m in _SENTENCE.finditer(text)][:4]
+    return ["".join(leading[: k + 1]) for k in range(len(leading))]
+
+
+def needed(ws: list[str]) -> int:
+    """Different shingles that any LEAST of an item, in PIECES pieces with a changed word in each, leaves whole."""
+    lengths = sorted(map(len, ws), reverse=True)
+    enough, total = 0, 0
+    while total < LEAST * sum(lengths):
+        total += lengths[enough]
+        enough += 1
+    n = len(ws) - SHINGLE + 1
+    repeated = n - len({tuple(ws[k : k + SHINGLE]) for k in range(n)})
+    return max(1, min(enough, int(LEAST * len(ws))) - (SHINGLE - 1) * PIECES - SHINGLE * PIECES - repeated)
+
+
+def texts_of(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item_id, key of every item with enough words; key, words, own (words), need, n (shingles) of every different text)."""
+    wanted = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    texts = cut(wanted.select("text").distinct())
+
+    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(t, x.strip(), len(x)) for t in b.text for x in openings(t) if len(x) < len(t)]
+            yield pd.DataFrame(rows, columns=["text", "opening", "size"]).astype({"size": "int64"})
+
+    begun = texts.mapInPandas(lead, "text string, opening string, size bigint").where("opening <> ''")
+    stock = begun.groupBy("opening").agg(F.count("*").alias("n")).where(F.col("n") >= STOCK_ITEMS).select("opening")
+    skipped = begun.join(stock, "opening").groupBy("text").agg(F.max("size").alias("size"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for t, size in zip(b.text, b["size"]):
+                w = words(t[0 if pd.isna(size) else int(size) :])
+                if len(w) >= SHINGLE:
+                    rows.append((t, xxhash.xxh3_128_hexdigest(" ".join(w)), w, needed(w), len({tuple(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1)})))
+            yield pd.DataFrame(rows, columns=["text", "key", "words", "need", "n"])
+
+    known = cut(texts.join(skipped, "text", "left").select("text", "size").mapInPandas(read, "text string, key string, words array<string>, need int, n int"))
+    distinct = known.groupBy("key").agg(F.first("words").alias("words"), F.first("need").alias("need"), F.first("n").alias("n"))
+    having = distinct.select("key", F.explode(F.array_distinct("words")).alias("word"))
+    own = having.join(having.groupBy("word").agg(F.count("*").alias("in_texts")).where((F.col("in_texts") <= OWN_ITEMS) & (F.length("word") > 1)), "word").groupBy("key").agg(F.collect_list("word").alias("own"))
+    # an item without own words is told from the others by none: all its words count
+    index = distinct.join(own, "key", "left").select("key", "words", "need", "n", F.coalesce("own", F.array_distinct("words")).alias("own"))
+    return wanted.join(known.select("text", "key"), "text").select("item_id", "key"), cut(index)
+
+
+def shingles_of(index: DataFrame) -> DataFrame:
+    """key, need, n, shingle: the different shingles of every text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for b in batches:
+            for key, ws, need, n in zip(b.key, b["words"], b.need, b.n):
+                yield pd.DataFrame({"key": key, "need": need, "n": n, "shingle": np.unique(shingle_hashes(word_hashes(list(ws), known)))})
+
+    return index.select("key", "words", "need", "n").mapInPandas(run, "key string, need int, n int, shingle bigint")
+
 
+def filters(index: DataFrame, shingles: DataFrame, most: int) -> tuple[Filter | None, Filter | None, int]:
+    """Filters of the items' shingles and own words, if there are at most so many, and the fewest own words that any item needs."""
 
-def _counts(texts: DataFrame, index: Items) -> dict[tuple, int]:
-    """Documents that have each of the block's shingles; at most as many rows as the block has shingles."""
-    numbers = {s: n for n, s in enumerate(index.in_items)}
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for b in batches:
+            yield pd.DataFrame({"h": word_hashes(list(b.word), known).view(np.int64)})
+
+    first = index.agg(F.min(F.least(F.lit(OWN_WORDS), F.size("own"))).alias("least"), F.sum(F.size("own")).alias("own"), F.sum("n").alias("n")).first()
+    if not first.n or first.n > most or first.own > most:
+        return None, None, first.least or 1
+    # at most `most` numbers
+    both = [np.array(df.distinct().toPandas().iloc[:, 0], np.int64) for df in (shingles.select("shingle"), index.select(F.explode("own").alias("word")).mapInPandas(hashed, "h bigint"))]
+    return Filter(both[0]), Filter(both[1]), first.least
+
+
+_HITS = "kind string, doc_id bigint, doc_key bigint, shingles array<bigint>, at array<int>, starts array<int>, parts array<string>, shingle bigint, n bigint"
+
+
+def hits(documents: DataFrame, of_items: Filter | None, of_own: Filter | None, least: int) -> DataFrame:
+    """One pass over the documents. kind 'd': documents that items' shingles stand in, these with their places, and the words around them; kind 'n': how many documents have a shingle, part by part."""
+    spark = documents.sparkSession
+    sent = spark.sparkContext.broadcast((of_items, of_own))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        of_items, of_own = sent.value
+        part, number = TaskContext.get().partitionId(), 0
+        known: dict[str, int] = {}
+        counts: Counter = Counter()
+        columns = [c.split()[0] for c in _HITS.split(", ")]
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=columns).astype(dict.fromkeys(["doc_id", "doc_key", "shingle", "n"], "Int64"))
+
+        def counted() -> pd.DataFrame:
+            out = frame([("n", *[None] * 6, s, n) for s, n in counts.items()])
+            counts.clear()
+            return out
+
         for b in batches:
-            for text in b.text:
-                w = words(text)
-                if index.met(w):
-                    total.update({n for k in range(len(w) - SHINGLE + 1) if (n := numbers.get(tuple(w[k : k + SHINGLE]))) is not None})
-        yield pd.DataFrame({"shingle": list(total), "n": list(total.values())}, dtype="int64")
+            rows = []
+            for doc_id, text in zip(b.doc_id, b.text):
+                number += 1
+                ws = words(text)
+                h = word_hashes(ws, known)
+                s = shingle_hashes(h)
+                at = np.flatnonzero(of_items.holds(s)) if of_items else np.arange(len(s))
+                if not len(at):
+                    continue
+                counts.update(np.unique(s[at]).tolist())
+                if of_own and len(np.unique(h[of_own.holds(h.view(np.int64))])) < least:
+                    continue
+                # parts: shingles with AROUND words on either side, joined where they meet
+                breaks = np.flatnonzero(np.diff(at) > 2 * AROUND + SHINGLE)
+                starts = np.maximum(0, at[np.concatenate([[0], breaks + 1])] - AROUND)
+                ends = np.minimum(len(ws), at[np.concatenate([breaks, [len(at) - 1]])] + SHINGLE + AROUND)
+                rows.append(("d", doc_id, (part << 40) + number, s[at].tolist(), at.tolist(), starts.tolist(), [" ".join(ws[x:y]) for x, y in zip(starts, ends)], None, None))
+            if rows:
+                yield frame(rows)
+            if len(counts) > 200_000:
+                yield counted()
+        if counts:
+            yield counted()
+
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return cut(spread(texts).mapInPandas(run, _HITS))
+
+
+def _onward(item: list[str], doc: list[str], k: int, p: int) -> list[tuple[int, int, int]]:
+    """Equal runs (k, p, length) that follow from k and p on, each over a gap of changed words after the one before."""
+    out = []
+    while True:
+        best = None
+        for total in range(1, 2 * GAP_SIGNS + 1):
+            for gi in range(max(0, total - GAP_SIGNS), min(GAP_SIGNS, total) + 1):
+                gd = total - gi
+                if k + gi >= len(item) or p + gd >= len(doc) or item[k + gi] != doc[p + gd]:
+                    continue
+                if max(gi, gd) > GAP and not all(len(x) == 1 for x in item[k : k + gi] + doc[p : p + gd]):
+                    continue
+                n = 1
+                while k + gi + n < len(item) and p + gd + n < len(doc) and item[k + gi + n] == doc[p + gd + n]:
+                    n += 1
+                # one word alone follows only one changed word, and a sign nothing
+                if n > 1 and (n > 2 or len(item[k + gi]) > 1) or gi == gd == 1 and len(item[k + gi]) > 1:
+                    best = max(best or (0, 0, 0, 0), (n, -total, gi, gd))
+            if best:
+                break
+        if not best:
+            return out
+        n, _, gi, gd = best
+        out.append((k + gi, p + gd, n))
+        k, p = k + gi + n, p + gd + n
+
+
+def runs(item: list[str], places: dict[int, list[int]], shingles: list[int], at: list[int], doc: list[str], start: int) -> list[tuple[int, int, int]]:
+    """Equal runs (k in the item, p in the part, length) of at least SHINGLE words: shingles of one diagonal that follow each other."""
+    latest: dict[int, list[int]] = {}
+    out: list[list[int]] = []
+    for s, p in zip(shingles, at):
+        for k in places.get(s, ()):
+            p_here = p - start
+            run = latest.get(p_here - k)
+            if run and run[1] + run[2] >= p_here + SHINGLE - 1:
+                run[2] = p_here + SHINGLE - run[1]
+            elif doc[p_here : p_here + SHINGLE] == item[k : k + SHINGLE]:
+                run = [k, p_here, SHINGLE]
+                latest[p_here - k] = run
+                out.append(run)
+    return [tuple(r) for r in out]
+
+
+def pieces(item: list[str], own: set[str], places: dict[int, list[int]], shingles: list[int], at: list[int], starts: list[int], parts: list[str]) -> list[tuple[int, int, int, int, int]]:
+    """(first word, word after the last, words, letters, own words) of every part of the item that stands in the document as running text."""
+    found: set[tuple[int, int, int, int, int]] = set()
+    backwards = item[::-1]
+    for n, (start, part) in enumerate(zip(starts, parts)):
+        begin = bisect_right(at, start - 1)
+        end = bisect_right(at, starts[n + 1] - 1) if n + 1 < len(starts) else len(at)
+        doc = part.split(" ")
+        done: set[tuple[int, int]] = set()
+        for k, p, size in sorted(runs(item, places, shingles[begin:end], at[begin:end], doc, start), key=lambda r: (-r[2], r[1])):
+            if (k, p) in done:
+                continue
+            back = [(len(item) - x - z, len(doc) - y - z, z) for x, y, z in _onward(backwards, doc[::-1], len(item) - k, len(doc) - p)]
+            blocks = [*back[::-1], (k, p, size), *_onward(item, doc, k + size, p + size)]
+            done.update((x + i, y + i) for x, y, z in blocks for i in range(z))
+            matched = [x + i for x, _, z in blocks for i in range(z)]
+            first, last = matched[0], matched[-1] + 1
+            hit, reach = sum(item[x] in own for x in matched), sum(item[x] in own for x in range(first, last))
+            if len(matched) > SHINGLE and len(matched) >= 0.75 * (last - first) and hit and hit >= OWN_SHARE * reach:
+                found.add((first, last, len(matched), sum(len(item[x]) for x in matched), hit))
+    return sorted(found)
 
-    rows = texts.select("text").mapInPandas(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
-    back = list(numbers)
-    return {back[r.shingle]: r.n for r in rows}
 
+def coverage(item: list[str], own: set[str], found: list[tuple[int, int, int, int, int]]) -> float:
+    """Share of the item's words, or of its letters if that is more, that its best one or two pieces that don't overlap hold."""
+    best = 0.0
+    for value, whole in ((2, len(item)), (3, sum(map(len, item)))):
+        by_end = sorted(found, key=lambda x: x[1])
+        ends = [x[1] for x in by_end]
+        most: list[int] = []
+        for x in by_end:
+            most.append(max(x[value], most[-1] if most else 0))
+        for x in found:
+            before = bisect_right(ends, x[0])
+            if before:
+                best = max(best, (x[value] + most[before - 1]) / whole)
+            elif x[4] >= min(OWN_WORDS, len(own)):
+                best = max(best, x[value] / whole)
+    return best
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+
+def _near(places: dict[int, list[int]], shingles: list[int], at: list[int], need: int, length: int) -> bool:
+    """Whether a window of the item's length holds the item's shingles that the larger of PIECES pieces must have."""
+    here = [p for s, p in zip(shingles, at) if s in places]
+    most = -(-need // PIECES)
+    return any(here[i + most - 1] - here[i] < 2 * length for i in range(len(here) - most + 1))
+
+
+def leaks(documents: DataFrame, items: DataFrame, filtered: int = FILTERED) -> DataFrame:
     """doc_id, item_id, coverage."""
-    schema = "doc_id bigint, item_id bigint, coverage double"
-    texts = _texts(documents)
-    wanted = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    blocks = max(1, -(-wanted.count() // BLOCK))
-    out = None
-    for block in range(blocks):
-        index = Items(sorted((r.item_id, r.text) for r in wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()))
-        index.order(_counts(texts, index))
-
-        def run(batches: Iterator[pd.DataFrame], index: Items = index) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                rows = []
-                for doc_id, text in zip(b.doc_id, b.text):
-                    w = words(text)
-                    if index.met(w):
-                        rows += [(doc_id, i, c) for i, c in index.found(w)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage"]).astype({"coverage": float})
-
-        part = texts.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    ids, index = texts_of(items)
+    ids = cut(ids)
+    shingles = cut(shingles_of(index))
+    there = hits(documents, *filters(index, shingles, filtered))
+    in_documents = there.where("kind = 'n'").groupBy("shingle").agg(F.sum("n").alias("n_documents"))
+    in_texts = shingles.groupBy("shingle").agg(F.count("*").alias("n_texts"))
+    ranked = shingles.join(in_texts, "shingle").join(in_documents, "shingle", "left").withColumn("often", F.col("n_texts") + F.coalesce("n_documents", F.lit(0)))
+    # a window holds the shingles of one text
+    prefix = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("often", "shingle"))).where("rank <= n - need + 1").select("key", "need", "shingle")
+    docs = there.where("kind = 'd'").drop("kind", "shingle", "n")
+    met = docs.select("doc_key", F.size(F.array_distinct("shingles")).alias("m"), F.explode(F.array_distinct("shingles")).alias("shingle")).join(prefix, "shingle").where("m >= need").select("doc_key", "key").distinct()
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for b in batches:
+            rows = []
+            for doc_id, doc_key, key, ws, own, need, found, at, starts, parts in zip(b.doc_id, b.doc_key, b.key, b["words"], b.own, b.need, b.shingles, b["at"], b.starts, b.parts):
+                ws, own, found, at = list(ws), set(own), [int(x) for x in found], [int(x) for x in at]
+                places: dict[int, list[int]] = {}
+                for k, s in enumerate(shingle_hashes(word_hashes(ws, known)).tolist()):
+                    places.setdefault(s, []).append(k)
+                if _near(places, found, at, need, len(ws)):
+                    share = coverage(ws, own, pieces(ws, own, places, found, at, [int(x) for x in starts], list(parts)))
+                    if share >= LEAST:
+                        rows.append((doc_id, doc_key, key, share))
+            yield pd.DataFrame(rows, columns=["doc_id", "doc_key", "key", "coverage"]).astype({"coverage": float, "doc_id": "Int64"})
+
+    pairs = docs.join(met, "doc_key").join(index, "key").select("doc_id", "doc_key", "key", "words", "own", "need", "shingles", "at", "starts", "parts")
+    sure = pairs.mapInPandas(verify, "doc_id bigint, doc_key bigint, key string, coverage double")
+    return sure.join(ids, "key").select("doc_id", "item_id", "coverage")
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -62,6 +63,51 @@ def test_stock_opening(spark):
     assert leaked(spark, [ITEM], items) == {(0, 0)}
 
 
+def test_leaks_without_filter(spark):
+    """Beyond the size at which a filter is made the join alone gives the same rows."""
+    rng = random.Random(4)
+    ws = ["".join(rng.choice("bdfgkl") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    items = [(i, " ".join(rng.choice(ws) for _ in range(rng.randrange(8, 40)))) for i in range(60)]
+    items += [(100 + i, t) for i, t in items[:3]]
+    texts = [" ".join(rng.choice(ws) for _ in range(rng.randrange(0, 60))) + " " + " ".join(t.split()[: rng.randrange(1, 30)]) + " " + rng.choice(ws) for _ in range(4) for _, t in items]
+    docs, held = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    with_filter = key(leakage.leaks(docs, held))
+    assert with_filter == key(leakage.leaks(docs, held, filtered=0)) and len(with_filter) > 50
+    # no document is lost that shares a third of an item in one piece, word for word, with two of the item's own words
+    found = {(d, i) for d, i, _ in with_filter}
+    in_texts = Counter(x for t in {t for _, t in items} for x in set(t.split()))
+    for d, text in enumerate(texts):
+        for i, t in items:
+            w = t.split()
+            size = max(leakage.SHINGLE + 1, -(-len(w) // 3))
+            if any(" " + " ".join(w[k : k + size]) + " " in f" {text} " and len({x for x in w[k : k + size] if in_texts[x] == 1}) > 1 for k in range(len(w) - size + 1)):
+                assert (d, i) in found
+
+
+def test_pieces_far_apart_and_swapped(spark):
+    words = ITEM.split()
+    far = " ".join(words[20:28]) + " pause" * 300 + " " + " ".join(words[3:11])
+    assert leaked(spark, [far, " ".join(words[20:28])]) == {(0, 1)}
+
+
+def test_filter():
+    import numpy as np
+
+    inside, outside = np.random.default_rng(1).integers(-(2**62), 2**62, 5000), np.random.default_rng(2).integers(-(2**62), 2**62, 50_000)
+    made = leakage.Filter(inside)
+    assert made.holds(inside).all() and made.holds(outside).mean() < 0.01
+
+
+def test_one_item_for_many_documents(spark):
+    """An item in a third of all documents, and an item text under many ids."""
+    docs = spark.createDataFrame([(i, ITEM if i % 3 == 0 else f"note {i}") for i in range(600)], "doc_id bigint, text string")
+    held = spark.createDataFrame([(i, ITEM) for i in range(5)] + [(9, LIKE)], "item_id bigint, text string")
+    assert leakage.leaks(docs, held).count() == 200 * 5
+    assert {(r.item_id, r.n_documents) for r in leakage.leaked_items(docs, held).collect()} == {(i, 200) for i in range(5)}
+    assert leakage.leaks(docs.limit(0), held).count() == 0 == leakage.leaks(docs, held.limit(0)).count()
+
+
 GOALS = [
     ("a", "train", "Open Bankery and add Tani Delape to the recipe card for Saturday"), ("b", "test", "open bankery and add tani-delape to the recipe card for saturday, please!"), ("c", "val", "For Saturday, add Tani Delpae to the recipe card; open Ban​kery first"),
     ("d", "test", "Open Bankery and add Tani Delape to the recipe card for Sunday"), ("e", "test", "Open Bankery and add Tani Rolape to the recipe card for Saturday"), ("f", " Training", "Book 25 seats to Nava Cheromi with Quizzard leaving Wednesday at 11:20"),
