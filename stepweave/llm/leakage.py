@@ -7,7 +7,7 @@ of them are counted. Items of the same words are one text. The shingles of a tex
 ordered by rarity, over all documents and texts; a document that holds LEAST of it shares at
 least `need` of its shingles, so one of its prefix, all but the need - 1 most frequent ones:
 documents and texts are joined on prefixes. Of the pairs those are verified whose document
-has as many shingles of items as needed (length) and as many of this text within a window of
+has enough of the words that only this item has, as many shingles of items as needed (length) and as many of this text within a window of
 its size (position). Verification aligns: equal shingles become runs, runs go on over single
 changed words, and the best PIECES pieces that don't overlap in the item, wherever in the
 document and in whatever order, must hold LEAST of it.
@@ -179,27 +179,35 @@ def shingles_of(index: DataFrame) -> DataFrame:
     return index.select("key", "words", "need", "n").mapInPandas(run, "key string, need int, n int, shingle bigint")
 
 
-def filters(index: DataFrame, shingles: DataFrame, most: int) -> tuple[Filter | None, Filter | None, int]:
-    """Filters of the items' shingles and own words, if there are at most so many, and the fewest own words that any item needs."""
+def own_hashes(index: DataFrame) -> DataFrame:
+    """key, own (hash of one of its own words), least (how many of them a document must have)."""
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for b in batches:
-            yield pd.DataFrame({"h": word_hashes(list(b.word), known).view(np.int64)})
+            yield pd.DataFrame({"key": b.key, "own": word_hashes(list(b.word), known).view(np.int64), "least": b.least})
+
+    return index.select("key", F.explode("own").alias("word"), F.least(F.lit(OWN_WORDS), F.size("own")).alias("least")).mapInPandas(run, "key string, own bigint, least int")
+
+
+def filters(index: DataFrame, shingles: DataFrame, most: int) -> tuple[Filter | None, Filter | None, int]:
+    """Filters of the items' shingles and own words, if there are at most so many, and the fewest own words that any item needs."""
 
     first = index.agg(F.min(F.least(F.lit(OWN_WORDS), F.size("own"))).alias("least"), F.sum(F.size("own")).alias("own"), F.sum("n").alias("n")).first()
     if not first.n or first.n > most or first.own > most:
         return None, None, first.least or 1
     # at most `most` numbers
-    both = [np.array(df.distinct().toPandas().iloc[:, 0], np.int64) for df in (shingles.select("shingle"), index.select(F.explode("own").alias("word")).mapInPandas(hashed, "h bigint"))]
+    both = [np.array(df.distinct().toPandas().iloc[:, 0], np.int64) for df in (shingles.select("shingle"), own_hashes(index).select("own"))]
     return Filter(both[0]), Filter(both[1]), first.least
 
 
-_HITS = "kind string, doc_id bigint, doc_key bigint, shingles array<bigint>, at array<int>, starts array<int>, parts array<string>, shingle bigint, n bigint"
+_HITS = "kind string, doc_id bigint, doc_key bigint, owns array<bigint>, shingles array<bigint>, at array<int>, starts array<int>, parts array<string>, shingle bigint, n bigint"
+#: Words that are looked up at a time.
+CHUNK = 100_000
 
 
 def hits(documents: DataFrame, of_items: Filter | None, of_own: Filter | None, least: int) -> DataFrame:
-    """One pass over the documents. kind 'd': documents that items' shingles stand in, these with their places, and the words around them; kind 'n': how many documents have a shingle, part by part."""
+    """One pass over the documents. kind 'd': documents that items' shingles and own words stand in, these, the places of the shingles, and the words around them; kind 'n': how many documents have a shingle, part by part."""
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast((of_items, of_own))
 
@@ -214,32 +222,56 @@ def hits(documents: DataFrame, of_items: Filter | None, of_own: Filter | None, l
             return pd.DataFrame(rows, columns=columns).astype(dict.fromkeys(["doc_id", "doc_key", "shingle", "n"], "Int64"))
 
         def counted() -> pd.DataFrame:
-            out = frame([("n", *[None] * 6, s, n) for s, n in counts.items()])
+            out = frame([("n", *[None] * 7, s, n) for s, n in counts.items()])
             counts.clear()
             return out
 
-        for b in batches:
+        def looked_up(held: list[tuple[int | None, int, list[str]]]) -> list[tuple]:
+            """The rows of some documents, whose words are looked up together."""
             rows = []
+            h = word_hashes([w for _, _, ws in held for w in ws], known)
+            s = shingle_hashes(h)
+            ends = np.cumsum([len(ws) for _, _, ws in held])
+            of = np.searchsorted(ends, np.arange(len(s)), side="right")
+            # a shingle ends in the document in which it begins
+            inside = ends[of] - np.arange(len(s)) >= SHINGLE if len(s) else np.zeros(0, bool)
+            at = np.flatnonzero(inside & of_items.holds(s) if of_items else inside)
+            own_at = np.flatnonzero(of_own.holds(h.view(np.int64))) if of_own else np.arange(len(h))
+            own_in = np.searchsorted(ends, own_at, side="right")
+            for d in np.unique(of[at]):
+                first = ends[d] - len(held[d][2])
+                x, y = np.searchsorted(at, [first, ends[d]])
+                here = at[x:y]
+                counts.update(np.unique(s[here]).tolist())
+                x, y = np.searchsorted(own_in, [d, d + 1])
+                owns = np.unique(h[own_at[x:y]].view(np.int64))
+                if len(owns) < least:
+                    continue
+                doc_id, number, ws = held[d]
+                # parts: shingles with AROUND words on either side, joined where they meet
+                breaks = np.flatnonzero(np.diff(here) > 2 * AROUND + SHINGLE)
+                starts = np.maximum(0, here[np.concatenate([[0], breaks + 1])] - first - AROUND).tolist()
+                stops = np.minimum(len(ws), here[np.concatenate([breaks, [len(here) - 1]])] - first + SHINGLE + AROUND).tolist()
+                rows.append(("d", doc_id, (part << 40) + number, owns.tolist(), s[here].tolist(), (here - first).tolist(), starts, [" ".join(ws[i:j]) for i, j in zip(starts, stops)], None, None))
+            return rows
+
+        held: list[tuple[int | None, int, list[str]]] = []
+        size = 0
+        for b in batches:
             for doc_id, text in zip(b.doc_id, b.text):
                 number += 1
                 ws = words(text)
-                h = word_hashes(ws, known)
-                s = shingle_hashes(h)
-                at = np.flatnonzero(of_items.holds(s)) if of_items else np.arange(len(s))
-                if not len(at):
-                    continue
-                counts.update(np.unique(s[at]).tolist())
-                if of_own and len(np.unique(h[of_own.holds(h.view(np.int64))])) < least:
-                    continue
-                # parts: shingles with AROUND words on either side, joined where they meet
-                breaks = np.flatnonzero(np.diff(at) > 2 * AROUND + SHINGLE)
-                starts = np.maximum(0, at[np.concatenate([[0], breaks + 1])] - AROUND)
-                ends = np.minimum(len(ws), at[np.concatenate([breaks, [len(at) - 1]])] + SHINGLE + AROUND)
-                rows.append(("d", doc_id, (part << 40) + number, s[at].tolist(), at.tolist(), starts.tolist(), [" ".join(ws[x:y]) for x, y in zip(starts, ends)], None, None))
-            if rows:
-                yield frame(rows)
+                if len(ws) >= SHINGLE:
+                    held.append((doc_id, number, ws))
+                    size += len(ws)
+                if size >= CHUNK:
+                    if rows := looked_up(held):
+                        yield frame(rows)
+                    held, size = [], 0
             if len(counts) > 200_000:
                 yield counted()
+        if held and (rows := looked_up(held)):
+            yield frame(rows)
         if counts:
             yield counted()
 
@@ -351,7 +383,10 @@ def leaks(documents: DataFrame, items: DataFrame, filtered: int = FILTERED) -> D
     # a window holds the shingles of one text
     prefix = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("often", "shingle"))).where("rank <= n - need + 1").select("key", "need", "shingle")
     docs = there.where("kind = 'd'").drop("kind", "shingle", "n")
-    met = docs.select("doc_key", F.size(F.array_distinct("shingles")).alias("m"), F.explode(F.array_distinct("shingles")).alias("shingle")).join(prefix, "shingle").where("m >= need").select("doc_key", "key").distinct()
+    # the item's own words, which a piece must hold
+    owners = own_hashes(index)
+    owned = docs.select("doc_key", F.explode("owns").alias("own")).join(owners, "own").groupBy("doc_key", "key").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("doc_key", "key")
+    met = docs.select("doc_key", F.size(F.array_distinct("shingles")).alias("m"), F.explode(F.array_distinct("shingles")).alias("shingle")).join(prefix, "shingle").where("m >= need").select("doc_key", "key").distinct().join(owned, ["doc_key", "key"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
