@@ -28,7 +28,7 @@ _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 
 def language(text: str) -> str | None:
     """The code of the language that most of the text is in; None where too little tells."""
-    scripts = {code: len(p.findall(text)) for code, p in _SCRIPTS}
+    scripts = {code: 0 if text.isascii() else len(p.findall(text)) for code, p in _SCRIPTS}
     if scripts["ja"]:
         scripts["ja"] += scripts.pop("zh")
     code, most = max(scripts.items(), key=lambda x: x[1])
@@ -36,9 +36,10 @@ def language(text: str) -> str | None:
     for w in _WORD.findall(text.lower()):
         for lang in (langs := _ONLY.get(w, ())):
             votes[lang] += 1 / len(langs)
-        for lang, letters in LETTERS.items():
-            if not letters.isdisjoint(w):
-                votes[lang] += 0.5
+        if not w.isascii():
+            for lang, letters in LETTERS.items():
+                if not letters.isdisjoint(w):
+                    votes[lang] += 0.5
     if most >= 2 and most >= 3 * sum(votes.values()):
         return code
     (best, score), (_, second) = sorted(votes.items(), key=lambda x: -x[1])[:2]
