@@ -100,6 +100,8 @@ _SPACELESS = re.compile(r"[぀-ヿ㐀-鿿豈-﫿฀-๿]")
 
 def words(text: str) -> list[str]:
     """Words, digits and signs in order; a script without spaces gives single characters."""
+    if not _SPACELESS.search(text):
+        return _WORD.findall(text)
     out: list[str] = []
     for w in _WORD.findall(text):
         if _SPACELESS.search(w):
