@@ -18,49 +18,43 @@ from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.cluster import cut, spread
 
 CAPACITY, NEARLY_FULL, FAN_IN = 2048, 0.98, 16
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
-#: A round with more open containers than this per group keeps more groups, so that a task's share stays bounded.
+#: A round with more open containers than this per group joins fewer groups, so that a task's share stays bounded; parameter of pack.
 GROUP_ROWS = 500_000
-#: Longer texts are counted in parts of so many characters, cut at white space where there is any.
-PART_CHARS = 200_000
 
 # Fixed value: the pre-tokenizing pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def _encoding(folder: str, vocabulary: str):
-    """The tokenizer, loaded once per Python worker (tiktoken's own registry outlives a task)."""
+    """The tokenizer, loaded once per Python worker (tiktoken's own registry outlives a task), from the file sent along or else the folder."""
+    import os
+
     import tiktoken.registry
 
     name = f"{folder}/{vocabulary}"
     if name not in tiktoken.registry.ENCODINGS:
-        with open(name, "rb") as lines:
+        sent = SparkFiles.get(vocabulary) if SparkFiles._is_running_on_worker else name
+        with open(sent if os.path.exists(sent) else name, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines)}
         tiktoken.registry.ENCODINGS[name] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return tiktoken.registry.ENCODINGS[name]
 
 
-def token_count(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Callable[[str], int]:
+def token_count(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, spark: SparkSession | None = None) -> Callable[[str], int]:
+    """Counts the tokens of a whole text; with spark, the vocabulary's file travels to the executors."""
+    if spark is not None:
+        spark.sparkContext.addFile(f"{folder}/{vocabulary}")
+
     def count(text: str) -> int:
-        encoding = _encoding(folder, vocabulary)
-        text = text.encode("utf-8", "replace").decode("utf-8")
-        if len(text) <= PART_CHARS:
-            return len(encoding.encode_ordinary(text))
-        total = at = 0
-        while at < len(text):
-            end = at + PART_CHARS
-            space = text.rfind(" ", at + 1, end) if end < len(text) else -1
-            end = space if space > at else end
-            total += len(encoding.encode_ordinary(text[at:end]))
-            at = end
-        return total
+        return len(_encoding(folder, vocabulary).encode_ordinary(text.encode("utf-8", "replace").decode("utf-8")))
 
     return count
 
@@ -122,9 +116,13 @@ def _again(round_no: int, capacity: int) -> Callable[[pd.DataFrame], pd.DataFram
     return run
 
 
-def pack(documents: DataFrame, count: Callable[[str], int] | None = None, capacity: int = CAPACITY, nearly_full: float = NEARLY_FULL, fan_in: int = FAN_IN) -> DataFrame:
-    """doc_id, item, piece_no, token_start, token_end, container of every piece of every text."""
-    pieces = cut(local_containers(documents, count or token_count(), capacity))
+def pack(documents: DataFrame, count: Callable[[str], int] | None = None, capacity: int = CAPACITY, nearly_full: float = NEARLY_FULL, fan_in: int = FAN_IN, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """doc_id, item, piece_no, token_start, token_end, container of every piece of every text.
+
+    Which texts share a container depends on how rows lie in partitions; that none is split
+    without need and none overfull does not.
+    """
+    pieces = cut(local_containers(documents, count or token_count(spark=documents.sparkSession), capacity))
     moves = None
     level = pieces.where(F.col("fill") < int(nearly_full * capacity)).select("container", "fill", "part").distinct()
     level, before, round_no = cut(level), None, 0
@@ -134,7 +132,7 @@ def pack(documents: DataFrame, count: Callable[[str], int] | None = None, capaci
         if row.n < 2 or (round_no and (row.groups < 2 or row.n > 0.995 * before)):
             break
         before, round_no = row.n, round_no + 1
-        width = max(1, min(fan_in, int(GROUP_ROWS * row.groups / row.n))) if row.groups > 1 else 1
+        width = max(1, min(fan_in, int(group_rows * row.groups / row.n))) if row.groups > 1 else 1
 
         packed = cut(level.withColumn("part", (F.col("part") / width).cast("int")).groupBy("part").applyInPandas(_again(round_no, capacity), "container string, into string, fill int, part int"))
         step = packed.select(F.col("container").alias("from"), "into")

@@ -28,16 +28,15 @@ from pyspark.sql import functions as F
 from stepweave.cluster import spread
 from stepweave.llm.language import language
 
-#: Documents on which the model is fitted, and characters of each that it reads; every document is split whole.
-MODEL_DOCUMENTS, MODEL_CHARS = 12_000, 4_000
-#: Characters within which a quote or bracket must close to hold its content together.
-REACH = 400
+#: Documents on which the model is fitted, whole ones of up to so many characters; every document is split.
+MODEL_DOCUMENTS, MODEL_CHARS = 12_000, 20_000
 #: Share of sentence ends that end a block, as assumed where nothing shows it; chance of a full stop of an abbreviation to end one.
 BLOCK_END, STRAY_END = 0.25, 0.004
 
 _MARKER = re.compile(r"[ \t　]*(?:(#{1,6})[ \t]+|([-*•·▪◦‣–—])[ \t]+|(\d{1,3})[.)][ \t]+|(\d{1,3})、[ \t]*|([A-Za-z])\)[ \t]+|[(（](\d{1,3})[)）][ \t]*)(?=\S)")
 _STOPS = ".!?。！？…।॥｡"
 _OPEN = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "‘": "’", "(": ")", "（": "）", "[": "]", "《": "》", "【": "】", '"': '"', "'": "'"}
+_SHUTS = {x: re.compile("[" + re.escape(x + shut) + "]") for x, shut in _OPEN.items()}
 _CLOSE = set("”“»」』’)）]》】\"'")
 _CJK = r"぀-ヿ㐀-鿿豈-﫿"
 _THAI = re.compile(r"[฀-๿]")
@@ -91,7 +90,11 @@ def blocks(text: str) -> list[tuple[int, int, int]]:
 
 def _before(text: str, start: int, at: int) -> str:
     """Type of the token that ends at a stop."""
-    m = _LAST.search(text[max(start, at - 40) : at])
+    near = max(start, at - 40)
+    m = _LAST.search(text[near:at])
+    while m and not m.start() and near > start:  # a token longer than that
+        near = max(start, near - 400)
+        m = _LAST.search(text[near:at])
     token = m.group().lstrip("\"'“„«‘([（「¿¡") if m else ""
     if _THAI.match(token[-1:]):
         return token[-4:]
@@ -250,19 +253,16 @@ def _closing(text: str, at: int, end: int) -> int:
         if opened in "'‘" and (at and (text[at - 1].isalnum() or text[at - 1] in "’'") or not text[at + 1 : at + 2].strip()):
             return -1
         i = at + 1
-        while 0 <= (i := min((j for c in shut if (j := text.find(c, i, min(end, at + REACH))) >= 0), default=-1)):
+        while 0 <= (i := min((j for c in shut if (j := text.find(c, i, end)) >= 0), default=-1)):
             if opened == '"' or not text[i + 1 : i + 2].isalnum():
                 return i
             i += 1
         return -1
     depth = 0
-    for i in range(at, min(end, at + REACH)):
-        if text[i] in shut and i > at:
-            depth -= 1
-            if not depth:
-                return i
-        elif text[i] == opened:
-            depth += 1
+    for m in _SHUTS[opened].finditer(text, at, end):
+        depth += 1 if m.group() == opened else -1
+        if not depth:
+            return m.start()
     return -1
 
 
@@ -366,8 +366,8 @@ def units(text: str, model: BoundaryModel) -> list[tuple[int, int]]:
 
 
 def fit(documents: DataFrame) -> BoundaryModel:
-    """The model, from the MODEL_DOCUMENTS documents with the smallest hashed id."""
-    rows = documents.where("text is not null").select("doc_id", F.substring("text", 1, MODEL_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MODEL_DOCUMENTS).collect()
+    """The model, from the MODEL_DOCUMENTS documents of up to MODEL_CHARS characters with the smallest hashed id."""
+    rows = documents.where(F.length("text") <= MODEL_CHARS).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MODEL_DOCUMENTS).collect()
     return BoundaryModel([r.text for r in rows])
 
 

@@ -39,6 +39,13 @@ def test_best_fit():
 def test_tokens():
     count = packing.token_count()
     assert count("") == 0 and count("Tap the map pin.") == 5 and count("a " * 150_000) > 100_000
+    assert count("x" * 1_000_003) == len(packing._encoding(packing.TOKENIZERS, packing.VOCABULARY).encode_ordinary("x" * 1_000_003))
+
+
+def test_vocabulary_travels(spark):
+    count = packing.token_count(spark=spark)
+    got = spark.createDataFrame([("Tap the map pin.",)], "text string").mapInPandas(lambda bs: (b.assign(n=[count(t) for t in b.text])[["n"]] for b in bs), "n bigint")
+    assert got.first().n == 5
 
 
 def leaked(spark, texts, items=((1, ITEM), (2, LIKE))):
@@ -211,6 +218,12 @@ def test_units(model, text, want):
     assert [text[a:b] for a, b in sentences.units(text, model)] == want
 
 
+def test_long_quotes_hold_together(model):
+    inside = "The list opened. It failed again. " * 60
+    for text in (f"He typed “{inside.strip()}” and got no answer.", f"It failed again ({inside.strip()}) and stopped."):
+        assert sentences.units(text, model) == [(0, len(text))]
+
+
 def test_thai():
     model = sentences.BoundaryModel(["หน้าที่ 20 ไม่มีโหนดเลยครับ การเชื่อมต่อกลับมาแล้ว\n\nการเชื่อมต่อกลับมาแล้ว หน้าที่ 3 ไม่มีโหนดเลยครับ"] * 40)
     text = "หน้าที่ 58 ไม่มีโหนดเลยครับ การเชื่อมต่อกลับมาแล้ว"
