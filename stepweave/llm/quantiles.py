@@ -5,7 +5,8 @@ the extent of the value's possible ranks. Each partition sorts its values once a
 tuples so that no value's rank is uncertain by more than eps * n; summaries merge by
 interleaving their tuples, each gaining the uncertainty of its neighbours in the other
 list; a merged summary is compressed again by the permitted uncertainty. Merging goes in
-rounds of FAN_IN summaries a task, so that no task holds more than FAN_IN of one group. The
+rounds: the states of FAN_IN neighbouring partitions are one task's share of a group, then
+those of FAN_IN such shares, as many rounds as the number of partitions asks for. The
 error that is reported is the one accumulated in the tuples, not the one permitted.
 
 Defined results: null, NaN, infinite and negative values are no measurements and are only
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,10 +94,11 @@ def answers(s: tuple, probabilities: tuple[float, ...] = PROBABILITIES) -> list[
 
 
 def partial_states(rows: DataFrame, keys: list[str], value: str, eps: float = EPS) -> DataFrame:
-    """One state per partition of rows and group: keys, n, v, g, d. No shuffle."""
-    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + f", {STATE}"
+    """One state per partition of rows and group: keys, n, v, g, d, at (the partition). No shuffle."""
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + f", {STATE}, at int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = TaskContext.get().partitionId()
         held: dict[tuple, tuple] = {}
         kept: list[pd.DataFrame] = []
 
@@ -119,9 +122,9 @@ def partial_states(rows: DataFrame, keys: list[str], value: str, eps: float = EP
             if sum(map(len, kept)) >= SORTED_ROWS:
                 settle()
         settle()
-        out = [(*key, int(s[0]), s[1].tolist(), s[2].tolist(), s[3].tolist()) for key, s in held.items()]
+        out = [(*key, int(s[0]), s[1].tolist(), s[2].tolist(), s[3].tolist(), at) for key, s in held.items()]
         for i in range(0, len(out), 2000):
-            yield pd.DataFrame(out[i : i + 2000], columns=[*keys, "n", "v", "g", "d"])
+            yield pd.DataFrame(out[i : i + 2000], columns=[*keys, "n", "v", "g", "d", "at"])
 
     return rows.select(*keys, value).mapInPandas(run, schema)
 
@@ -145,16 +148,12 @@ def merged(states: DataFrame, keys: list[str], eps: float = EPS) -> DataFrame:
 def summaries(rows: DataFrame, keys: list[str], value: str, eps: float = EPS, fan_in: int = FAN_IN) -> DataFrame:
     """Group summaries of a column: partial states, then rounds of merging fan_in states a task."""
     good = rows.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")) & (F.col(value) >= 0)).withColumn(value, F.col(value).cast("double"))
-    states = partial_states(good, keys, value, eps)
-    spark = rows.sparkSession
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    if width > fan_in:
-        states = states.withColumn("at", (F.spark_partition_id() % width).cast("int"))
-        while width > fan_in:
-            width = -(-width // fan_in)
-            states = merged(states.withColumn("at", (F.col("at") / fan_in).cast("int")), [*keys, "at"], eps * 0.75)
-        states = states.drop("at")
-    return merged(states, keys, eps)
+    states = cut(partial_states(good, keys, value, eps))
+    parts = (states.agg(F.max("at")).first()[0] or 0) + 1
+    while parts > fan_in:
+        parts = -(-parts // fan_in)
+        states = merged(states.withColumn("at", (F.col("at") / fan_in).cast("int")), [*keys, "at"], eps * 0.75)
+    return merged(states.drop("at"), keys, eps)
 
 
 def percentiles(states: DataFrame, keys: list[str], probabilities: tuple[float, ...] = PROBABILITIES) -> DataFrame:
@@ -188,6 +187,19 @@ def measurements(timings: DataFrame, results: DataFrame, examples: DataFrame, la
     )
 
 
-def merged_file_states(spark, states: DataFrame, keys: list[str]) -> DataFrame:
-    """States written to the shared folder and merged again: how days and files are combined later."""
-    return merged(cut(states), keys)
+def checked(rows: DataFrame, answers: DataFrame, keys: list[str], probabilities: tuple[float, ...] = PROBABILITIES) -> DataFrame:
+    """keys, n, and for each percentile whether its true ranks among the rows lie within the stated bound of the wanted one: a count, nothing is sorted."""
+    names = [f"p{q * 100:g}".replace(".", "_") for q in probabilities]
+    good = rows.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")) & (F.col("value") >= 0))
+    mine = answers.select(*[F.col(k).alias(f"k_{k}") for k in keys], "n", "rank_error", *names)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"k_{k}"))
+    counts = good.join(mine, same).groupBy(*keys, "n", "rank_error").agg(*[F.count_if(F.col("value") < F.col(x)).alias(f"{x}_below") for x in names], *[F.count_if(F.col("value") <= F.col(x)).alias(f"{x}_to") for x in names])
+
+    def inside(x: str, q: float) -> Column:
+        rank = F.greatest(F.lit(1), F.ceil(F.col("n") * q - 1e-9))
+        off = F.greatest(F.lit(0), F.col(f"{x}_below") + 1 - rank, rank - F.col(f"{x}_to"))
+        return (off <= F.col("rank_error") * F.col("n") + 1e-6).alias(f"{x}_inside")
+
+    return counts.select(*keys, "n", (F.col("rank_error") <= EPS + 1 / F.col("n")).alias("bounded"), *[inside(x, q) for x, q in zip(names, probabilities)])

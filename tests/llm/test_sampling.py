@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from stepweave.llm.quantiles import answers, compress, merge, merged, partial_states, percentiles, summaries, summarize
+from stepweave.llm.quantiles import answers, checked, compress, merge, merged, partial_states, percentiles, summaries, summarize
 from stepweave.llm.sampling import distinct_examples, feasible, outline, plan, sample
 
 TARGETS = [("in_distribution", "high_level", 0.5, 1), ("app_unseen", "low_level", 0.3, 2), ("task_unseen", "low_level", 0.2, 3), ("task_unseen", "low_level", 0.1, 0)]
@@ -40,7 +40,7 @@ def test_merge_of_outlines(spark):
     each = distinct_examples(examples).cache()
     parts = outline(each.where("bucket < 2000")).unionByName(outline(each.where("bucket >= 2000")))
     key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(plan(spark, parts, targets)) == key(plan(spark, outline(each), targets))
+    assert key(plan(spark, parts.groupBy("partition_name", "instruction_mode", "bucket").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n"), targets)) == key(plan(spark, outline(each), targets))
 
 
 def test_empty(spark):
@@ -95,3 +95,35 @@ def test_states(spark):
     days = partial_states(df.where("k = 'a' and v between 1 and 50"), ["k"], "v").unionByName(partial_states(df.where("k = 'a' and v > 50 and v < 101"), ["k"], "v"))
     assert percentiles(merged(days, ["k"]), ["k"]).first().p50 == 50.0
     assert summaries(df.limit(0), ["k"], "v").collect() == []
+
+
+def test_rounds_by_the_number_of_states(spark):
+    """Many more partitions than shuffle partitions: every round joins at most fan_in states, and the bound holds."""
+    rng = np.random.default_rng(3)
+    values = np.round(rng.lognormal(3, 2, 6000), 1).tolist()
+    df = spark.createDataFrame([("a" if i % 3 else "b", v) for i, v in enumerate(values)], "k string, value double").repartition(50)
+    states = summaries(df, ["k"], "value", eps=0.02, fan_in=3)
+    found = {r.k: r for r in percentiles(states, ["k"]).collect()}
+    for k in "ab":
+        mine = sorted(v for i, v in enumerate(values) if ("a" if i % 3 else "b") == k)
+        for q, x in ((0.5, found[k].p50), (0.9, found[k].p90), (0.99, found[k].p99)):
+            rank = int(np.ceil(q * len(mine) - 1e-9))
+            low, high = np.searchsorted(mine, x) + 1, np.searchsorted(mine, x, side="right")
+            assert max(0, low - rank, rank - high) <= found[k].rank_error * len(mine) + 1e-6
+        assert 0 < found[k].rank_error <= 0.02 + 1 / len(mine) and found[k].n == len(mine)
+    assert all(r.p50_inside and r.p90_inside and r.p99_inside for r in checked(df, percentiles(states, ["k"]), ["k"]).collect())
+
+
+def test_minimums_beyond_the_size(spark):
+    examples, _ = frames(spark, [(f"a{i}", "IDD", "HL", None, None) for i in range(6)] + [(f"b{i}", "app_unseen", "LL", None, None) for i in range(4)])
+    targets = spark.createDataFrame([("in_distribution", "high_level", 0.5, 4), ("app_unseen", "low_level", 0.5, 4)], "partition_name string, instruction_mode string, target_share double, min_count int")
+    taken, report = sample(examples, targets)
+    assert taken.count() == 8 and all(r.minimums_exceed and r.taken == 4 and not r.exhausted for r in report.collect())
+
+
+def test_sub_buckets(spark):
+    """More examples than buckets: the trim goes on within a bucket, down to single examples."""
+    examples, targets = frames(spark, [(f"a{i}", "IDD", "HL", None, None) for i in range(20_001)])
+    each = distinct_examples(examples)
+    want = {r.observation_id for r in each.orderBy("priority", "observation_id").limit(10_000).collect()}
+    assert {r.observation_id for r in sample(examples, targets)[0].collect()} == want
