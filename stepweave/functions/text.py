@@ -44,13 +44,14 @@ def overlap_f1(a: Column, b: Column) -> Column:
 
 
 def view_id_leaf(view_id: Column, most: int = 64) -> Column:
-    """The part after the last slash and colon, cut; null for empty."""
-    return F.nullif(F.substring(F.regexp_extract(view_id, r"([^/:]*)$", 1), 1, most), F.lit(""))
+    """The part after the last slash, then after the last colon, without the prefix gbs., cut; null for empty."""
+    leaf = F.regexp_replace(F.regexp_extract(view_id, r"([^/:]*)$", 1), r"^gbs\.", "")
+    return F.nullif(F.rtrim(F.substring(leaf, 1, most)), F.lit(""))
 
 
 def widget_leaf(class_name: Column) -> Column:
-    """Last dotted part of a class name, $ as underscore."""
-    return F.translate(F.regexp_extract(class_name, r"([^.]*)$", 1), "$", "_")
+    """Last dotted part of a class name in lower case, $ as underscore."""
+    return F.translate(F.regexp_extract(F.lower(class_name), r"([^.]*)$", 1), "$", "_")
 
 
 def printable_runs(raw: Column) -> Column:
@@ -58,6 +59,17 @@ def printable_runs(raw: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.decode(raw, "ISO-8859-1"), F.lit("([ -~]{3,})"), 1), lambda x: x.rlike("[A-Za-z]")))
 
 
+# What marks a fragment as an address.
+_URL = r"(?i)https?://|www\.|googleadservices\.com|doubleclick\.net|utm_|gclid(?:=|%3d)|adurl(?:=|%3d)|client=ca-app-pub"
+
+
+def is_noise(fragment: Column) -> Column:
+    """Whether a fragment says nothing: under three signs, no letter, an address, over 64 signs with four percent escapes in a row, over 120 with a query string."""
+    x = F.trim(F.regexp_replace(fragment, r"(?U)\s+", " "))
+    count = lambda sign: F.length(x) - F.length(F.replace(x, F.lit(sign), F.lit("")))
+    return (F.length(x) < 3) | ~x.rlike(r"\p{L}") | x.rlike(_URL) | ((F.length(x) > 64) & x.rlike("(?:%[0-9A-Fa-f]{2}){4,}")) | ((F.length(x) > 120) & (count("=") >= 2) & (count("&") >= 2))
+
+
 def bounded_fragments(text: Column, most: int = 64, budget: int = 4096, each: int = 160) -> Column:
     """Fragments between bars, noise dropped, cut to `each`; stops at `most` fragments or at the first beyond the budget, then distinct."""
     empty = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("size"), F.lit(False).alias("full"))
@@ -67,8 +79,8 @@ def bounded_fragments(text: Column, most: int = 64, budget: int = 4096, each: in
         full = state["full"] | (F.size(state["kept"]) >= most) | (size > budget)
         return F.struct(F.when(full, state["kept"]).otherwise(F.concat(state["kept"], F.array(part))).alias("kept"), F.when(full, state["size"]).otherwise(size).alias("size"), full.alias("full"))
 
-    parts = F.transform(F.split(text, r"\|"), lambda x: F.substring(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")), 1, each))
-    good = F.filter(parts, lambda x: (F.length(x) >= 3) & x.rlike(r"\p{L}") & ~x.rlike(r"^(https?://|www\.)"))
+    parts = F.filter(F.split(text, r"\|"), lambda x: ~is_noise(x))
+    good = F.transform(parts, lambda x: F.rtrim(F.substring(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")), 1, each)))
     return F.array_join(F.array_distinct(F.aggregate(good, empty, add, lambda s: s["kept"])), " | ")
 
 
@@ -77,9 +89,11 @@ def percent(share: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """Seconds as 1h02m03s."""
-    s = F.floor(seconds).cast("bigint")
-    return F.format_string("%dh%02dm%02ds", F.floor(s / 3600).cast("bigint"), F.floor(s % 3600 / 60).cast("bigint"), s % 60)
+    """Seconds, rounded half to even, as 45s, 2m05s or 5h32m33s; n/a for null and negative ones."""
+    s = F.bround(seconds).cast("bigint")
+    hours, minutes = F.floor(s / 3600).cast("bigint"), F.floor(s % 3600 / 60).cast("bigint")
+    text = F.when(hours > 0, F.format_string("%dh%02dm%02ds", hours, minutes, s % 60)).when(minutes > 0, F.format_string("%dm%02ds", minutes, s % 60)).otherwise(F.format_string("%ds", s))
+    return F.when(seconds.isNull() | (seconds < 0), "n/a").otherwise(text)
 
 
 def sorted_pairs(entries: Column) -> Column:

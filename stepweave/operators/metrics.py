@@ -20,10 +20,21 @@ PHASES = (
 EXACT = "decimal(30,4)"
 
 
+def memberships(*sources: Column) -> Column:
+    """The canonical partitions of the first source that names any (arrays of labels, or a label); in_distribution without one. Unknown labels stay as they are."""
+
+    def named(label: Column) -> Column:
+        return F.coalesce(canonical(label, PARTITIONS), F.nullif(label, F.lit("")))
+
+    lists = [F.nullif(F.array_distinct(F.array_compact(F.transform(s, named))), F.array().cast("array<string>")) for s in sources]
+    return F.coalesce(*lists, F.array(F.lit("in_distribution")))
+
+
 def judged(results: DataFrame, examples: DataFrame) -> DataFrame:
-    """step_results with the canonical partition and mode of their examples; a null partition counts as in_distribution."""
-    labels = examples.select("example_id", F.coalesce(canonical(F.col("partition_name"), PARTITIONS), F.lit("in_distribution")).alias("part"), "shot_count")
-    return results.join(labels, "example_id").withColumn("mode", canonical(F.col("instruction_mode"), MODES))
+    """step_results with the partitions and mode of their examples; a null partition, or an unknown example, counts as in_distribution."""
+    labels = examples.select("example_id", memberships(F.array("partition_name")).alias("parts"), "shot_count")
+    known = results.join(labels, "example_id", "left").withColumn("parts", F.coalesce("parts", F.array(F.lit("in_distribution"))))
+    return known.withColumn("part", F.col("parts")[0]).withColumn("mode", canonical(F.col("instruction_mode"), MODES))
 
 
 def share(flag: Column) -> Column:
@@ -31,36 +42,44 @@ def share(flag: Column) -> Column:
     return F.coalesce(F.avg(F.coalesce(flag, F.lit(False)).cast("int")), F.lit(0.0))
 
 
+def share_if(rows: Column, flag: Column) -> Column:
+    """Mean of a boolean over the rows that a condition takes, null as false, 0 for none."""
+    return F.coalesce(F.avg(F.when(rows, F.coalesce(flag, F.lit(False)).cast("int"))), F.lit(0.0))
+
+
 def sane(value: Column) -> Column:
     """A measurement, or null where it is NaN, negative or absurd."""
     return F.when((value >= 0) & (value < 1e12) & ~F.isnan(value), value)
 
 
 def accuracy_by_partition(rows: DataFrame) -> DataFrame:
-    """Per partition and overall, and method: steps, episodes, step and episode accuracy. An episode is right if all its steps are."""
-    both = rows.select(F.explode(F.array("part", F.lit("overall"))).alias("part"), "method", "benchmark", "episode_id", "primary_correct")
-    episodes = both.groupBy("part", "method", "benchmark", "episode_id").agg(F.count("*").alias("n"), F.sum(F.coalesce("primary_correct", F.lit(False)).cast("int")).alias("right"))
-    return episodes.groupBy("part", "method").agg(
+    """Of AndroidControl per partition and overall, mode and method: steps, episodes, step and episode accuracy.
+
+    A row counts in each of its partitions; an episode is right if all its steps are.
+    """
+    both = rows.where("benchmark = 'AndroidControl' and mode is not null").select(F.explode(F.array_union("parts", F.array(F.lit("overall")))).alias("part"), "mode", "method", "episode_id", "primary_correct")
+    episodes = both.groupBy("part", "mode", "method", "episode_id").agg(F.count("*").alias("n"), F.sum(F.coalesce("primary_correct", F.lit(False)).cast("int")).alias("right"))
+    return episodes.groupBy("part", "mode", "method").agg(
         F.sum("n").alias("n_steps"), F.count("*").alias("n_episodes"), F.round(F.sum("right") / F.sum("n"), 6).alias("step_accuracy"), F.round(F.avg((F.col("right") == F.col("n")).cast("int")), 6).alias("episode_accuracy")
     )
 
 
 def accuracy_delta(by_partition: DataFrame) -> DataFrame:
-    """hybrid minus baseline per partition, absolute and relative (null for a baseline of 0)."""
-    side = lambda m: by_partition.where(F.col("method") == m).select("part", F.col("step_accuracy").alias(m))
-    both = side("baseline").join(side("hybrid"), "part", "full")
-    return both.select("part", "baseline", "hybrid", F.round(F.col("hybrid") - F.col("baseline"), 6).alias("delta"), F.round(F.try_divide(F.col("hybrid") - F.col("baseline"), F.col("baseline")), 6).alias("relative"))
+    """hybrid minus baseline per partition and mode, absolute and relative (null for a baseline of 0)."""
+    side = lambda m: by_partition.where(F.col("method") == m).select("part", "mode", F.col("step_accuracy").alias(m))
+    both = side("baseline").join(side("hybrid"), ["part", "mode"], "full")
+    return both.select("part", "mode", "baseline", "hybrid", F.round(F.col("hybrid") - F.col("baseline"), 6).alias("delta"), F.round(F.try_divide(F.col("hybrid") - F.col("baseline"), F.col("baseline")), 6).alias("relative"))
 
 
 def mode_metrics(rows: DataFrame) -> DataFrame:
-    """Per mode and method: step accuracy, tokens and latency of an episode, latency of a step."""
+    """Per mode and method: step accuracy, input and output tokens and latency of an episode, latency of a step (an unknown one counts as 0)."""
     r = rows.where("mode is not null").withColumn("ms", sane(F.col("latency_ms")).cast(EXACT))
     episodes = r.groupBy("mode", "method", "benchmark", "episode_id").agg(
-        F.count("*").alias("n"), F.sum(F.coalesce("primary_correct", F.lit(False)).cast("int")).alias("right"), F.sum(F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("generated_tokens", F.lit(0))).alias("tokens"), F.sum("ms").alias("ms"), F.count("ms").alias("n_ms")
+        F.count("*").alias("n"), F.sum(F.coalesce("primary_correct", F.lit(False)).cast("int")).alias("right"), F.sum(F.coalesce("prompt_tokens", F.lit(0))).alias("input"), F.sum(F.coalesce("generated_tokens", F.lit(0))).alias("output"), F.sum(F.coalesce("ms", F.lit(0).cast(EXACT))).alias("ms")
     )
     return episodes.groupBy("mode", "method").agg(
-        F.sum("n").alias("n_steps"), F.round(F.sum("right") / F.sum("n"), 6).alias("step_accuracy"), F.round(F.sum("tokens") / F.count("*"), 4).alias("tokens_per_episode"),
-        F.round(F.sum("ms").cast("double") / F.sum("n_ms") / 1000, 4).alias("step_seconds"), F.round(F.sum("ms").cast("double") / F.count("ms") / 1000, 4).alias("episode_seconds"),
+        F.sum("n").alias("n_steps"), F.round(F.sum("right") / F.sum("n"), 6).alias("step_accuracy"), F.round(F.sum("input") / F.count("*"), 4).alias("input_tokens_per_episode"), F.round(F.sum("output") / F.count("*"), 4).alias("output_tokens_per_episode"),
+        F.round(F.sum("ms").cast("double") / F.sum("n") / 1000, 4).alias("step_seconds"), F.round(F.sum("ms").cast("double") / F.count("*") / 1000, 4).alias("episode_seconds"),
     )
 
 
@@ -80,23 +99,27 @@ def merge_phases(partials: DataFrame, *keys: str) -> DataFrame:
     return m.select(*keys, "phase", "n", F.round(F.col("total").cast("double"), 3).alias("total"), F.round(F.col("total").cast("double") / F.col("n"), 3).alias("mean"), F.round(F.col("least").cast("double"), 3).alias("least"), F.round(F.col("most").cast("double"), 3).alias("most"))
 
 
-def exact_ranks(rows: DataFrame, keys: list[str], value: str, rank: Column) -> DataFrame:
-    """keys, n, wanted, value: the value of a rank (from 0, a function of the group's n) in each group, exactly.
+def exact_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """keys, n, rank (its name), value: the values of ranks (from 0, functions of the group's n) in each group, exactly.
 
-    A histogram of the values' magnitudes (some thousand buckets a group) tells in which
-    bucket the rank lies; only that bucket's rows are sorted.
+    Equal values are counted first, so that ties, however many, are one row; a histogram of
+    the different values' magnitudes (some thousand buckets a group) tells in which bucket a
+    rank lies, and only the different values of such buckets are sorted. All ranks share one
+    pass over the rows.
     """
-    r = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    r = r.withColumn("bucket", F.floor(F.log1p(F.abs("v")) * 64).cast("int") * F.when(F.col("v") < 0, -1).otherwise(1))
-    counts = r.groupBy(*keys, "bucket").agg(F.count("*").alias("c"))
+    r = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    r = r.withColumn("bucket", F.floor(F.log1p(F.abs("v")) * 256).cast("int") * F.when(F.col("v") < 0, -1).otherwise(1))
+    counts = r.groupBy(*keys, "bucket").agg(F.sum("c").alias("c"))
     in_group = Window.partitionBy(*keys)
-    placed = counts.withColumn("n", F.sum("c").over(in_group)).withColumn("below", F.sum("c").over(in_group.orderBy("bucket")) - F.col("c")).withColumn("wanted", rank)
-    hit = placed.where("wanted >= below and wanted < below + c").select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("bucket").alias("k_bucket"), "n", "wanted", "below")
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("rank"), rank.alias("wanted")) for name, rank in ranks.items()]))
+    placed = counts.withColumn("n", F.sum("c").over(in_group)).withColumn("below", F.sum("c").over(in_group.orderBy("bucket")) - F.col("c"))
+    hit = placed.withColumn("r", wanted).where("r.wanted >= below and r.wanted < below + c").select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("bucket").alias("k_bucket"), "n", "r.rank", "r.wanted", "below")
     same = F.col("bucket") == F.col("k_bucket")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"k_{k}"))
-    ordered = r.join(hit, same).withColumn("at", F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy("v")) - 1 + F.col("below"))
-    return ordered.where("at = wanted").select(*keys, "n", "wanted", F.col("v").alias("value"))
+    to = F.sum("c").over(Window.partitionBy(*keys, "bucket", "rank").orderBy("v"))
+    ordered = r.join(hit, same).withColumn("to", to + F.col("below"))
+    return ordered.where("wanted < to and wanted >= to - c").select(*keys, "n", "rank", F.col("v").alias("value"))
 
 
 def nearest_index(q: float) -> Column:
@@ -114,7 +137,7 @@ def number(df: DataFrame, key: str) -> DataFrame:
     return ranked.join(F.broadcast(before), "_part").withColumn("no", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
 
 
-def bootstrap(rows: DataFrame, group: str, flag: str, draws: int = 200, seed: int = 0) -> DataFrame:
+def bootstrap(rows: DataFrame, group: str, flag: str, draws: int = 1000, seed: int = 0) -> DataFrame:
     """Cluster bootstrap of an accuracy: mean and nearest-index 2.5 and 97.5 % of `draws` resamples of the groups.
 
     A draw of a group is a hash of the seed, the resample and its place, so that it can be

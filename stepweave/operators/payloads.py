@@ -110,7 +110,7 @@ def key_paths(df: DataFrame, key: str, payload: str) -> DataFrame:
 
 
 # Keys that a step's input must not have, as they tell what comes after it.
-FORBIDDEN = ("goal_status", "next_state", "outcome")
+FORBIDDEN = ("future_annotation", "future_annotations", "future_trajectory", "next_step", "next_step_sketch", "teacher", "teacher_annotation", "teacher_annotations", "teacher_only")
 FORBIDDEN_PREFIXES = ("future_", "next_step_", "teacher_")
 
 

@@ -12,12 +12,9 @@ from pyspark.sql import functions as F
 from stepweave.functions.geometry import area, contains, strict_box
 from stepweave.functions.text import clean, normalize, overlap_f1, tokens
 
-# Widgets that only hold others, and widgets that tell something without a text.
-CONTAINERS = ("framelayout", "linearlayout", "relativelayout", "recyclerview", "scrollview", "viewgroup", "view")
-INFORMATIVE = ("button", "imagebutton", "checkbox", "switch", "radiobutton", "edittext", "seekbar", "spinner")
-#: The reference's own sets, as it compares them: its containers have underscores, which only `view` does without.
-STORED_CONTAINERS = ("frame_layout", "linear_layout", "relative_layout", "view", "view_group")
-STORED_INFORMATIVE = ("button", "checkbox", "checkedtextview", "edittext", "imagebutton", "imageview", "radiobutton", "recyclerview", "scrollview", "seekbar", "spinner", "switch", "tabwidget", "textview", "webview")
+# Widgets that only hold others (as they are compared, of which only `view` has no underscore), and widgets that tell something without a text.
+CONTAINERS = ("frame_layout", "linear_layout", "relative_layout", "view", "view_group")
+INFORMATIVE = ("button", "checkbox", "checkedtextview", "edittext", "imagebutton", "imageview", "radiobutton", "recyclerview", "scrollview", "seekbar", "spinner", "switch", "tabwidget", "textview", "webview")
 
 
 def _yes(flag: Column) -> Column:

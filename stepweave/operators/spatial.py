@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepweave.functions.geometry import area, contains
 from stepweave.functions.text import clean, view_id_leaf, widget_leaf
-from stepweave.operators.scoring import STORED_CONTAINERS, STORED_INFORMATIVE, keeps_node
+from stepweave.operators.scoring import keeps_node
 
 BOX = "l int, t int, r int, b int"
 
@@ -65,9 +65,9 @@ def candidates(nodes: DataFrame, most: int = 128, stored: int = 192, screens: Da
     text, description, class_name, view_id = clean(F.col("text")), clean(F.col("content_description")), clean(F.col("class_name")), view_id_leaf(clean(F.col("view_id_resource_name")))
     flags = ("editable", "clickable", "scrollable", "checkable", "checked")
     parts = F.array_distinct(F.array_compact(F.array("t", "d", "v")))
-    n = n.withColumns({"t": text, "d": description, "c": class_name, "v": F.rtrim(F.when(~view_id.startswith("gbs."), view_id)), "leaf": F.lower(widget_leaf(class_name)), **{f"is_{k}": on(k) for k in flags}})
+    n = n.withColumns({"t": text, "d": description, "c": class_name, "v": view_id, "leaf": widget_leaf(class_name), **{f"is_{k}": on(k) for k in flags}})
     node = F.struct("box", (F.coalesce(F.col("visible"), F.lit("true")) != "false").alias("visible"), *[F.col(f"is_{k}").alias(k) for k in flags[:4]], F.col("t").alias("text"), F.col("d").alias("description"), F.col("v").alias("view_id"), F.col("leaf").alias("widget"))
-    n = n.where(keeps_node(node, F.col("screen"), STORED_CONTAINERS, STORED_INFORMATIVE))
+    n = n.where(keeps_node(node, F.col("screen")))
     n = n.withColumn("first", F.row_number().over(Window.partitionBy(*screen, "box", "t", "d", "c", "v").orderBy("window_no", "node_no"))).where("first = 1")
     n = n.withColumn("name", F.nullif(F.rtrim(F.substring(F.array_join(F.slice(parts, 1, 2), " | "), 1, 160)), F.lit(""))).withColumn("kind", F.concat_ws(" ", "leaf", *[F.when(F.col(f"is_{k}"), F.lit(k)) for k in flags]))
     actionable = F.col("is_editable") | F.col("is_clickable") | F.col("is_scrollable") | F.col("is_checkable")

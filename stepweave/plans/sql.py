@@ -7,10 +7,11 @@ _SPLIT = "case " + _CANON.format(c="split") + " when 'train' then 'train' when '
 # NaN is told by its text: a filter by isnan() is answered from the file's statistics, which leave NaN out
 _SANE = "case when cast({c} as varchar) <> 'nan' and {c} >= 0 and {c} < 1e12 then {c} end"
 _JUDGED = f"""labels as (select example_id, coalesce({_PART}, 'in_distribution') as part, shot_count from eval_examples),
-judged as (select r.* exclude (instruction_mode), l.part, l.shot_count, {_MODE} as mode, coalesce(primary_correct, false) as ok, {_SANE.format(c="latency_ms")} as ms from step_results r join labels l using (example_id))"""
-_BY_PART = """both_ as (select part, method, benchmark, episode_id, ok from judged union all select 'overall', method, benchmark, episode_id, ok from judged),
-eps as (select part, method, benchmark, episode_id, count(*) as n, sum(ok::int) as good from both_ group by all),
-acc as (select part, method, sum(n)::bigint as n_steps, count(*) as n_episodes, round(sum(good) / sum(n), 6) as step_accuracy, round(avg((good = n)::int), 6) as episode_accuracy from eps group by all)"""
+judged as (select r.* exclude (instruction_mode), coalesce(l.part, 'in_distribution') as part, l.shot_count, {_MODE} as mode, coalesce(primary_correct, false) as ok, {_SANE.format(c="latency_ms")} as ms from step_results r left join labels l using (example_id))"""
+_BY_PART = """android as (select * from judged where benchmark = 'AndroidControl' and mode is not null),
+both_ as (select part, mode, method, episode_id, ok from android union all select 'overall', mode, method, episode_id, ok from android),
+eps as (select part, mode, method, episode_id, count(*) as n, sum(ok::int) as good from both_ group by all),
+acc as (select part, mode, method, sum(n)::bigint as n_steps, count(*) as n_episodes, round(sum(good) / sum(n), 6) as step_accuracy, round(avg((good = n)::int), 6) as episode_accuracy from eps group by all)"""
 _PHASES = "image_prep_ms, message_build_ms, total_generation_ms, output_parse_ms, total_e2e_step_ms, tokenization_ms, gpu_transfer_ms, model_generate_ms, output_decode_ms, vision_encoder_ms, attn_scoring_prune_ms, llm_forward_ms, prefill_ms, decode_ms, decode_steps"
 _PHASE_ROWS = f"""long as (select {{keys}}phase, cast(v as decimal(30,4)) as ms from (unpivot ({{source}}) on {_PHASES} into name phase value v) where cast(v as varchar) <> 'nan' and v >= 0 and v < 1e12)"""
 _PHASE_AGG = "count(*) as n, round(cast(sum(ms) as double), 3) as total, round(cast(sum(ms) as double) / count(*), 3) as mean, round(cast(min(ms) as double), 3) as least, round(cast(max(ms) as double), 3) as most"
@@ -38,11 +39,16 @@ def _quantiles() -> str:
 
 SQL: dict[str, str] = {
     "accuracy_by_partition": f"with {_JUDGED}, {_BY_PART} select * from acc",
-    "accuracy_delta": f"""with {_JUDGED}, {_BY_PART} select part, b.step_accuracy as baseline, h.step_accuracy as hybrid, round(h.step_accuracy - b.step_accuracy, 6) as delta, round((h.step_accuracy - b.step_accuracy) / nullif(b.step_accuracy, 0), 6) as relative
-        from (select * from acc where method = 'baseline') b full join (select * from acc where method = 'hybrid') h using (part)""",
-    "mode_metrics": f"""with {_JUDGED}, eps as (select mode, method, benchmark, episode_id, count(*) as n, sum(ok::int) as good, sum(coalesce(prompt_tokens, 0) + coalesce(generated_tokens, 0)) as tokens, sum(cast(ms as decimal(30,4))) as ms, count(ms) as n_ms from judged where mode is not null group by all)
-        select mode, method, sum(n)::bigint as n_steps, round(sum(good) / sum(n), 6) as step_accuracy, round(sum(tokens) / count(*), 4) as tokens_per_episode, round(cast(sum(ms) as double) / sum(n_ms) / 1000, 4) as step_seconds, round(cast(sum(ms) as double) / count(ms) / 1000, 4) as episode_seconds from eps group by all""",
-    "shot_metrics": f"with {_JUDGED} select shot_count, method, count(*) as n, round(avg(ok::int), 6) as accuracy from judged where shot_count is not null group by all",
+    "accuracy_delta": f"""with {_JUDGED}, {_BY_PART} select part, mode, b.step_accuracy as baseline, h.step_accuracy as hybrid, round(h.step_accuracy - b.step_accuracy, 6) as delta, round((h.step_accuracy - b.step_accuracy) / nullif(b.step_accuracy, 0), 6) as relative
+        from (select * from acc where method = 'baseline') b full join (select * from acc where method = 'hybrid') h using (part, mode)""",
+    "mode_metrics": f"""with {_JUDGED}, eps as (select mode, method, benchmark, episode_id, count(*) as n, sum(ok::int) as good, sum(coalesce(prompt_tokens, 0)) as i, sum(coalesce(generated_tokens, 0)) as o, sum(cast(coalesce(ms, 0) as decimal(30,4))) as ms from judged where mode is not null group by all)
+        select mode, method, sum(n)::bigint as n_steps, round(sum(good) / sum(n), 6) as step_accuracy, round(sum(i) / count(*), 4) as input_tokens_per_episode, round(sum(o) / count(*), 4) as output_tokens_per_episode, round(cast(sum(ms) as double) / sum(n) / 1000, 4) as step_seconds, round(cast(sum(ms) as double) / count(*) / 1000, 4) as episode_seconds from eps group by all""",
+    "shot_metrics": f"""with {_JUDGED}, {_CALL}, k as (select j.*, c.action_type as kind from judged j left join calls c using (result_id) where j.benchmark = 'LearnGUI' and shot_count is not null),
+        truth as (select example_id, arg_min(kind, result_id) as true_kind from k where method = 'baseline' and ok and kind is not null group by 1),
+        t as (select k.*, (ok or coalesce(kind = true_kind, false))::int as type_ok from k left join truth using (example_id)),
+        g as (select shot_count, coalesce(avg(type_ok) filter (where method = 'baseline'), 0) as bt, coalesce(avg(ok::int) filter (where method = 'baseline'), 0) as bm, coalesce(avg(type_ok) filter (where method = 'hybrid'), 0) as ht, coalesce(avg(ok::int) filter (where method = 'hybrid'), 0) as hm from t group by 1),
+        r as (select shot_count, round(bt, 6) as baseline_type, round(bm, 6) as baseline_match, round(ht, 6) as hybrid_type, round(hm, 6) as hybrid_match from g)
+        select *, round(hybrid_type - baseline_type, 6) as delta_type, round(hybrid_match - baseline_match, 6) as delta_match from r""",
     "phase_summary": f"with {_BY_METHOD} select method, phase, {_PHASE_AGG} from long group by all",
     "phase_merge": f"with {_PHASE_ROWS.format(keys='', source=f'select {_PHASES} from step_timings')} select phase, {_PHASE_AGG} from long group by all",
     "phase_comparison": f"""with {_BY_METHOD}, s as (select method, phase, {_PHASE_AGG} from long group by all), p as (select unnest(range(15))::int as place, unnest(string_split('{_PHASES}', ', ')) as phase)
@@ -59,8 +65,9 @@ SQL: dict[str, str] = {
     "task_export": f"""with {_JUDGED} select benchmark, episode_id, mode, method, count(*) as n_steps, bool_and(ok) as all_correct, round(avg(ok::int), 6) as accuracy, string_agg(step_index || ':' || result_id, ',' order by step_index nulls first, result_id) as steps from judged group by benchmark, episode_id, mode, method""",
     "micro_macro": f"""with {_JUDGED}, t as (select benchmark, episode_id, mode, method, count(*) as n, sum(ok::int) as good from judged group by all), g as (select method, round(sum(good) / sum(n), 6) as micro, round(avg(good / n), 6) as macro from t group by all)
         select *, abs(micro - macro) > 0.002 as differs from g""",
-    "error_audit": """with s as (select example_id, method, min(result_id) as id, bool_and(primary_correct) as ok from step_results group by all)
-        select example_id, b.id as baseline_id, h.id as hybrid_id from s b join s h using (example_id) where b.method = 'baseline' and h.method = 'hybrid' and b.ok and not h.ok order by example_id limit 50""",
+    "error_audit": """with h as (select * from step_results where method = 'hybrid' qualify row_number() over (partition by example_id order by result_id) = 1), b as (select * from step_results where method = 'baseline' qualify row_number() over (partition by example_id order by result_id) = 1),
+        w as (select example_id, episode_id, step_index, result_id from h where full_model_calls = 0 and not coalesce(primary_correct, false)), f as (select * from w order by example_id limit 50)
+        select f.*, coalesce(b.primary_correct, false) as baseline_correct, (select count(*) from w) as n_all from f left join b using (example_id)""",
     "instruction_index": f"""with c as (select *, (step_instruction is distinct from lag(step_instruction) over {_STEPS})::int as changed from steps)
         select step_id, (sum(changed) over (partition by dataset, episode_id order by step_index nulls first, step_id rows unbounded preceding))::bigint - 1 as high_level_index from c""",
     "action_history": f"with {_ACTION} select step_id, coalesce(string_agg(coalesce(action_type, 'unknown'), '>') over (partition by dataset, episode_id order by step_index nulls first, step_id rows between unbounded preceding and 1 preceding), '') as history from typed",
@@ -81,7 +88,7 @@ SQL: dict[str, str] = {
         select step_id, round(case when len(a) = 0 and len(b) = 0 then 1.0 when len(a) = 0 or len(b) = 0 then 0.0 else 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) end, 6) as f1 from s""",
     "split_lookup": f"""with e as (select dataset, episode_id, max_by(coalesce({_SPLIT}, 'none'), row_id) as split from episodes group by all)
         select coalesce(e.split, 'missing') as split, count(*) as n_steps, count(distinct (s.dataset, s.episode_id)) as n_episodes from steps s left join e using (dataset, episode_id) group by 1""",
-    "missing_episodes": "select distinct dataset, episode_id from steps s where not exists (select 1 from episodes e where e.dataset = s.dataset and e.episode_id = s.episode_id)",
+    "missing_episodes": "select distinct episode_id from episodes where dataset = 'AndroidControl' and episode_id not in (select unnest(episode_id)::varchar from android_records)",
     "group_sources": "select group_id, string_agg(source, ',' order by source) as sources from (select distinct group_id, source from step_results where source is not null) group by all",
     "call_reconciliation": """with w as (select result_id, coalesce(full_model_calls, 0) + coalesce(local_model_calls, 0) as calls from step_results), h as (select result_id, count(*) as timed from step_timings group by all)
         select case when calls is null then 'unexpected' when timed is null then case when calls > 0 then 'missing' else 'verified' end when calls = timed then 'verified' else 'mismatched' end as kind, count(*) as n from w full join h using (result_id) group by 1""",
@@ -89,9 +96,9 @@ SQL: dict[str, str] = {
         select step_id, concat_ws(chr(10), 'Goal: ' || goal, 'Step: ' || step_instruction, 'Done: ' || done) as prompt from d join known using (dataset, episode_id) left join goals using (dataset, episode_id)""",
     "chat_lines": "select example_id, cast(to_json({'messages': [{'role': 'user', 'content': prompt_text}, {'role': 'assistant', 'content': response_text}]}) as varchar) as line from training_examples where prompt_text is not null and response_text is not null",
     "accuracy_interval": """with g as (select group_id, count(*) as n, sum(coalesce(primary_correct, false)::int) as good from step_results where group_id is not null group by all), k as (select *, row_number() over (order by group_id) - 1 as no, count(*) over () as size from g),
-        spin as (select id // size as draw, ('0x' || substr(md5('0-' || id), 1, 12))::bigint % size as no from (select max(size) as size from k), lateral (select unnest(range(200 * size)) as id)),
+        spin as (select id // size as draw, ('0x' || substr(md5('0-' || id), 1, 12))::bigint % size as no from (select max(size) as size from k), lateral (select unnest(range(1000 * size)) as id)),
         a as (select draw, sum(good) / sum(n) as accuracy from spin join k using (no) group by all), o as (select *, row_number() over (order by accuracy, draw) - 1 as place from a)
-        select round(avg(accuracy), 6) as mean, round(max(accuracy) filter (where place = 5), 6) as low, round(max(accuracy) filter (where place = 194), 6) as high from o""",
+        select round(avg(accuracy), 6) as mean, round(max(accuracy) filter (where place = 25), 6) as low, round(max(accuracy) filter (where place = 974), 6) as high from o""",
     "running_metrics": _RUNNING,
     "stream_metrics": _RUNNING,
     "pending_results": "select example_id from eval_examples e where not exists (select 1 from step_results r where r.example_id = e.example_id)",
@@ -106,6 +113,6 @@ SQL: dict[str, str] = {
         select worker_id, count(*) as n, round(avg((abs(parts - total) / total < 0.3)::int), 6) as covered from v where total > 0 group by all""",
     "prompt_cost": "select example_id, greatest(1, length(prompt_text) // 4)::bigint as text_tokens, (ceil(screenshot.width / 28) * ceil(screenshot.height / 28))::bigint as visual_tokens from training_examples",
     "shard_sizes": "select ('0x' || substr(md5(group_id), 1, 8))::bigint % 16 as shard, count(*) as n, count(distinct group_id) as n_groups from step_results where group_id is not null group by all",
-    "latency_text": f"""with m as (select method, cast(sum(cast({_SANE.format(c="latency_ms")} as decimal(30,4))) as double) / 1000 as s, round(avg(coalesce(full_model_calls = 0, false)::int), 6) as saved from step_results group by all), t as (select method, floor(s)::bigint as s, saved from m)
-        select method, printf('%dh%02dm%02ds', s // 3600, s % 3600 // 60, s % 60) as total, printf('%.2f%%', saved * 100) as saved from t""",
+    "latency_text": f"""with m as (select method, cast(sum(cast({_SANE.format(c="latency_ms")} as decimal(30,4))) as double) / 1000 as s, round(avg(coalesce(full_model_calls = 0, false)::int), 6) as saved from step_results group by all), t as (select method, round_even(s, 0)::bigint as s, saved from m)
+        select method, case when s >= 3600 then printf('%dh%02dm%02ds', s // 3600, s % 3600 // 60, s % 60) when s >= 60 then printf('%dm%02ds', s // 60, s % 60) else printf('%ds', s) end as total, printf('%.2f%%', saved * 100) as saved from t""",
 }

@@ -38,8 +38,14 @@ def mode_metrics(spark: SparkSession, root: str) -> DataFrame:
 
 
 def shot_metrics(spark: SparkSession, root: str) -> DataFrame:
-    r = _judged(spark, root).where("shot_count is not null")
-    return r.groupBy("shot_count", "method").agg(F.count("*").alias("n"), F.round(M.share(F.col("primary_correct")), 6).alias("accuracy"))
+    """Of LearnGUI per shot count: shares of right types (a call of the type of the example's first sound baseline call) and of right steps, by method, and their differences."""
+    r = _judged(spark, root).where("benchmark = 'LearnGUI' and shot_count is not null").withColumn("kind", A.from_call(F.col("raw_output"))["action_type"])
+    truth = r.where("method = 'baseline' and primary_correct and kind is not null").groupBy("example_id").agg(F.min_by("kind", "result_id").alias("true_kind"))
+    r = r.join(truth, "example_id", "left").withColumn("type_ok", F.col("primary_correct") | (F.col("kind") == F.col("true_kind")))
+    of = lambda m, c: M.share_if(F.col("method") == m, F.col(c))
+    names = {"type": "type_ok", "match": "primary_correct"}
+    g = r.groupBy("shot_count").agg(*[F.round(of(m, c), 6).alias(f"{m}_{n}") for m in ("baseline", "hybrid") for n, c in names.items()])
+    return g.select("*", *[F.round(F.col(f"hybrid_{n}") - F.col(f"baseline_{n}"), 6).alias(f"delta_{n}") for n in names])
 
 
 def phase_summary(spark: SparkSession, root: str) -> DataFrame:
@@ -78,16 +84,13 @@ def call_reduction(spark: SparkSession, root: str) -> DataFrame:
 
 def latency_quantiles(spark: SparkSession, root: str) -> DataFrame:
     rows = _judged(spark, root).select("part", "method", M.sane(F.col("latency_ms")).alias("ms")).where("ms is not null")
-    out = None
-    for name, q in (("q025", 0.025), ("q500", 0.5), ("q975", 0.975)):
-        one = M.exact_ranks(rows, ["part", "method"], "ms", M.nearest_index(q)).select("part", "method", "n", F.lit(name).alias("quantile"), F.col("value").alias("ms"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    ranks = {name: M.nearest_index(q) for name, q in (("q025", 0.025), ("q500", 0.5), ("q975", 0.975))}
+    return M.exact_ranks(rows, ["part", "method"], "ms", ranks).select("part", "method", "n", F.col("rank").alias("quantile"), F.col("value").alias("ms"))
 
 
 def upper_median(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "step_timings").select("worker_id", M.sane(F.col("prefill_ms")).alias("ms")).where("ms is not null")
-    return M.exact_ranks(rows, ["worker_id"], "ms", F.floor(F.col("n") / 2).cast("bigint")).select("worker_id", "n", F.col("value").alias("median"))
+    return M.exact_ranks(rows, ["worker_id"], "ms", {"median": F.floor(F.col("n") / 2).cast("bigint")}).select("worker_id", "n", F.col("value").alias("median"))
 
 
 def decode_bands(spark: SparkSession, root: str) -> DataFrame:
@@ -116,22 +119,15 @@ def micro_macro(spark: SparkSession, root: str) -> DataFrame:
     return g.withColumn("differs", F.abs(F.col("micro") - F.col("macro")) > 0.002)
 
 
-def _lost(spark: SparkSession, root: str) -> DataFrame:
-    """Examples that baseline got right and hybrid wrong."""
-    r = table(spark, root, "step_results").select("example_id", "method", "result_id", "primary_correct")
-    side = lambda m: r.where(F.col("method") == m).groupBy("example_id").agg(F.min("result_id").alias(f"{m}_id"), F.min("primary_correct").alias(f"{m}_ok"))
-    return side("baseline").join(side("hybrid"), "example_id").where("baseline_ok and not hybrid_ok").select("example_id", "baseline_id", "hybrid_id")
-
-
 def error_audit(spark: SparkSession, root: str) -> DataFrame:
-    """The first 50 rows that baseline got right and hybrid wrong, in order; the limit is the report's."""
-    return _lost(spark, root).orderBy("example_id").limit(50)
-
-
-def error_audit_counted(spark: SparkSession, root: str) -> DataFrame:
-    """The rows of error_audit, each with the count of all such examples; with none, one row of the count 0."""
-    lost = _lost(spark, root)
-    return lost.agg(F.count("*").alias("n_all")).join(lost.orderBy("example_id").limit(50), how="left").select("example_id", "baseline_id", "hybrid_id", "n_all")
+    """Accepted errors: examples that hybrid answered without a full model call, and wrongly; the first 50 in order (the report's limit), each with the count of all."""
+    r = table(spark, root, "step_results").select("example_id", "method", "result_id", "primary_correct", "full_model_calls", "episode_id", "step_index")
+    hybrid = r.where("method = 'hybrid'").groupBy("example_id").agg(F.min_by(F.struct("result_id", "episode_id", "step_index", "primary_correct", "full_model_calls"), "result_id").alias("h"))
+    baseline = r.where("method = 'baseline'").groupBy("example_id").agg(F.min_by("primary_correct", "result_id").alias("baseline_correct"))
+    wrong = hybrid.where("h.full_model_calls = 0 and not coalesce(h.primary_correct, false)").select("example_id", "h.episode_id", "h.step_index", "h.result_id")
+    first = wrong.orderBy("example_id").limit(50).join(baseline, "example_id", "left").withColumn("baseline_correct", F.coalesce("baseline_correct", F.lit(False)))
+    # one row beside the 50; with no error it stands alone
+    return wrong.agg(F.count("*").alias("n_all")).join(first, how="left").select("example_id", "episode_id", "step_index", "result_id", "baseline_correct", "n_all")
 
 
 def instruction_index(spark: SparkSession, root: str) -> DataFrame:
@@ -217,8 +213,9 @@ def split_lookup(spark: SparkSession, root: str) -> DataFrame:
 
 
 def missing_episodes(spark: SparkSession, root: str) -> DataFrame:
-    keys = ["dataset", "episode_id"]
-    return table(spark, root, "steps").select(*keys).join(table(spark, root, "episodes").select(*keys), keys, "left_anti").distinct()
+    """Episodes of AndroidControl without a record of their screens: requested minus found."""
+    have = table(spark, root, "android_records").select(F.explode(F.col("episode_id").cast("array<string>")).alias("episode_id")).distinct()
+    return table(spark, root, "episodes").where("dataset = 'AndroidControl'").select("episode_id").distinct().join(have, "episode_id", "left_anti")
 
 
 def group_sources(spark: SparkSession, root: str) -> DataFrame:
@@ -366,7 +363,7 @@ def action_paths(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     accuracy_by_partition, accuracy_delta, mode_metrics, shot_metrics, phase_summary, phase_merge, phase_comparison, token_totals, call_reduction, latency_quantiles, upper_median, decode_bands, group_spread,
-    task_export, micro_macro, error_audit, error_audit_counted, instruction_index, action_history, next_features, typed_into, accepted_prefix, canonical_actions, action_mix, output_calls, method_agreement, click_scales, goal_text,
+    task_export, micro_macro, error_audit, instruction_index, action_history, next_features, typed_into, accepted_prefix, canonical_actions, action_mix, output_calls, method_agreement, click_scales, goal_text,
     instruction_overlap, split_lookup, missing_episodes, group_sources, call_reconciliation, prompts, chat_lines, bound_clicks, node_candidates, accuracy_interval, benchmark_intervals, running_metrics, stream_metrics, pending_results, screen_text,
     tool_calls, repaired_calls, payload_paths, leaking_steps, runtime_views, accuracy_pivot, best_configs, phase_coverage, prompt_cost, shard_sizes, latency_text, action_paths,
 )}

@@ -9,6 +9,7 @@ from stepweave.operators import metrics as M
 from stepweave.operators.sequence import leading_true
 from stepweave.operators.spatial import bind_points, candidates, draft_tree, nearest, smallest_containing, with_boxes
 from stepweave.plans.trajectories import QUERIES
+from stepweave.streaming.metrics import stream_files
 
 
 def test_exact_ranks(spark):
@@ -16,7 +17,7 @@ def test_exact_ranks(spark):
     data = [(k, rng.choice([0.0, -3.5, rng.random() * 10 ** rng.randrange(6), 7.25])) for k in ("a", "b", None) for _ in range(rng.randrange(1, 300))]
     df = spark.createDataFrame(data + [("c", None)], "k string, v double")
     for q in (0.0, 0.1, 0.5, 0.99, 1.0):
-        got = {r.k: (r.n, r.value) for r in M.exact_ranks(df, ["k"], "v", M.nearest_index(q)).collect()}
+        got = {r.k: (r.n, r.value) for r in M.exact_ranks(df, ["k"], "v", {"it": M.nearest_index(q), "first": F.lit(0)}).where("rank = 'it'").collect()}
         for k in ("a", "b", None):
             own = sorted(v for x, v in data if x == k)
             assert got[k] == (len(own), own[round((len(own) - 1) * q)])
@@ -126,11 +127,27 @@ def test_stored_nodes(spark):
     assert candidates(many.unionByName(twins), screens=screens).count() == 96
 
 
-def test_error_audit_counted(spark, tmp_path):
-    data = [(i, m, 2 * i + j, ok) for i in range(70) for j, (m, ok) in enumerate((("baseline", True), ("hybrid", i % 7 == 0)))]
-    df = spark.createDataFrame(data, "example_id bigint, method string, result_id bigint, primary_correct boolean")
+def test_error_audit(spark, tmp_path):
+    data = [(i, m, 2 * i + j, ok, j ^ 1, "e", i) for i in range(70) for j, (m, ok) in enumerate((("baseline", i % 2 == 0), ("hybrid", i % 7 == 0)))]
+    df = spark.createDataFrame(data, "example_id bigint, method string, result_id bigint, primary_correct boolean, full_model_calls int, episode_id string, step_index int")
     for name, rows in (("all", df), ("none", df.where("primary_correct"))):
         rows.write.parquet(f"{tmp_path}/{name}/step_results.parquet")
-    got = sorted(tuple(r) for r in QUERIES["error_audit_counted"](spark, f"{tmp_path}/all").collect())
-    assert got == [(i, 2 * i, 2 * i + 1, 60) for i in range(70) if i % 7][:50]
-    assert [tuple(r) for r in QUERIES["error_audit_counted"](spark, f"{tmp_path}/none").collect()] == [(None, None, None, 0)]
+    got = sorted(tuple(r) for r in QUERIES["error_audit"](spark, f"{tmp_path}/all").collect())
+    assert got == [(i, "e", i, 2 * i + 1, i % 2 == 0, 60) for i in range(70) if i % 7][:50]
+    assert [tuple(r) for r in QUERIES["error_audit"](spark, f"{tmp_path}/none").collect()] == [(None, None, None, None, None, 0)]
+
+
+def test_memberships(spark):
+    df = spark.createDataFrame([(["IDD", "app_unseen", "idd"], None), ([], "task_unseen"), (None, None), ([None], "odd")], "a array<string>, b string")
+    assert [r[0] for r in df.select(M.memberships(F.col("a"), F.array("b"))).collect()] == [["in_distribution", "app_unseen"], ["task_unseen"], ["in_distribution"], ["odd"]]
+
+
+def test_stream_goes_on(spark, tmp_path):
+    """A query started again on its state reads only what came since."""
+    rows = lambda n: spark.createDataFrame([("baseline", True, 1.0)] * n, "method string, primary_correct boolean, latency_ms double").coalesce(1)
+    rows(3).write.parquet(f"{tmp_path}/in")
+    assert stream_files(spark, f"{tmp_path}/in", state=f"{tmp_path}/state").first().n == 3
+    rows(2).write.mode("append").parquet(f"{tmp_path}/in")
+    again = stream_files(spark, f"{tmp_path}/in", state=f"{tmp_path}/state").first()
+    assert (again.n, again.total_ms) == (5, 5.0)
+    assert stream_files(spark, f"{tmp_path}/in", state=f"{tmp_path}/state").first().n == 5

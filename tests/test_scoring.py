@@ -40,7 +40,7 @@ def test_second(spark):
 def test_nodes(spark):
     node = "struct<box struct<l int, t int, r int, b int>, visible boolean, clickable boolean, editable boolean, scrollable boolean, checkable boolean, text string, description string, view_id string, widget string>"
     base = dict(box=BOX, visible=None, clickable=None, editable=None, scrollable=None, checkable=None, text="t", description=None, view_id=None, widget="TextView")
-    cases = [({}, True), ({"box": None}, False), ({"visible": False}, False), ({"text": None}, False), ({"text": None, "clickable": True}, True), ({"text": "x" * 97}, False), ({"widget": "FrameLayout"}, False), ({"text": None, "view_id": "v", "widget": "Button"}, True), ({"text": None, "view_id": "v"}, False), ({"box": (0, 0, 40, 20)}, False), ({"box": (0, 0, 40, 24), "clickable": True}, False)]
+    cases = [({}, True), ({"box": None}, False), ({"visible": False}, False), ({"text": None}, False), ({"text": None, "clickable": True}, True), ({"text": "x" * 97}, False), ({"widget": "FrameLayout"}, True), ({"widget": "View"}, False), ({"widget": "frame_layout"}, False), ({"text": None, "view_id": "v", "widget": "Button"}, True), ({"text": None, "view_id": "v"}, True), ({"text": None, "view_id": "v", "widget": "Space"}, False), ({"box": (0, 0, 40, 20)}, False), ({"box": (0, 0, 40, 24), "clickable": True}, False)]
     df = spark.createDataFrame([(i, tuple((base | c).values())) for i, (c, _) in enumerate(cases)], f"i int, n {node}")
     got = {r.i: r.k for r in df.select("i", S.keeps_node(F.col("n"), F.lit(1000)).alias("k")).collect()}
     assert [got[i] for i in range(len(cases))] == [w for _, w in cases]

@@ -38,7 +38,19 @@ def test_functions(spark):
         G.png_size(F.col("png")).alias("size"), T.normalize(F.col("t")).alias("n"), T.widget_leaf(F.col("c")).alias("w"), T.view_id_leaf(F.col("v")).alias("l"), T.printable_runs(F.col("raw")).alias("p"), T.bounded_fragments(F.col("d")).alias("f"),
         T.duration(F.lit(3723)).alias("s"), T.percent(F.lit(0.5)).alias("pc"), T.sorted_pairs(F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1"))).alias("m"), G.to_pixel(F.lit(999), F.lit(100)).alias("px"),
     ).first()
-    assert (r["size"].width, r["size"].height, r.n, r.w, r.l, r.p, r.f, r.s, r.pc, r.m, r.px) == (640, 480, "a b", "C_D", "x", ["abc1"], "one thing", "1h02m03s", "50.00%", "a=1; b=2", 99)
+    assert (r["size"].width, r["size"].height, r.n, r.w, r.l, r.p, r.f, r.s, r.pc, r.m, r.px) == (640, 480, "a b", "c_d", "x", ["abc1"], "one thing", "1h02m03s", "50.00%", "a=1; b=2", 99)
+
+
+@pytest.mark.parametrize("seconds,text", [(45, "45s"), (125, "2m05s"), (19953, "5h32m33s"), (0.5, "0s"), (59.6, "1m00s"), (None, "n/a"), (-1, "n/a")])
+def test_duration(spark, seconds, text):
+    assert spark.createDataFrame([(None if seconds is None else float(seconds),)], "s double").select(T.duration(F.col("s"))).first()[0] == text
+
+
+def test_noise(spark):
+    cases = [("ab", True), ("123", True), ("abc", False), ("see www.x.y", True), ("utm_source here", True), ("a" * 65 + "%20%20%20%20", True), ("a%20%20%20%20", False), ("a=1&b=2&c=3" + "x" * 120, True), ("gbs", False)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(T.is_noise(F.col("t"))).collect()] == [w for _, w in cases]
+    assert df.select(T.view_id_leaf(F.lit("app:id/gbs.list"))).first()[0] == "list"
 
 
 def test_farthest_points():
