@@ -37,6 +37,75 @@ def around(x: Column, y: Column, pad: int = 1) -> Column:
     return F.struct((x - pad).alias("l"), (y - pad).alias("t"), (x + pad).alias("r"), (y + pad).alias("b"))
 
 
+def frame(width: Column, height: Column, roi: Column | None = None) -> Column:
+    """struct<x, y, w, h>: the region of interest, or the whole screen; w and h null where its size is unknown."""
+    screen = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.greatest(F.lit(1), width.cast("int")).alias("w"), F.greatest(F.lit(1), height.cast("int")).alias("h"))
+    # greatest passes over null
+    screen = F.struct(screen["x"].alias("x"), screen["y"].alias("y"), F.when(width.isNotNull(), screen["w"]).alias("w"), F.when(height.isNotNull(), screen["h"]).alias("h"))
+    if roi is None:
+        return screen
+    part = F.struct(roi["l"].alias("x"), roi["t"].alias("y"), F.greatest(F.lit(1), roi["r"] - roi["l"]).alias("w"), F.greatest(F.lit(1), roi["b"] - roi["t"]).alias("h"))
+    return F.when(roi.isNotNull(), part).otherwise(screen)
+
+
+def _in_frame(v: Column, size: Column) -> Column:
+    return F.when(size <= 1, F.lit(0)).otherwise(to_pixel(v, size)).cast("int")
+
+
+def looks_scaled(*values: Column) -> Column:
+    """Whether all values lie within 0 and 999."""
+    out = F.lit(True)
+    for v in values:
+        out = out & v.between(0, 999)
+    return out
+
+
+def scaled(x: Column, y: Column, view: Column, scale: Column) -> Column:
+    """Pixel struct<x, y> of a point: moved from 0-999 into the frame if asked, if it looks scaled and the frame is known; else rounded."""
+    yes = scale & looks_scaled(x, y) & view["w"].isNotNull() & view["h"].isNotNull()
+    return F.struct(F.when(yes, view["x"] + _in_frame(x, view["w"])).otherwise(F.bround(x)).cast("int").alias("x"), F.when(yes, view["y"] + _in_frame(y, view["h"])).otherwise(F.bround(y)).cast("int").alias("y"))
+
+
+def scaled_box(box: Column, view: Column, scale: Column) -> Column:
+    """The same for a box, with its corners in order."""
+    yes = scale & looks_scaled(box["l"], box["t"], box["r"], box["b"]) & view["w"].isNotNull() & view["h"].isNotNull()
+    a, b = scaled(box["l"], box["t"], view, F.lit(True)), scaled(box["r"], box["b"], view, F.lit(True))
+    moved = ordered_box(F.struct(a["x"].alias("l"), a["y"].alias("t"), b["x"].alias("r"), b["y"].alias("b")))
+    return F.when(box.isNotNull(), F.when(yes, moved).otherwise(box))
+
+
+def around_in_frame(point: Column, view: Column, pad: int = 1) -> Column:
+    """The box around a point, cut to the frame where its size is known."""
+    free = around(point["x"], point["y"], pad)
+    right, bottom = view["x"] + view["w"] - 1, view["y"] + view["h"] - 1
+    cut = F.struct(F.greatest(view["x"], free["l"]).alias("l"), F.greatest(view["y"], free["t"]).alias("t"), F.least(right, free["r"]).alias("r"), F.least(bottom, free["b"]).alias("b"))
+    return F.when(view["w"].isNull() | view["h"].isNull(), free).otherwise(cut)
+
+
+def region_box(corners: Column) -> Column:
+    """Box of an array of two corner arrays; null for all zeros or another shape."""
+    at = lambda i, j: corners[i][j].cast("int")
+    whole = (F.size(corners) == 2) & (F.size(corners[0]) == 2) & (F.size(corners[1]) == 2)
+    box = F.struct(at(0, 0).alias("l"), at(0, 1).alias("t"), at(1, 0).alias("r"), at(1, 1).alias("b"))
+    return F.when(whole & ~((box["l"] == 0) & (box["t"] == 0) & (box["r"] == 0) & (box["b"] == 0)), box)
+
+
+def screen_box(width: Column, height: Column) -> Column:
+    """The box of a whole screen; null for an unknown size."""
+    return F.when(width.isNotNull() & height.isNotNull(), F.struct(F.lit(0).alias("l"), F.lit(0).alias("t"), width.cast("int").alias("r"), height.cast("int").alias("b")))
+
+
+def mean_offset(a: Column, b: Column) -> Column:
+    """Mean of the distances of two points along x and y."""
+    return (F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"])) / 2
+
+
+def grid_place(index: Column, rows: int, columns: int, offset: int = 0) -> Column:
+    """struct<t, h, w> of a flat index into frames of rows by columns, shifted by an offset from the second frame axis on."""
+    t, h, w = F.floor(index / (rows * columns)), F.floor(index / columns) % rows, index % columns
+    return F.struct((t + offset).cast("bigint").alias("t"), (h + offset).cast("bigint").alias("h"), (w + offset).cast("bigint").alias("w"))
+
+
 def strict_box(box: Column) -> Column:
     """The box, or null if it is empty or has a null edge."""
     return F.when((box["r"] > box["l"]) & (box["b"] > box["t"]), box)

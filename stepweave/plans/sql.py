@@ -32,6 +32,22 @@ _RUNNING = f"select method, count(*) as n, sum(coalesce(primary_correct, false):
 _GOALS = "goals as (select dataset, episode_id, max_by(goal, row_id) as goal from episodes where goal is not null group by all)"
 
 
+# rules of canonical records, written from their statement: names by type, first value that says something, words in lower case
+_NORM = "nullif(lower(trim(regexp_replace({c}, '[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))), '')"
+_KIND = "case coalesce(lower({c}), '') when 'open_app' then 'NAV' when 'navigate_home' then 'NAV' when 'navigate_back' then 'NAV' when 'input_text' then 'TYPE' when 'type' then 'TYPE' when 'status' then 'TERMINATE' when 'terminate' then 'TERMINATE' else upper(coalesce({c}, '')) end"
+_PARSE = "case when json_type({j}) = 'VARCHAR' then case when json_valid({j} ->> '$') then ({j} ->> '$')::json end else {j} end"
+_NUM = "case when json_type(j, '$.{k}') in ('BIGINT', 'UBIGINT', 'DOUBLE') then try_cast(j ->> '$.{k}' as double) end"
+_FIELDS = f"""valid as (select *, case when json_valid(raw_action) then raw_action::json end as j0 from SOURCE),
+parsed as (select * exclude (j0), {_PARSE.format(j="j0")} as j from valid),
+fields as (select *, j ->> '$.action_type' as a, {_NUM.format(k="x")} as x, {_NUM.format(k="y")} as y, {_NORM.format(c="j ->> '$.text'")} as txt, {_NORM.format(c="j ->> '$.direction'")} as dir, {_NORM.format(c="j ->> '$.app_name'")} as app_name,
+    coalesce(case when coalesce({_NUM.format(k="seconds")}, 1) <> 0 then nullif(j ->> '$.seconds', '') end, case when coalesce({_NUM.format(k="duration")}, 1) <> 0 then nullif(j ->> '$.duration', '') end, 'wait') as secs,
+    coalesce(nullif(j ->> '$.goal_status', ''), nullif(j ->> '$.status', ''), 'successful') as st from parsed)"""
+_FIRST = f"""named as (select *, coalesce(lower(a), '') as kind, x is not null and y is not null as pointed from fields),
+firsts as (select *, {_KIND.format(c="a")} as action_type, case when kind = 'open_app' then app_name when kind in ('input_text', 'type') then txt when kind = 'navigate_home' then 'home' when kind = 'navigate_back' then 'back' when kind = 'wait' then {_NORM.format(c="secs")} when kind in ('status', 'terminate') then {_NORM.format(c="st")} end as argument,
+    case when kind in ('click', 'long_press') and pointed then trunc(x)::int - 1 end as l, case when kind in ('click', 'long_press') and pointed then trunc(y)::int + 1 end as b, case when kind = 'open_app' then app_name end as app, case when kind = 'scroll' then dir end as direction from named)"""
+_WORDS = "list_distinct(coalesce(regexp_extract_all(lower({c}), '([a-z0-9]+)', 1), []))"
+
+
 def _quantiles() -> str:
     parts = [f"select part, method, n, '{name}' as quantile, ms from ranked where k = cast(round_even((n - 1) * {q}, 0) as bigint)" for name, q in (("q025", 0.025), ("q500", 0.5), ("q975", 0.975))]
     return f"with {_JUDGED}, ranked as (select part, method, ms, count(*) over (partition by part, method) as n, row_number() over (partition by part, method order by ms) - 1 as k from judged where ms is not null) " + " union all ".join(parts)
@@ -115,4 +131,50 @@ SQL: dict[str, str] = {
     "shard_sizes": "select ('0x' || substr(md5(group_id), 1, 8))::bigint % 16 as shard, count(*) as n, count(distinct group_id) as n_groups from step_results where group_id is not null group by all",
     "latency_text": f"""with m as (select method, cast(sum(cast({_SANE.format(c="latency_ms")} as decimal(30,4))) as double) / 1000 as s, round(avg(coalesce(full_model_calls = 0, false)::int), 6) as saved from step_results group by all), t as (select method, round_even(s, 0)::bigint as s, saved from m)
         select method, case when s >= 3600 then printf('%dh%02dm%02ds', s // 3600, s % 3600 // 60, s % 60) when s >= 60 then printf('%dm%02ds', s // 60, s % 60) else printf('%ds', s) end as total, printf('%.2f%%', saved * 100) as saved from t""",
+    "record_steps": f"""with r as (select record_id, episode_id[1] as episode_id, decode(goal[1]) as goal, actions, step_instructions as si, screenshot_widths as w, screenshot_heights as h,
+            greatest(coalesce(len(step_instructions), 0), coalesce(len(screenshot_widths), 0), coalesce(len(screenshot_heights), 0), coalesce(len(accessibility_trees), 0), coalesce(len(screen_descriptions), 0), case when len(actions) > 0 then len(actions) + 1 else 0 end) as n from android_records),
+        s as (select *, unnest(range(len(actions))) as i from r), t as (select *, decode(actions[i + 1]) as raw_action from s), {_FIELDS.replace("SOURCE", "t")}, {_FIRST}
+        select record_id, i::int as step_index, episode_id, goal, decode(si[i + 1]) as instruction, w[i + 1] as width, h[i + 1] as height, decode(si[i + 2]) as next_instruction, coalesce(list_sum(list_transform(range(1, i + 1), lambda k: (si[k + 1] is distinct from si[k])::int)), 0)::bigint as high_level_index, n::int as n_screens, action_type, w[i + 2] is null as terminal from firsts""",
+    "canonical_records": f"""with {_GOALS}, src as (select s.*, g.goal, lead(1) over {_STEPS} is null as terminal, step_instruction is distinct from lead(step_instruction) over {_STEPS} as instruction_changed from steps s left join goals g using (dataset, episode_id)), {_FIELDS.replace("SOURCE", "src")}, {_FIRST},
+        seconds_ as (select *, coalesce(upper(a) || case when coalesce(j ->> '$.text', j ->> '$.direction', j ->> '$.app_name') is not null then '[' || coalesce(j ->> '$.text', j ->> '$.direction', j ->> '$.app_name') || ']' else '' end, '') as written from firsts where dataset = 'LearnGUI'),
+        split as (select * exclude (action_type, argument, l, b, app, direction), upper(split_part(written, '[', 1)) as name, case when contains(written, '[') and ends_with(written, ']') then nullif(substr(written, instr(written, '[') + 1, length(written) - instr(written, '[') - 1), '') end as given from seconds_),
+        second as (select *, case when name in ('CLICK', 'TAP') then 'CLICK' when name in ('SWIPE', 'SCROLL') then 'SCROLL' else name end as action_type,
+            case when name in ('CLICK', 'TAP', 'SWIPE', 'SCROLL') then null when name = 'TYPE' then {_NORM.format(c="coalesce(nullif(j ->> '$.text', ''), given)")} else {_NORM.format(c="given")} end as argument,
+            case when name not in ('SWIPE', 'SCROLL') and pointed then trunc(x)::int - 1 end as l, case when name not in ('SWIPE', 'SCROLL') and pointed then trunc(y)::int + 1 end as b, null::varchar as app, case when name in ('SWIPE', 'SCROLL') then {_NORM.format(c="given")} end as direction from split),
+        both_ as (select step_id, dataset, action_type, argument, l, b, app, direction, pointed, goal, step_instruction, terminal, instruction_changed, {_NORM.format(c="j ->> '$.target_label'")} as tl from firsts where dataset = 'AndroidControl'
+            union all select step_id, dataset, action_type, argument, l, b, app, direction, pointed, goal, step_instruction, terminal, instruction_changed, {_NORM.format(c="j ->> '$.target_label'")} from second),
+        aimed as (select *, case when action_type in ('CLICK', 'LONG_PRESS') then case when pointed then 'action_point' end when action_type = 'TYPE' then 'input_text_action' when action_type = 'SCROLL' then 'scroll_action' when action_type = 'NAV' then 'navigation_action' when action_type = 'WAIT' then 'wait_action' end as source,
+            case when action_type = 'TYPE' then coalesce(tl, argument) when action_type = 'SCROLL' then direction when action_type = 'NAV' then coalesce(argument, app) when action_type = 'WAIT' then argument end as label from both_)
+        select step_id, dataset, action_type, argument, l, b, app, direction, source, terminal, instruction_changed, case when action_type in ('CLICK', 'LONG_PRESS', 'TYPE') then 'none_localized_action' else 'ground_truth_transition_proxy' end as effect_kind,
+            coalesce(array_to_string(list_sort(list_intersect({_WORDS.format(c="goal")}, {_WORDS.format(c="argument")})), ' '), '') as goal_argument, coalesce(array_to_string(list_sort(list_intersect({_WORDS.format(c="step_instruction")}, {_WORDS.format(c="label")})), ' '), '') as action_screen from aimed""",
+    "step_matches": f"""with src as (select * from steps qualify row_number() over (partition by dataset, episode_id, step_index order by step_id) = 1), {_FIELDS.replace("SOURCE", "src")},
+        body as (select *, nullif(regexp_extract(raw_output, '(?is)<tool_call>\\s*(.*?)\\s*</tool_call>', 1), '') as t from step_results), call as (select benchmark, method, episode_id, step_index, case when json_valid(t) then t::json end as c from body),
+        said as (select *, lower(c ->> '$.arguments.action') as k0, try_cast(c ->> '$.arguments.coordinate[0]' as double) as px, try_cast(c ->> '$.arguments.coordinate[1]' as double) as py, coalesce(c ->> '$.arguments.text', c ->> '$.arguments.direction', c ->> '$.arguments.app_name', c ->> '$.arguments.goal_status', c ->> '$.arguments.seconds') as v from call where c ->> '$.arguments.action' is not null),
+        j as (select said.benchmark, said.method, {_NORM.format(c="a")} as tt, case k0 when 'type' then 'input_text' when 'tap' then 'click' when 'swipe' then 'scroll' when 'terminate' then 'status' else k0 end as pk, px, py, {_NORM.format(c="v")} as pv, v, x, y, txt, dir, app_name, {_NORM.format(c="f.j ->> '$.goal_status'")} as gs,
+            coalesce(nullif({_NUM.format(k="seconds").replace("j,", "f.j,").replace("j ->>", "f.j ->>")}, 0), nullif({_NUM.format(k="duration").replace("j,", "f.j,").replace("j ->>", "f.j ->>")}, 0)) as sec
+            from said join fields f on f.dataset = said.benchmark and f.episode_id = said.episode_id and f.step_index = said.step_index where f.j is not null)
+        select benchmark, method, tt as true_type, count(*) as n, sum((tt = pk and case
+            when tt in ('click', 'long_press') then coalesce(x is not null and y is not null and px between trunc(x) - 1 and trunc(x) + 1 and py between trunc(y) - 1 and trunc(y) + 1, false)
+            when tt = 'input_text' then txt is not distinct from pv and coalesce(px between trunc(x) - 1 and trunc(x) + 1 and py between trunc(y) - 1 and trunc(y) + 1, true)
+            when tt = 'scroll' then dir is not distinct from pv when tt = 'open_app' then app_name is not distinct from pv when tt in ('status', 'terminate') then gs is not distinct from pv
+            when tt = 'wait' then sec is null or coalesce(sec = try_cast(v as double), false) else false end)::int)::bigint as n_match
+        from j where tt is not null group by all""",
+    "adapted_actions": f"""with {_FIELDS.replace("SOURCE", "steps")}, o as (select step_id, j, case when json_type(j, '$.arguments') = 'OBJECT' and nullif(trim(j ->> '$.arguments.action_type'), '') is not null then j -> '$.arguments' else j end as p, a from fields where json_type(j) = 'OBJECT'),
+        u as (select step_id, translate(lower(trim(p ->> '$.action_type')), '- ', '__') as k, p from o where json_type(p, '$.action_type') = 'VARCHAR'),
+        m as (select *, case when k in ('click', 'tap', 'press') then 'CLICK' when k in ('long_press', 'longpress', 'hold') then 'LONG_PRESS' when k in ('type', 'input_text', 'input', 'text') then 'TYPE' when k in ('scroll', 'swipe', 'drag') then 'SCROLL'
+            when k in ('open', 'open_app', 'launch', 'nav', 'system_button', 'navigate_back', 'navigate_home', 'navigate_recent', 'go_back', 'go_home', 'back', 'home') then 'NAV' when k = 'wait' then 'WAIT' when k in ('terminate', 'answer', 'status', 'finish_episode', 'finish', 'complete', 'done', 'stop') then 'TERMINATE' end as action_type,
+            case when json_type(p, '$.x') in ('BIGINT', 'UBIGINT', 'DOUBLE') and json_type(p, '$.y') in ('BIGINT', 'UBIGINT', 'DOUBLE') then round_even((p ->> '$.x')::double, 0)::int end as px, case when json_type(p, '$.x') in ('BIGINT', 'UBIGINT', 'DOUBLE') and json_type(p, '$.y') in ('BIGINT', 'UBIGINT', 'DOUBLE') then round_even((p ->> '$.y')::double, 0)::int end as py,
+            nullif(trim(p ->> '$.app_name'), '') as an from u)
+        select step_id, action_type, case action_type when 'TYPE' then nullif(trim(p ->> '$.text'), '') when 'NAV' then case when k in ('navigate_back', 'go_back', 'back') then 'back' when k in ('navigate_home', 'go_home', 'home') then 'home' else an end when 'WAIT' then nullif(trim(p ->> '$.seconds'), '')
+            when 'TERMINATE' then nullif(trim(coalesce(p ->> '$.goal_status', p ->> '$.arguments.goal_status', p ->> '$.target.labels[0].text')), '') end as argument,
+            case when action_type in ('CLICK', 'LONG_PRESS', 'TYPE') then px - 1 end as l, case when action_type in ('CLICK', 'LONG_PRESS', 'TYPE') then py + 1 end as b, case when action_type = 'NAV' then case when k not in ('navigate_back', 'go_back', 'back', 'navigate_home', 'go_home', 'home') then an end else an end as app,
+            case when action_type = 'SCROLL' then nullif(translate(lower(trim(p ->> '$.direction')), '- ', '__'), '') end as direction from m where action_type is not null""",
+    "answer_texts": f"""with {_FIELDS.replace("SOURCE", "steps")}, {_FIRST},
+        w as (select *, coalesce(screenshot.width, 1080) as sw, coalesce(screenshot.height, 1920) as sh from firsts),
+        c as (select *, least(999, greatest(0, round_even(coalesce(trunc(x) , sw / 2) * 999 / sw, 0)))::int as cx, least(999, greatest(0, round_even(coalesce(trunc(y), sh / 2) * 999 / sh, 0)))::int as cy, least(999, greatest(0, round_even(sw / 2 * 999 / sw, 0)))::int as mx, least(999, greatest(0, round_even(sh / 2 * 999 / sh, 0)))::int as my from w),
+        d as (select *, case when action_type in ('CLICK', 'LONG_PRESS') and pointed then cx else mx end as ax, case when action_type in ('CLICK', 'LONG_PRESS') and pointed then cy else my end as ay from c)
+        select step_id, '<thinking>Based on the screen and the instruction, I will perform this action.</thinking><tool_call>{{"name":"mobile_use","arguments":{{"action":' || case action_type when 'CLICK' then '"tap","coordinate":[' || ax || ',' || ay || ']' when 'LONG_PRESS' then '"long_press","coordinate":[' || ax || ',' || ay || ']' when 'TYPE' then '"type","text":' || to_json(coalesce(argument, ''))::varchar
+            when 'SCROLL' then '"scroll","coordinate":[' || ax || ',' || ay || '],"direction":"' || coalesce(direction, 'down') || '"' when 'NAV' then case argument when 'home' then '"navigate_home"' when 'recent' then '"navigate_recent"' else '"navigate_back"' end when 'TERMINATE' then '"finish_episode"' when 'WAIT' then '"wait"' else '"tap","coordinate":[499,499]' end || '}}}}</tool_call>' as response,
+            case when action_type in ('CLICK', 'LONG_PRESS') then '<thinking>' || chr(10) || case when nullif(trim(step_instruction), '') is not null then 'The current step instruction is: ' || trim(step_instruction) || chr(10) || 'I will perform a ' || replace(lower(action_type), '_', ' ') || ' on the target UI element described by that instruction.' else 'I will perform a ' || replace(lower(action_type), '_', ' ') || ' on the appropriate UI element for this step.' end
+                || chr(10) || '</thinking>' || chr(10) || '<tool_call>' || chr(10) || '{{"name": "mobile_use", "arguments": {{"action": "' || lower(action_type) || '", "coordinate": [' end as prefix from d""",
 }

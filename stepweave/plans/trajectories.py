@@ -9,8 +9,11 @@ from stepweave.cluster import table
 from stepweave.functions import geometry as G
 from stepweave.functions import text as T
 from stepweave.operators import actions as A
+from stepweave.operators import adapter as D
 from stepweave.operators import metrics as M
 from stepweave.operators import payloads as L
+from stepweave.operators import records as R
+from stepweave.operators import scoring as C
 from stepweave.operators import sequence as S
 from stepweave.operators import spatial as P
 from stepweave.operators.shred import action_paths as object_paths
@@ -361,9 +364,75 @@ def action_paths(spark: SparkSession, root: str) -> DataFrame:
     return object_paths(table(spark, root, "steps"))
 
 
+def record_steps(spark: SparkSession, root: str) -> DataFrame:
+    """One row per action of each record, its parallel arrays zipped, with the types done before."""
+    steps = R.with_fields(R.step_rows(table(spark, root, "android_records")).withColumn("v", A.payload(F.col("raw_action"))), F.col("v"))
+    return steps.select("record_id", "step_index", "episode_id", "goal", "instruction", "width", "height", "next_instruction", "high_level_index", "n_screens", R.first_action()["action_type"].alias("action_type"), F.col("next_width").isNull().alias("terminal"))
+
+
+def canonical_records(spark: SparkSession, root: str) -> DataFrame:
+    """Steps of both datasets as canonical records: action, target, effect and overlaps of words. Nodes are bound by `bound_clicks`; here a click's target is its point."""
+    w = S.by_episode(*ORDER)
+    goals = table(spark, root, "episodes").groupBy("dataset", "episode_id").agg(F.max_by("goal", "row_id").alias("goal"))
+    s = table(spark, root, "steps").join(goals, ["dataset", "episode_id"], "left").withColumn("v", A.payload(F.col("raw_action"))).withColumn("next", F.lead(F.struct("step_instruction")).over(w)).withColumn("n", F.lead(F.lit(1)).over(w))
+    s = R.with_fields(s, F.col("v"))
+    p = R.point_of()
+    get = lambda k: F.col(f"j_{k}")
+    said = F.coalesce(get("text"), get("direction"), get("app_name"))
+    written = F.concat(F.upper(get("action_type")), F.when(said.isNotNull(), F.concat(F.lit("["), said, F.lit("]"))).otherwise(F.lit("")))
+    none = F.lit(None).cast("array<array<int>>")
+    second = R.second_action(written, F.lit(None).cast("string"), F.when(p.isNotNull(), F.array(p["x"], p["y"])), F.lit(None).cast("array<int>"), get("text"), none)
+    s = s.withColumn("own", F.when(F.col("dataset") == "AndroidControl", R.first_action()).when(F.col("dataset") == "LearnGUI", second))
+    found = F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast(R.BOX).alias("box"))
+    s = s.withColumn("target", R.first_target(F.col("own"), found)).withColumn("action", R.bound(F.col("own"), F.col("target")))
+    s = s.withColumn("words", R.lexical_alignment(F.col("goal"), F.lit(None).cast("string"), F.col("action.argument"), F.col("step_instruction"), F.col("target.label")))
+    changes = ~F.col("step_instruction").eqNullSafe(F.col("next.step_instruction"))
+    joined = lambda c: F.array_join(f"words.{c}", " ")
+    return s.select("step_id", "dataset", "action.action_type", "action.argument", F.col("action.box.l").alias("l"), F.col("action.box.b").alias("b"), "action.app", "action.direction", F.col("target.source").alias("source"), F.col("n").isNull().alias("terminal"), changes.alias("instruction_changed"), R.effect_kind(F.col("action.action_type")).alias("effect_kind"), joined("goal_argument").alias("goal_argument"), joined("action_screen").alias("action_screen"))
+
+
+def step_matches(spark: SparkSession, root: str) -> DataFrame:
+    """Outputs against the steps they answer, by the benchmarks' rules: per benchmark, method and true type the outputs with an action and the matching ones."""
+    first = table(spark, root, "steps").groupBy(F.col("dataset").alias("benchmark"), "episode_id", "step_index").agg(F.min_by(F.struct("raw_action", "screenshot"), "step_id").alias("s"))
+    body = F.try_parse_json(L.tool_call(F.col("raw_output")))
+    called = F.struct(F.try_variant_get(body, "$.arguments.action", "string").alias("kind"), *[F.try_variant_get(body, f"$.arguments.coordinate[{i}]", "double").alias(x) for i, x in enumerate("xy")], F.coalesce(*[F.try_variant_get(body, f"$.arguments.{k}", "string") for k in ("text", "direction", "app_name", "goal_status", "seconds")]).alias("argument"))
+    r = table(spark, root, "step_results").where("raw_output is not null").withColumn("c", called).where("c.kind is not null")
+    names = F.create_map(*[F.lit(x) for x in ("type", "input_text", "tap", "click", "swipe", "scroll", "terminate", "status")])
+    kind = F.coalesce(names[F.lower("c.kind")], F.lower("c.kind"))
+    r = r.select("benchmark", "method", "episode_id", "step_index", kind.alias("kind"), "c.x", "c.y", "c.argument")
+    j = r.join(first, ["benchmark", "episode_id", "step_index"]).withColumn("v", A.payload(F.col("s.raw_action"))).where("v is not null")
+    j = R.with_fields(j, F.col("v"))
+    found = F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast(R.BOX).alias("box"))
+    j = j.withColumn("truth", R.first_truth(found)).where("truth.type is not null")
+    value = F.col("argument")
+    predicted = R._comparable(type=F.col("kind"), x=F.col("x"), y=F.col("y"), text=T.normalize(value), direction=T.normalize(value), app=T.normalize(value), status=T.normalize(value), seconds=value.try_cast("double"))
+    return j.groupBy("benchmark", "method", F.col("truth.type").alias("true_type")).agg(F.count("*").alias("n"), F.sum(C.first_benchmark(F.col("truth"), predicted).cast("int")).alias("n_match"))
+
+
+def adapted_outputs(spark: SparkSession, root: str) -> DataFrame:
+    """The action that each output means, whatever its form: calls, JSON with its end lost, bracket calls, fragments."""
+    none = F.lit(None).cast("int")
+    r = table(spark, root, "step_results").where("raw_output is not null").select("result_id", D.output_action("raw_output", none, none).alias("a"))
+    return r.where("a.action_type is not null").select("result_id", "a.action_type", "a.argument", "a.box", "a.app", "a.direction")
+
+
+def adapted_actions(spark: SparkSession, root: str) -> DataFrame:
+    """The adapter's reading of every payload, coordinates as recorded."""
+    none = F.lit(None).cast("int")
+    s = table(spark, root, "steps").select("step_id", D.payload_action("raw_action", none, none).alias("a"))
+    return s.where("a.action_type is not null").select("step_id", "a.action_type", "a.argument", F.col("a.box.l").alias("l"), F.col("a.box.b").alias("b"), "a.app", "a.direction")
+
+
+def answer_texts(spark: SparkSession, root: str) -> DataFrame:
+    """The training response and the forced prefix of every step's action."""
+    s = R.with_fields(table(spark, root, "steps").withColumn("v", A.payload(F.col("raw_action"))), F.col("v")).withColumn("a", R.first_action())
+    return s.select("step_id", R.response_text(F.col("a"), F.coalesce("screenshot.width", F.lit(1080)), F.coalesce("screenshot.height", F.lit(1920))).alias("response"), R.forced_prefix(F.col("step_instruction"), F.col("a.action_type"), "template", "coord_bracket").alias("prefix"))
+
+
 QUERIES = {f.__name__: f for f in (
     accuracy_by_partition, accuracy_delta, mode_metrics, shot_metrics, phase_summary, phase_merge, phase_comparison, token_totals, call_reduction, latency_quantiles, upper_median, decode_bands, group_spread,
     task_export, micro_macro, error_audit, instruction_index, action_history, next_features, typed_into, accepted_prefix, canonical_actions, action_mix, output_calls, method_agreement, click_scales, goal_text,
     instruction_overlap, split_lookup, missing_episodes, group_sources, call_reconciliation, prompts, chat_lines, bound_clicks, node_candidates, accuracy_interval, benchmark_intervals, running_metrics, stream_metrics, pending_results, screen_text,
     tool_calls, repaired_calls, payload_paths, leaking_steps, runtime_views, accuracy_pivot, best_configs, phase_coverage, prompt_cost, shard_sizes, latency_text, action_paths,
+    record_steps, canonical_records, step_matches, adapted_outputs, adapted_actions, answer_texts,
 )}
