@@ -129,3 +129,52 @@ def png_size(raw: Column) -> Column:
 def cosine_distance(a: Column, b: Column) -> Column:
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
     return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+# Fixed value: the longest side may be fewer than so many times the shortest.
+SAFE_RATIO = 180
+
+
+def clamped_crop(box: Column, width: Column, height: Column) -> Column:
+    """A crop with its corners in order, within the image and at least a pixel wide and high."""
+    w, h = F.greatest(F.lit(1), F.coalesce(width, F.lit(1))), F.greatest(F.lit(1), F.coalesce(height, F.lit(1)))
+    o = ordered_box(box)
+    l, t = F.least(F.greatest(F.lit(0), o["l"]), w - 1), F.least(F.greatest(F.lit(0), o["t"]), h - 1)
+    return F.when(box.isNotNull(), F.struct(l.cast("int").alias("l"), t.cast("int").alias("t"), F.least(F.greatest(l + 1, o["r"]), w).cast("int").alias("r"), F.least(F.greatest(t + 1, o["b"]), h).cast("int").alias("b")))
+
+
+def grown_span(start: Column, stop: Column, total: Column, target: Column) -> Column:
+    """struct<start, stop> of a span grown to a length within 0 and total: by half on either side (the smaller half before), what one side lacks on the other."""
+    wanted = F.least(total, F.greatest(stop - start, target))
+    free = F.greatest(F.lit(0), start - F.floor((wanted - (stop - start)) / 2))
+    left = F.least(free, total - wanted)
+    return F.struct(left.cast("int").alias("start"), (left + wanted).cast("int").alias("stop"))
+
+
+def safe_crop(box: Column, width: Column, height: Column, ratio: float = SAFE_RATIO) -> Column:
+    """A clamped crop, its short side grown until the sides' ratio is permitted."""
+    c = clamped_crop(box, width, height)
+    w, h = c["r"] - c["l"], c["b"] - c["t"]
+    across = grown_span(c["l"], c["r"], width, F.least(width, F.greatest(w + 1, F.ceil(h / ratio))))
+    down = grown_span(c["t"], c["b"], height, F.least(height, F.greatest(h + 1, F.ceil(w / ratio))))
+    wide = F.struct(across["start"].alias("l"), c["t"].alias("t"), across["stop"].alias("r"), c["b"].alias("b"))
+    high = F.struct(c["l"].alias("l"), down["start"].alias("t"), c["r"].alias("r"), down["stop"].alias("b"))
+    return F.when(F.greatest(w, h) / F.least(w, h) < ratio, c).when(w < h, wide).otherwise(high)
+
+
+def padded_size(width: Column, height: Column, ratio: float = SAFE_RATIO) -> Column:
+    """struct<width, height, left, top>: the size to which an image is padded for a permitted ratio, and where it then lies."""
+    w, h = F.greatest(F.lit(1), F.coalesce(width, F.lit(1))), F.greatest(F.lit(1), F.coalesce(height, F.lit(1)))
+    fine = F.greatest(w, h) / F.least(w, h) < ratio
+    more = lambda short, long: F.greatest(short + 1, F.ceil(long / ratio))
+    pw, ph = F.when(~fine & (w < h), more(w, h)).otherwise(w).cast("int"), F.when(~fine & (w >= h), more(h, w)).otherwise(h).cast("int")
+    return F.struct(pw.alias("width"), ph.alias("height"), F.floor((pw - w) / 2).cast("int").alias("left"), F.floor((ph - h) / 2).cast("int").alias("top"))
+
+
+def budget_size(box: Column, width: Column, height: Column, budget: Column) -> Column:
+    """struct<width, height> of a crop (or the image) scaled to a number of pixels."""
+    w = F.greatest(F.lit(1), F.coalesce(box["r"] - box["l"], width, F.lit(1)))
+    h = F.greatest(F.lit(1), F.coalesce(box["b"] - box["t"], height, F.lit(1)))
+    most = F.greatest(F.lit(1), budget)
+    scale = F.when(w * h > most, F.sqrt(most / (w * h))).otherwise(F.lit(1.0))
+    return F.struct(*[F.greatest(F.lit(1), F.bround(x * scale)).cast("int").alias(n) for n, x in (("width", w), ("height", h))])

@@ -85,7 +85,7 @@ def bounded_fragments(text: Column, most: int = 64, budget: int = 4096, each: in
 
 
 def percent(share: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f%%", share * 100), F.lit("N/A"))
+    return F.when(share.isNull(), "N/A").otherwise(F.format_string("%.2f%%", share * 100))
 
 
 def duration(seconds: Column) -> Column:
@@ -99,3 +99,66 @@ def duration(seconds: Column) -> Column:
 def sorted_pairs(entries: Column) -> Column:
     """k=v of a map, by key, joined by '; '."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(entries)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
+
+
+def speed_text(baseline: Column, other: Column) -> Column:
+    """How many times as fast as 1.23x; a dash where that can't be told."""
+    return F.when(baseline.isNull() | other.isNull() | (other == 0), "—").otherwise(F.format_string("%.2fx", baseline / other))
+
+
+def human_bytes(n: Column) -> Column:
+    """A number of bytes as 512 B, 1.50 KiB, ... up to TiB."""
+    out = F.format_string("%.2f TiB", n / float(1 << 40))
+    for unit, power in (("GiB", 30), ("MiB", 20), ("KiB", 10)):
+        out = F.when(n < float(1 << (power + 10)), F.format_string(f"%.2f {unit}", n / float(1 << power))).otherwise(out)
+    return F.when(n < 1024, F.format_string("%d B", n.cast("bigint"))).otherwise(out)
+
+
+def version_numbers(version: Column) -> Column:
+    """The numbers of a version's parts up to the first part without a digit, for an order by them: 4.10.2-dev gives [4, 10, 2]."""
+    digits = F.transform(F.split(version, r"[.-]"), lambda x: F.regexp_replace(x, r"\D", ""))
+    stop = F.array_position(digits, "")
+    return F.transform(F.when(stop > 0, F.slice(digits, 1, F.greatest(F.lit(0), stop - 1).cast("int"))).otherwise(digits), lambda x: x.cast("bigint"))
+
+
+def bare_label(text: Column) -> Column:
+    """A label without back-ticks, list sign and a pair of quotes around it; empty for null."""
+    x = F.trim(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), "^`+|`+$", ""))
+    x = F.trim(F.regexp_replace(x, r"^[-*] ", ""))
+    return F.trim(F.regexp_replace(x, r"(?s)^([\"'])(.*)\1$", "$2"))
+
+
+def chosen_label(text: Column, valid: Column) -> Column:
+    """The valid label (of an array) that an answer names: under a key of its JSON object, as the whole text, or in its first line; null without one."""
+    stripped = bare_label(text)
+    v = F.try_parse_json(F.nullif(F.regexp_extract(stripped, r"(?s)(\{.*\})", 1), F.lit("")))
+    named = [bare_label(F.try_variant_get(v, f"$.{k}", "string")) for k in ("label", "selected_label", "action_label", "choice")]
+    line = bare_label(F.regexp_extract(stripped, r"^([^\r\n]*)", 1))
+    return F.coalesce(*[F.when(F.array_contains(valid, x), x) for x in (*named, stripped, line)])
+
+
+def node_name(text: Column, description: Column, view_id: Column) -> Column:
+    """The first two different ones of a node's text, description and id, joined by a bar; null without any."""
+    parts = F.array_distinct(F.array_compact(F.array(clean(text), clean(description), view_id_leaf(view_id))))
+    return F.nullif(F.rtrim(F.substring(F.array_join(F.slice(parts, 1, 2), " | "), 1, 160)), F.lit(""))
+
+
+def node_role(class_name: Column, flags: dict[str, Column]) -> Column:
+    """A node's widget and the names of its set flags; null without any."""
+    return F.nullif(F.concat_ws(" ", F.nullif(widget_leaf(clean(class_name)), F.lit("")), *[F.when(F.coalesce(c, F.lit(False)), name) for name, c in flags.items()]), F.lit(""))
+
+
+def aligned_descriptions(given: Column, heuristic: Column, n: Column) -> Column:
+    """struct<texts, source>: for each of n screens the given text, or where that is empty the heuristic one, or an empty one, and where they come from."""
+    at = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1))).otherwise(F.array().cast("array<int>"))
+    own = lambda i: F.nullif(F.get(given, i), F.lit(""))
+    texts = F.transform(at, lambda i: F.coalesce(own(i), F.get(heuristic, i), F.lit("")))
+    filled = F.exists(at, lambda i: own(i).isNull())
+    none = F.coalesce(F.size(given), F.lit(0)) <= 0
+    source = F.when(none, "heuristic_accessibility_serialization").when(filled, "provided_with_heuristic_backfill").otherwise("provided")
+    return F.struct(texts.alias("texts"), source.alias("source"))
+
+
+def progress_line(label: Column, done: Column, total: Column, accuracy: Column, milliseconds: Column) -> Column:
+    """One line on the state of a run: label, count, share, accuracy, latency of a step."""
+    return F.concat_ws(" ", F.concat(F.lit("["), F.coalesce(label, F.lit("all")), F.lit("]")), F.format_string("%d/%d", done.cast("bigint"), total.cast("bigint")), F.concat(F.lit("("), percent(F.try_divide(done, total)), F.lit(")")), F.concat(F.lit("accuracy="), percent(accuracy)), F.concat(F.lit("step_ms="), F.when(milliseconds.isNull(), "n/a").otherwise(F.format_string("%.1f", milliseconds))))

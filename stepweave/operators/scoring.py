@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stepweave.functions.geometry import area, contains, strict_box
+from stepweave.functions.geometry import area, contains, strict_box, visual_tokens
 from stepweave.functions.text import clean, normalize, overlap_f1, tokens
 
 # Widgets that only hold others (as they are compared, of which only `view` has no underscore), and widgets that tell something without a text.
@@ -104,3 +104,28 @@ def reduction(hybrid: Column, baseline: Column) -> Column:
 
 def speed_up(hybrid: Column, baseline: Column) -> Column:
     return F.when(hybrid > 0, baseline / hybrid)
+
+
+def final_usage(measured: Column, estimated: Column) -> Column:
+    """struct<prompt, visual, generated> as measured, or as estimated where nothing was."""
+    total = sum((F.coalesce(measured[k], F.lit(0)) for k in ("prompt", "visual", "generated")), F.lit(0))
+    return F.when(total > 0, measured).otherwise(estimated)
+
+
+def reported_usage(prompt_total: Column, generated: Column, width: Column, height: Column, estimated: Column) -> Column:
+    """The usage of a service's report: its prompt tokens less those of the image; what it does not tell is taken from the estimate."""
+    visual = visual_tokens(width, height)
+    text = F.when(prompt_total > 0, F.greatest(F.lit(0), prompt_total - visual)).otherwise(estimated["prompt"])
+    told = F.struct(text.cast("bigint").alias("prompt"), visual.alias("visual"), F.coalesce(F.nullif(generated, F.lit(0)), estimated["generated"]).cast("bigint").alias("generated"))
+    return F.when(prompt_total.isNull() & generated.isNull(), estimated).otherwise(told)
+
+
+def loss_labels(ids: Column, prompt_length: Column, ignored: int = -100) -> Column:
+    """Token ids with those of the prompt replaced by the value that a loss leaves out."""
+    p = F.least(F.greatest(F.lit(0), prompt_length), F.size(ids)).cast("int")
+    return F.concat(F.array_repeat(F.lit(ignored).cast("bigint"), p), F.transform(F.slice(ids, p + 1, F.greatest(F.lit(0), F.size(ids) - p)), lambda x: x.cast("bigint")))
+
+
+def tokens_before(offsets: Column, place: Column) -> Column:
+    """Tokens that begin before a character: offsets is the array of the tokens' first characters, in order."""
+    return F.size(F.filter(offsets, lambda x: x < place)).cast("bigint")

@@ -177,4 +177,14 @@ SQL: dict[str, str] = {
             when 'SCROLL' then '"scroll","coordinate":[' || ax || ',' || ay || '],"direction":"' || coalesce(direction, 'down') || '"' when 'NAV' then case argument when 'home' then '"navigate_home"' when 'recent' then '"navigate_recent"' else '"navigate_back"' end when 'TERMINATE' then '"finish_episode"' when 'WAIT' then '"wait"' else '"tap","coordinate":[499,499]' end || '}}}}</tool_call>' as response,
             case when action_type in ('CLICK', 'LONG_PRESS') then '<thinking>' || chr(10) || case when nullif(trim(step_instruction), '') is not null then 'The current step instruction is: ' || trim(step_instruction) || chr(10) || 'I will perform a ' || replace(lower(action_type), '_', ' ') || ' on the target UI element described by that instruction.' else 'I will perform a ' || replace(lower(action_type), '_', ' ') || ' on the appropriate UI element for this step.' end
                 || chr(10) || '</thinking>' || chr(10) || '<tool_call>' || chr(10) || '{{"name": "mobile_use", "arguments": {{"action": "' || lower(action_type) || '", "coordinate": [' end as prefix from d""",
+    "worker_reports": f"""with v as (select benchmark, method, coalesce(prompt_tokens, 0) as i, coalesce(generated_tokens, 0) as o, cast(coalesce({_SANE.format(c="latency_ms")}, 0) as decimal(30,4)) as ms from step_results),
+        t as (select benchmark, {", ".join(f"coalesce(sum({e}) filter (where method = '{m}'), 0)::{k} as {m}_{n}" for n, e, k in (("tokens_total", "i + o", "bigint"), ("tokens_input_text", "i", "bigint"), ("tokens_visual", "0", "bigint"), ("tokens_output", "o", "bigint"), ("end_to_end_latency_ms_total", "ms", "double")) for m in ("baseline", "hybrid"))} from v group by benchmark)
+        select *, {", ".join(f"round(case when baseline_{n} > 0 then 1 - hybrid_{n} / baseline_{n} else 0.0 end, 6) as {r}" for r, n in (("total_token_reduction", "tokens_total"), ("input_text_token_reduction", "tokens_input_text"), ("visual_token_reduction", "tokens_visual"), ("output_token_reduction", "tokens_output"), ("latency_reduction", "end_to_end_latency_ms_total")))} from t""",
+    "shared_keys": "select n, count(*) as n_keys from (select count(*) as n from eval_examples group by benchmark, prompt_text, shot_count having count(*) > 1) group by n",
+    "request_rows": "select result_id, coalesce(temperature, 0.0) as temperature, coalesce(top_p, 1.0) as top_p, coalesce(max_new_tokens, 32) as max_new_tokens, coalesce(repetition_penalty, 1.0) as repetition_penalty, coalesce(image_max_pixels, 1000000) as image_max_pixels from step_results left join fallback_configs using (config_id)",
+    "safe_crops": f"""with {_ACTION}, s as (select step_id, screenshot.width as w, screenshot.height as h, trunc(y)::int as y from typed where y is not null and screenshot.width > 0 and screenshot.height > 0),
+        c as (select step_id, w, h, least(greatest(0, y), h - 1) as t, y from s), d as (select *, least(greatest(t + 1, y + 2), h) as b from c), e as (select *, b - t as n, least(h, greatest(b - t + 1, ceil(w / 180)))::int as m from d),
+        f as (select *, case when greatest(w, n) / least(w, n) < 180 then t when w < n then t else least(greatest(0, t - (greatest(n, m) - n) // 2), h - greatest(n, m)) end as top, case when greatest(w, n) / least(w, n) < 180 then n when w < n then n else greatest(n, m) end as high from e),
+        g as (select *, case when w * high > 10000 then sqrt(10000 / (w * high)) else 1.0 end as k from f)
+        select step_id, 0 as l, top::int as t, w::int as r, (top + high)::int as b, greatest(1, round_even(w * k, 0))::int as z_width, greatest(1, round_even(high * k, 0))::int as z_height from g""",
 }

@@ -13,11 +13,13 @@ from stepweave.operators import adapter as D
 from stepweave.operators import metrics as M
 from stepweave.operators import payloads as L
 from stepweave.operators import records as R
+from stepweave.operators import requests as Q
 from stepweave.operators import scoring as C
 from stepweave.operators import sequence as S
 from stepweave.operators import spatial as P
 from stepweave.operators.shred import action_paths as object_paths
 from stepweave.operators.shred import ui_nodes
+from stepweave.sources import reports
 from stepweave.sources.sinks import chat_rows
 from stepweave.streaming.metrics import running, stream_files
 
@@ -429,10 +431,40 @@ def answer_texts(spark: SparkSession, root: str) -> DataFrame:
     return s.select("step_id", R.response_text(F.col("a"), F.coalesce("screenshot.width", F.lit(1080)), F.coalesce("screenshot.height", F.lit(1920))).alias("response"), R.forced_prefix(F.col("step_instruction"), F.col("a.action_type"), "template", "coord_bracket").alias("prefix"))
 
 
+def worker_reports(spark: SparkSession, root: str) -> DataFrame:
+    """Ten counters by worker (the one that timed most of a result's calls), merged, with their reductions: equal to those of all rows."""
+    calls = table(spark, root, "step_timings").where("worker_id is not null").groupBy("result_id", "worker_id").agg(F.count("*").alias("n"))
+    worker = calls.groupBy("result_id").agg(F.min_by("worker_id", F.struct(-F.col("n"), "worker_id")).alias("worker_id"))
+    rows = table(spark, root, "step_results").join(worker, "result_id", "left").withColumn("worker_id", F.coalesce("worker_id", F.lit("none")))
+    partials = reports.counters(rows, "benchmark", "worker_id")
+    return reports.merged_counters(partials, "benchmark")
+
+
+def shared_keys(spark: SparkSession, root: str) -> DataFrame:
+    """Requests of examples that would be answered once: their cache key and how many ask it."""
+    e = table(spark, root, "eval_examples")
+    return e.groupBy(Q.cache_key(F.col("benchmark"), F.col("prompt_text"), F.col("shot_count")).alias("key")).agg(F.count("*").alias("n")).where("n > 1").groupBy("n").agg(F.count("*").alias("n_keys"))
+
+
+def request_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Every result's request parameters: those of its configuration, defaults for unknown ones."""
+    r = table(spark, root, "step_results").select("result_id", "config_id")
+    return Q.with_parameters(r, table(spark, root, "fallback_configs")).select("result_id", *Q.DEFAULTS)
+
+
+def safe_crops(spark: SparkSession, root: str) -> DataFrame:
+    """The strip of each screen at a click's height, grown to a permitted ratio, and the size it is scaled to."""
+    s = _typed(spark, root).where("action.y is not null and screenshot.width > 0 and screenshot.height > 0")
+    w, h, y = F.col("screenshot.width"), F.col("screenshot.height"), F.col("action.y").cast("int")
+    strip = F.struct(F.lit(0).alias("l"), y.alias("t"), w.alias("r"), (y + 2).alias("b"))
+    s = s.select("step_id", G.safe_crop(strip, w, h).alias("c"), w.alias("w"), h.alias("h"))
+    return s.select("step_id", "c.l", "c.t", "c.r", "c.b", G.budget_size(F.col("c"), F.col("w"), F.col("h"), F.lit(10_000)).alias("z")).select("step_id", "l", "t", "r", "b", F.col("z.width").alias("z_width"), F.col("z.height").alias("z_height"))
+
+
 QUERIES = {f.__name__: f for f in (
     accuracy_by_partition, accuracy_delta, mode_metrics, shot_metrics, phase_summary, phase_merge, phase_comparison, token_totals, call_reduction, latency_quantiles, upper_median, decode_bands, group_spread,
     task_export, micro_macro, error_audit, instruction_index, action_history, next_features, typed_into, accepted_prefix, canonical_actions, action_mix, output_calls, method_agreement, click_scales, goal_text,
     instruction_overlap, split_lookup, missing_episodes, group_sources, call_reconciliation, prompts, chat_lines, bound_clicks, node_candidates, accuracy_interval, benchmark_intervals, running_metrics, stream_metrics, pending_results, screen_text,
     tool_calls, repaired_calls, payload_paths, leaking_steps, runtime_views, accuracy_pivot, best_configs, phase_coverage, prompt_cost, shard_sizes, latency_text, action_paths,
-    record_steps, canonical_records, step_matches, adapted_outputs, adapted_actions, answer_texts,
+    record_steps, canonical_records, step_matches, adapted_outputs, adapted_actions, answer_texts, worker_reports, shared_keys, request_rows, safe_crops,
 )}

@@ -42,3 +42,35 @@ def annotations(spark: SparkSession, glob: str) -> DataFrame:
 
 def annotated(spark: SparkSession, episode_file: str, annotation_glob: str) -> DataFrame:
     return episodes(spark, episode_file).join(annotations(spark, annotation_glob), ["episode_id", "step_id"], "left")
+
+
+ELEMENTS = "array<struct<bbox: array<int>, xml_desc: array<string>, functionality: string>>"
+TASKS = "array<struct<app: string, split: string, k_shot: int, query: struct<episode_id: string>, support: array<struct<episode: struct<episode_id: string>>>>>"
+
+
+def screens(spark: SparkSession, glob: str) -> DataFrame:
+    """stem, page_caption and groups of elements of annotation files, one a picture, by the file's name without its ending."""
+    files = spark.read.text(glob, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]*$", 1).alias("stem"), "value")
+    groups = F.map_filter(F.from_json("value", "map<string, string>"), lambda k, v: F.coalesce(v.startswith("["), F.lit(False)))
+    return files.select("stem", F.get_json_object("value", "$.page_caption").alias("page_caption"), F.transform_values(groups, lambda k, v: F.from_json(v, ELEMENTS)).alias("screen"))
+
+
+def with_screens(steps: DataFrame, annotated: DataFrame, path: str = "image_path") -> DataFrame:
+    """steps with the annotation of their picture by its stem; null without one."""
+    stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return steps.withColumn("stem", stem).join(annotated, "stem", "left").drop("stem")
+
+
+def tasks(spark: SparkSession, path: str) -> DataFrame:
+    """task_id (place in the file), app, split, k_shot, query and support (array of ids) of a file of few-shot tasks."""
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", TASKS)).alias("task_id", "t"))
+    return whole.select("task_id", "t.app", "t.split", "t.k_shot", F.col("t.query.episode_id").alias("query"), F.transform("t.support", lambda s: s["episode"]["episode_id"]).alias("support"))
+
+
+def chosen_episodes(rows: DataFrame, split: str | None = None, app: str | None = None, most: int | None = None) -> DataFrame:
+    """Rows of the first `most` episodes by id of a split and an app; None takes all."""
+    for name, value in (("split", split), ("app", app)):
+        rows = rows if value is None else rows.where(F.col(name) == value)
+    if most is None:
+        return rows
+    return rows.join(rows.select("episode_id").distinct().orderBy("episode_id").limit(most), "episode_id", "left_semi")

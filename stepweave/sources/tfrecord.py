@@ -1,6 +1,8 @@
 """TFRecord files of tf.train.Example as a Spark data source: spark.read.format("tfrecord").
 
-Options: `features` (comma-separated names; the schema's by default) and `path`. One input
+Options: `features` (comma-separated names; the schema's by default), `path` and
+`compression` (gzip or none; told by the first bytes by default). The source reads files that
+every executor sees; `read_shards` takes them from any file system Spark knows. One input
 partition per file, gzipped or not by its first bytes. Checksums are not verified. Integers
 are decoded as signed, unlike a plain varint reader. A file that ends within a record raises
 EOFError; an absent feature is null; an empty file has no rows.
@@ -8,31 +10,45 @@ EOFError; an absent feature is null; an empty file has no rows.
 
 from __future__ import annotations
 
+import contextlib
 import glob
 import gzip
+import io
 import os
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, IntegerType, LongType, StringType, StructType
 
 KINDS = {1: "bytes", 2: "float", 3: "int"}
 
 
-def frames(path: str) -> Iterator[memoryview]:
-    """Payloads of a file's records."""
-    with open(path, "rb") as plain:
-        zipped = plain.read(2) == b"\x1f\x8b"
-    with gzip.open(path, "rb") if zipped else open(path, "rb") as file:
-        while head := file.read(12):
-            if len(head) < 12:
-                raise EOFError(f"{path} ends within a header")
-            (size,) = struct.unpack("<Q", head[:8])
-            body = file.read(size + 4)
-            if len(body) < size + 4:
-                raise EOFError(f"{path} ends within a record")
-            yield memoryview(body)[:size]
+def records_in(file: BinaryIO, name: str) -> Iterator[memoryview]:
+    """Payloads of an open file's records, one at a time."""
+    while head := file.read(12):
+        if len(head) < 12:
+            raise EOFError(f"{name} ends within a header")
+        (size,) = struct.unpack("<Q", head[:8])
+        body = file.read(size + 4)
+        # the last checksum may be short unnoticed
+        if len(body) < size:
+            raise EOFError(f"{name} ends within a record")
+        yield memoryview(body)[:size]
+
+
+def frames(path: str | bytes, name: str = "file", zipped: bool | None = None) -> Iterator[memoryview]:
+    """Payloads of the records of a file (its path, or its bytes); gzipped or not by its first two bytes unless told."""
+    with io.BytesIO(path) if isinstance(path, bytes) else open(path, "rb") as raw:
+        if zipped is None:
+            zipped = raw.read(2) == b"\x1f\x8b"
+            raw.seek(0)
+        with gzip.GzipFile(fileobj=raw) if zipped else contextlib.nullcontext(raw) as file:
+            yield from records_in(file, name if isinstance(path, bytes) else path)
 
 
 def varint(data: memoryview, at: int) -> tuple[int, int]:
@@ -113,6 +129,16 @@ def example(data: memoryview, wanted: set[str] | None = None) -> dict[str, list]
     return out
 
 
+def as_row(got: dict[str, list], names: list[str], scalar: dict[str, bool], text: dict[str, bool]) -> tuple:
+    row = []
+    for name in names:
+        value = got.get(name)
+        if value is not None and text[name]:
+            value = [v.decode("utf-8", "replace") for v in value]
+        row.append((value[0] if value else None) if scalar[name] and value is not None else value)
+    return tuple(row)
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -135,15 +161,9 @@ class TFRecordReader(DataSourceReader):
         wanted = set(names)
         scalar = {f.name: not isinstance(f.dataType, ArrayType) for f in self.schema.fields}
         text = {f.name: isinstance(f.dataType if scalar[f.name] else f.dataType.elementType, StringType) for f in self.schema.fields}
-        for frame in frames(partition.path):
-            got = example(frame, wanted)
-            row = []
-            for name in self.schema.fieldNames():
-                value = got.get(name)
-                if value is not None and text[name]:
-                    value = [v.decode("utf-8", "replace") for v in value]
-                row.append((value[0] if value else None) if scalar[name] and value is not None else value)
-            yield tuple(row)
+        zipped = {"gzip": True, "none": False}.get(self.options.get("compression", "").lower())
+        for frame in frames(partition.path, zipped=zipped):
+            yield as_row(example(frame, wanted), self.schema.fieldNames(), scalar, text)
 
 
 class TFRecordSource(DataSource):
@@ -195,3 +215,54 @@ def write_file(path: str, records: list[dict[str, list]], zipped: bool = False)
         for r in records:
             body = encode(r)
             file.write(struct.pack("<Q", len(body)) + bytes(4) + body + bytes(4))
+
+
+def read_shards(spark: SparkSession, path: str, schema: str, glob_filter: str = "*", compression: str | None = None) -> DataFrame:
+    """Records of all files of a folder on any file system, with the columns of a schema, `shard` (the file's name) and `place` (from 0 within it).
+
+    A file is read as a whole, so that shards should be some hundred MB at most (2 GB is the
+    limit of a value); only the features of the schema are decoded.
+    """
+    types = StructType.fromDDL(schema)
+    names = types.fieldNames()
+    scalar = {f.name: not isinstance(f.dataType, ArrayType) for f in types.fields}
+    text = {f.name: isinstance(f.dataType if scalar[f.name] else f.dataType.elementType, StringType) for f in types.fields}
+    zipped = None if compression is None else compression == "gzip"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for shard, content in zip(b.shard, b.content):
+                rows: list[tuple] = []
+                for place, frame in enumerate(frames(bytes(content), shard, zipped)):
+                    rows.append((shard, place, *as_row(example(frame, set(names)), names, scalar, text)))
+                    if len(rows) >= 1000:
+                        yield pd.DataFrame(rows, columns=["shard", "place", *names], dtype=object)
+                        rows = []
+                yield pd.DataFrame(rows, columns=["shard", "place", *names], dtype=object)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob_filter).load(path).select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
+    return files.mapInPandas(run, f"shard string, place bigint, {schema}")
+
+
+def scan(spark: SparkSession, path: str, schema: str, splits: DataFrame | None = None, split: str | None = None, ids: DataFrame | None = None, key: str = "episode_id", **options) -> DataFrame:
+    """Records with a key, of a split (splits: key, split) and of a table of ids, in any order; records without the key are left out."""
+    rows = read_shards(spark, path, schema, **options).where(F.col(key).isNotNull())
+    if splits is not None:
+        rows = rows.join(splits, key, "left")
+        rows = rows if split is None else rows.where(F.col("split") == split)
+    return rows if ids is None else rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def lookup(spark: SparkSession, path: str, schema: str, wanted, key: str = "episode_id", **options) -> DataFrame:
+    """The record of one key: the first by shard and place; KeyError if no shard has it."""
+    found = read_shards(spark, path, schema, **options).where(F.col(key) == wanted).orderBy("shard", "place").limit(1)
+    if found.isEmpty():
+        raise KeyError(wanted)
+    return found
+
+
+def with_late(core: DataFrame, spark: SparkSession, path: str, key: str, heavy: str, **options) -> DataFrame:
+    """core with heavy features (a schema), decoded only for the records that core still holds."""
+    shards = core.select("shard", "place")
+    late = read_shards(spark, path, heavy, **options).join(shards, ["shard", "place"], "left_semi")
+    return core.join(late, ["shard", "place"])
