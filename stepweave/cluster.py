@@ -41,13 +41,30 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_CUTS: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: later plans start from files that outlive any executor."""
+    """df written to the shared folder and read again: later plans start from files that outlive any executor.
+
+    The files stay, as the result may be read at any time; `clear` deletes those of the
+    session when its results have been written.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stepweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that this session cut, and says how many; results that were not written or collected are lost."""
+    n = len(_CUTS)
+    while _CUTS:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return n
+
+
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     """df for a broadcast join if it has at most so many rows, else df itself for a shuffled one."""
     rows = df.limit(most + 1).collect()

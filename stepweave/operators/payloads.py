@@ -84,24 +84,24 @@ def repaired(text: pd.Series) -> pd.Series:
 
 
 def key_paths(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """record_id, path, kind of every key of every payload: paths with [] for array elements, each once a record."""
+    """record_id, path, kind of every key of every payload: paths with [] for array elements, each path and kind once a record."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for k, p in zip(b.k, b.p):
-                found: dict[str, str] = {}
+                found: set[tuple[str, str]] = set()
                 stack: list[tuple[str, Any]] = [("", content(p))]
                 while stack:
                     path, value = stack.pop()
                     if isinstance(value, dict):
                         for name, inner in value.items():
                             at = f"{path}.{name}" if path else name
-                            found.setdefault(at, type(inner).__name__)
+                            found.add((at, type(inner).__name__))
                             stack.append((at, inner))
                     elif isinstance(value, list):
                         stack += [(f"{path}[]", x) for x in value]
-                rows += [(k, path, kind) for path, kind in found.items()]
+                rows += [(k, path, kind) for path, kind in sorted(found)]
             out = pd.DataFrame(rows, columns=["record_id", "path", "kind"])
             out["record_id"] = out["record_id"].astype("Int64")
             yield out

@@ -133,12 +133,12 @@ def _members(value: Any) -> list:
     return value if isinstance(value, list) else [value] if isinstance(value, dict) else []
 
 
-def shred(document: Any, shape: Shape) -> list[tuple[int, int, int, dict]]:
+def shred(document: Any, shape: Shape, groups: bool = False) -> list[tuple[int, int, int, dict]]:
     """(repetition level, definition level, position in the outer group, entry) in the order of the text.
 
-    The entry is the object that all leaf columns of the group share, so that one level
-    sequence serves them all. Levels: 0 the document, 1 the outer group, 2 an entry, 3 one
-    nested in it, and so on.
+    The entry is the object that the leaf columns of the group are taken from (`columns`).
+    Levels: 0 the document, 1 the outer group, 2 an entry, 3 one nested in it, and so on.
+    With groups the objects of the outer group are entries of level 1, before their own.
     """
     document = content(document)
     out: list[tuple[int, int, int, dict]] = []
@@ -166,6 +166,9 @@ def shred(document: Any, shape: Shape) -> list[tuple[int, int, int, dict]]:
                             if k in shape.entries:
                                 tops += _members(v)
         first = True
+        if groups and isinstance(outer, dict):
+            out.append((1 if out else 0, 1, no, outer))
+            first = False
         # entries that begin later lie deeper in the stack, so that they come out in text order
         stack = [(2, x) for x in reversed(tops)]
         while stack:
@@ -185,6 +188,19 @@ def shred(document: Any, shape: Shape) -> list[tuple[int, int, int, dict]]:
     return out
 
 
+def columns(entries: list[tuple[int, int, int, dict]], leaves: tuple[str, ...]) -> dict[str, list[tuple[int, int, Any]]]:
+    """(repetition level, definition level, value) of every entry, leaf by leaf.
+
+    A leaf is optional and may be null: its definition level is that of its entry if it is
+    absent, one more if it is null, two more if it has a value. All leaves of a group have
+    the same repetition levels.
+    """
+    out: dict[str, list[tuple[int, int, Any]]] = {}
+    for leaf in leaves:
+        out[leaf] = [(r, d + (0 if leaf not in e else 1 if e[leaf] is None else 2), e.get(leaf)) for r, d, _, e in entries]
+    return out
+
+
 def assemble(entries: list[tuple[int, int, int, dict]], shape: Shape) -> Iterator[tuple[int, int, int, dict]]:
     """(outer position, number within it, parent's number or -1, entry), from the level sequence."""
     at = 0
@@ -224,31 +240,34 @@ def _text(value: Any) -> str | None:
     return json.dumps(value, ensure_ascii=False)
 
 
-def flatten(df: DataFrame, key: str, step: str, payload: str, shape: Shape, leaves: bool = False) -> DataFrame:
+def flatten(df: DataFrame, key: str, step: str, payload: str, shape: Shape, leaves: bool | tuple[str, ...] = False) -> DataFrame:
     """One row per entry of each payload: record_id, step_index, window_no, node_no, parent_no, and its leaves as text.
 
-    df holds one document per row; key, step and payload name its columns.
+    df holds one document per row; key, step and payload name its columns; leaves: all of the
+    shape's, none, or the named ones.
     """
-    names = shape.leaves if leaves else ()
+    names = leaves if isinstance(leaves, tuple) else shape.leaves if leaves else ()
     schema = "record_id bigint, step_index int, window_no int, node_no int, parent_no int" + "".join(f", {n} string" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] + [pa.int32()] * 4 + [pa.string()] * len(names)
         labels = ["record_id", "step_index", "window_no", "node_no", "parent_no", *names]
         for batch in batches:
-            columns: list[list] = [[] for _ in labels]
+            rows: list[list] = [[] for _ in labels]
             for k, s, p in zip(*(c.to_pylist() for c in batch.columns)):
                 if p is None:
                     continue
-                for no, i, parent, entry in assemble(shred(p, shape), shape):
-                    for column, value in zip(columns, (k, s, no, i, parent)):
+                entries = shred(p, shape)
+                for no, i, parent, _ in assemble(entries, shape):
+                    for column, value in zip(rows, (k, s, no, i, parent)):
                         column.append(value)
-                    for column, name in zip(columns[5:], names):
-                        column.append(_text(entry.get(name)))
-                if len(columns[0]) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=labels)
-                    columns = [[] for _ in labels]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=labels)
+                # rows of the group and entries of its leaves stand in one order
+                for column, leaf in zip(rows[5:], columns(entries, names).values()):
+                    column.extend(_text(value) for _, _, value in leaf)
+                if len(rows[0]) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=labels)
+                    rows = [[] for _ in labels]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=labels)
 
     return df.select(F.col(key).cast("bigint").alias("k"), F.col(step).cast("int").alias("s"), F.col(payload).alias("p")).where("p is not null").mapInArrow(run, schema)
 
@@ -258,12 +277,12 @@ def tree_rows(records: DataFrame) -> DataFrame:
     return spread(records.select("record_id", "accessibility_trees")).select("record_id", F.posexplode("accessibility_trees").alias("step_index", "tree"))
 
 
-def ui_nodes(records: DataFrame, leaves: bool = False) -> DataFrame:
+def ui_nodes(records: DataFrame, leaves: bool | tuple[str, ...] = False) -> DataFrame:
     """Flat UI nodes of android_records."""
     return flatten(tree_rows(records), "record_id", "step_index", "tree", UI_TREE, leaves)
 
 
-def action_objects(steps: DataFrame, leaves: bool = False) -> DataFrame:
+def action_objects(steps: DataFrame, leaves: bool | tuple[str, ...] = False) -> DataFrame:
     """Flat action objects of the raw_action payloads of steps."""
     return flatten(spread(steps.select("step_id", "step_index", "raw_action")), "step_id", "step_index", "raw_action", ACTION, leaves)
 
@@ -300,25 +319,22 @@ def action_paths(steps: DataFrame, most: int = 1 << 24) -> DataFrame:
 
 
 def ui_windows(records: DataFrame) -> DataFrame:
-    """Flat windows: record_id, step_index, window_no, title, type, n_nodes (readable ones)."""
-    shape = UI_TREE
+    """Flat windows: record_id, step_index, window_no, title, type, n_nodes (readable ones), from the levels: a window is an entry of level 1, its nodes those before the next one."""
+    shape, names = UI_TREE, ["record_id", "step_index", "window_no", "title", "type", "n_nodes"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows: list[list] = []
             for k, s, p in zip(*(c.to_pylist() for c in batch.columns)):
-                document = content(p)
-                if document is None:
-                    continue
-                counts: dict[int, int] = {}
-                for _, _, no, _ in shred(document, shape):
-                    counts[no] = counts.get(no, 0) + 1
-                windows = _members(document.get(shape.outer)) if isinstance(document, dict) else _members(document)
-                for no, window in enumerate(windows):
-                    window = content(window)
-                    if isinstance(window, dict):
-                        rows.append((k, s, no, _text(window.get("title")), _text(window.get("type")), counts.get(no, 0)))
-            columns = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()])], names=["record_id", "step_index", "window_no", "title", "type", "n_nodes"])
+                entries = shred(p, shape, groups=True)
+                leaves = columns(entries, ("title", "type"))
+                for i, (_, level, no, _) in enumerate(entries):
+                    if level == 1:
+                        rows.append([k, s, no, *(_text(c[i][2]) for c in leaves.values()), 0])
+                    elif rows:
+                        rows[-1][5] += 1
+            out = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
     return tree_rows(records).where("tree is not null").mapInArrow(run, "record_id bigint, step_index int, window_no int, title string, type string, n_nodes int")

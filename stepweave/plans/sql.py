@@ -48,6 +48,14 @@ firsts as (select *, {_KIND.format(c="a")} as action_type, case when kind = 'ope
 _WORDS = "list_distinct(coalesce(regexp_extract_all(lower({c}), '([a-z0-9]+)', 1), []))"
 
 
+_ROOTS = f"roots as (select step_id, step_index, {_PARSE.format(j='j0')} as j from (select step_id, step_index, case when json_valid(raw_action) then raw_action::json end as j0 from steps))"
+_PATHS = f"""with {_ROOTS}, k as (select r.step_id as record_id, regexp_replace(regexp_replace(t.fullkey, '\\[\\d+\\]', '[]', 'g'), '^\\$\\.?', '') as path, t.type, t.key from roots r, json_tree(r.j) t where r.j is not null)
+        select distinct record_id, path, case type when 'OBJECT' then 'dict' when 'ARRAY' then 'list' when 'VARCHAR' then 'str' when 'BOOLEAN' then 'bool' when 'NULL' then 'NoneType' when 'DOUBLE' then 'float' else 'int' end as kind from k where path <> '' and not ends_with(path, '[]')"""
+# objects with an action_type that lie below others through `actions` alone, numbered as they begin
+_OBJECTS = f"""{_ROOTS}, found as (select r.step_id as record_id, r.step_index, t.fullkey as at, t.id, t.value as v from roots r, json_tree(r.j) t where r.j is not null and t.type = 'OBJECT' and regexp_full_match(t.fullkey, '\\$(\\[\\d+\\])?(\\.actions(\\[\\d+\\])?)*') and json_exists(t.value, '$.action_type')),
+        nodes as (select *, (row_number() over (partition by record_id order by id) - 1)::int as node_no from found)"""
+
+
 def _quantiles() -> str:
     parts = [f"select part, method, n, '{name}' as quantile, ms from ranked where k = cast(round_even((n - 1) * {q}, 0) as bigint)" for name, q in (("q025", 0.025), ("q500", 0.5), ("q975", 0.975))]
     return f"with {_JUDGED}, ranked as (select part, method, ms, count(*) over (partition by part, method) as n, row_number() over (partition by part, method order by ms) - 1 as k from judged where ms is not null) " + " union all ".join(parts)
@@ -187,4 +195,17 @@ SQL: dict[str, str] = {
         f as (select *, case when greatest(w, n) / least(w, n) < 180 then t when w < n then t else least(greatest(0, t - (greatest(n, m) - n) // 2), h - greatest(n, m)) end as top, case when greatest(w, n) / least(w, n) < 180 then n when w < n then n else greatest(n, m) end as high from e),
         g as (select *, case when w * high > 10000 then sqrt(10000 / (w * high)) else 1.0 end as k from f)
         select step_id, 0 as l, top::int as t, w::int as r, (top + high)::int as b, greatest(1, round_even(w * k, 0))::int as z_width, greatest(1, round_even(high * k, 0))::int as z_height from g""",
+    "payload_paths": f"select path, kind, count(*) as n from ({_PATHS}) group by all",
+    "leaking_steps": f"""select * from ({_PATHS}) where regexp_replace(regexp_extract(path, '([^.]+)$', 1), '(\\[\\])+$', '') in ('future_annotation', 'future_annotations', 'future_trajectory', 'next_step', 'next_step_sketch', 'teacher', 'teacher_annotation', 'teacher_annotations', 'teacher_only')
+        or regexp_matches(regexp_extract(path, '([^.]+)$', 1), '^(future_|next_step_|teacher_)')""",
+    "action_paths": f"""with {_OBJECTS} select n.record_id, n.node_no, (count(*) - 1)::int as depth, string_agg(a.node_no, '/' order by length(a.at)) as path from nodes n join nodes a on a.record_id = n.record_id and (n.at = a.at or starts_with(n.at, a.at || '.actions')) group by n.record_id, n.node_no""",
+    "screen_text": """with d as (select record_id, unnest(range(len(screen_descriptions)))::int as step_index, unnest(screen_descriptions) as raw from android_records), f as (select *, decode(raw) as t from d where raw is not null),
+        p as (select record_id, step_index, unnest(range(len(string_split(t, '|')))) as k, trim(regexp_replace(unnest(string_split(t, '|')), '[\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) as x from f),
+        g as (select *, rtrim(x[:160]) as y from p where length(x) >= 3 and regexp_matches(x, '\\p{L}') and not regexp_matches(x, '(?i)https?://|www\\.|googleadservices\\.com|doubleclick\\.net|utm_|gclid(?:=|%3d)|adurl(?:=|%3d)|client=ca-app-pub')
+            and not (length(x) > 64 and regexp_matches(x, '(?:%[0-9A-Fa-f]{2}){4,}')) and not (length(x) > 120 and length(x) - length(replace(x, '=', '')) >= 2 and length(x) - length(replace(x, '&', '')) >= 2)),
+        s as (select *, row_number() over w as no, sum(length(y) + 3) over w - 3 as size from g window w as (partition by record_id, step_index order by k)),
+        u as (select record_id, step_index, y, min(no) as no from s where no <= 64 and size <= 4096 group by all), j as (select record_id, step_index, string_agg(y, ' | ' order by no) as text from u group by all)
+        select f.record_id, f.step_index, coalesce(j.text, '') as text from f left join j using (record_id, step_index)""",
+    "p6_actions": f"""with {_OBJECTS}, up as (select n.record_id, n.node_no, arg_max(a.node_no, length(a.at)) as parent from nodes n join nodes a on a.record_id = n.record_id and starts_with(n.at, a.at || '.actions') group by all)
+        select n.record_id, n.step_index, 0 as window_no, n.node_no, coalesce(parent, -1) as parent_no, {", ".join(f"v ->> '$.{k}' as {k}" for k in ("action_type", "x", "y", "direction", "text", "app_name", "goal_status", "seconds", "times"))} from nodes n left join up using (record_id, node_no)""",
 }

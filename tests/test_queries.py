@@ -34,14 +34,14 @@ def rows(names, data):
 
 @pytest.mark.parametrize("name", sorted(sql.SQL))
 def test_same_as_sql(spark, duck, name):
-    df = trajectories.QUERIES[name](spark, ROOT)
+    df = {**trajectories.QUERIES, **nested.QUERIES}[name](spark, ROOT)
     result = duck.execute(sql.SQL[name])
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in result.description], result.fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(({**trajectories.QUERIES, **nested.QUERIES}).keys() - sql.SQL.keys()))
-def test_others_run(spark, name):
-    assert entry.queries()[name](spark, ROOT).columns
+def test_others_give_rows(spark, name):
+    assert entry.queries()[name](spark, ROOT).count() > 0
 
 
 def test_entry(spark):

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 
-from stepweave.operators.shred import ACTION, UI_TREE, _loads_deep, action_objects, action_paths, assemble, content, shred, ui_nodes, ui_windows
+from stepweave.operators.shred import ACTION, UI_TREE, _loads_deep, action_objects, action_paths, assemble, columns, content, shred, ui_nodes, ui_windows
 
 
 def walk(document):
@@ -101,3 +101,13 @@ def test_action_paths(spark):
         got = sorted(tuple(r) for r in action_paths(steps, most).collect())
         assert [r for r in got if r[0] == 1] == [(1, i, i, "/".join(map(str, range(i + 1)))) for i in range(301)]
         assert [r[1:] for r in got if r[0] > 1] == [(0, 0, "0"), (1, 1, "0/1"), (2, 2, "0/1/2"), (3, 1, "0/3"), (4, 0, "4")]
+
+
+def test_leaf_levels():
+    """Absent, null and given leaves differ in their definition level; windows are entries of level 1."""
+    tree = {"windows": [{"title": "a", "tree": {"nodes": [{"text": "x", "children": [{"text": None}]}, {}]}}, {"title": None}, None, {"tree": {"nodes": [{"text": 1}]}}]}
+    entries = shred(tree, UI_TREE)
+    assert columns(entries, ("text",))["text"] == [(0, 4, "x"), (3, 4, None), (2, 2, None), (1, 4, 1)]
+    grouped = shred(tree, UI_TREE, groups=True)
+    assert [(r, d, no) for r, d, no, _ in grouped] == [(0, 1, 0), (2, 2, 0), (3, 3, 0), (2, 2, 0), (1, 1, 1), (1, 1, 3), (2, 2, 3)]
+    assert [d for _, d, _ in columns(grouped, ("title",))["title"] if d < 4][:1] == [3]
