@@ -178,3 +178,10 @@ def budget_size(box: Column, width: Column, height: Column, budget: Column) -> C
     most = F.greatest(F.lit(1), budget)
     scale = F.when(w * h > most, F.sqrt(most / (w * h))).otherwise(F.lit(1.0))
     return F.struct(*[F.greatest(F.lit(1), F.bround(x * scale)).cast("int").alias(n) for n, x in (("width", w), ("height", h))])
+
+
+def picture(path: Column, raw: Column, width: Column, height: Column) -> Column:
+    """struct<path, width, height, source>: sizes as given, else of the PNG's header; the source is path, bytes or cache (both)."""
+    own = png_size(raw)
+    source = F.when(path.isNotNull() & raw.isNotNull(), "cache").when(raw.isNotNull(), "bytes").when(path.isNotNull(), "path")
+    return F.struct(path.alias("path"), F.coalesce(width.cast("int"), own["width"]).alias("width"), F.coalesce(height.cast("int"), own["height"]).alias("height"), source.alias("source"))

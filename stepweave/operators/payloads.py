@@ -118,3 +118,39 @@ def leaking_paths(paths: DataFrame) -> DataFrame:
     """Paths whose last key tells of the future."""
     last = F.regexp_extract("path", r"([^.\[\]]+)(?:\[\])*$", 1)
     return paths.where(last.isin(*FORBIDDEN) | last.rlike("^(" + "|".join(FORBIDDEN_PREFIXES) + ")"))
+
+
+def is_forbidden(key: str) -> bool:
+    """Whether a key of a step's input tells of the future."""
+    return key in FORBIDDEN or key.startswith(FORBIDDEN_PREFIXES)
+
+
+def violations(value: Any, path: str = "") -> list[str]:
+    """Paths of such keys in a nested value, with positions, in the order of the value; no recursion."""
+    out: list[str] = []
+    stack: list[tuple[str, Any]] = [(path, value)]
+    while stack:
+        at, here = stack.pop()
+        if isinstance(here, dict):
+            inner = [(f"{at}.{k}" if at else str(k), str(k), v) for k, v in here.items()]
+        elif isinstance(here, (list, tuple)):
+            inner = [(f"{at}[{i}]", "", v) for i, v in enumerate(here)]
+        else:
+            continue
+        out += [p for p, k, _ in inner if k and is_forbidden(k)]
+        stack += [(p, v) for p, _, v in reversed(inner)]
+    return out
+
+
+def assert_clean(df: DataFrame, key: str, payload: str) -> None:
+    """ValueError with some of the paths if any payload has a key that tells of the future."""
+    found = leaking_paths(key_paths(df, key, payload)).limit(5).collect()
+    if found:
+        raise ValueError("keys of the future: " + ", ".join(f"{r.record_id}: {r.path}" for r in found))
+
+
+def assert_artifact_clean(artifact: dict[str, Any]) -> None:
+    """The same for a compound object of features: its objects, and the lists of feature names in it."""
+    names = [f"{part}.feature_names[{n}]" for part, v in artifact.items() if isinstance(v, dict) for n in v.get("feature_names") or () if is_forbidden(str(n))]
+    if found := violations(artifact) + names:
+        raise ValueError("keys of the future: " + ", ".join(found))

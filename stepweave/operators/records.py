@@ -191,6 +191,33 @@ def app_effect(package: Column, next_package: Column, caption: Column, next_capt
     return F.struct(((kind == "TERMINATE") | ~has_next).alias("terminal"), changed.alias("app_changed"), (~caption.eqNullSafe(next_caption)).alias("caption_changed"), has_next.alias("next_available"))
 
 
+# Fields of a screen and of the history that only the truth knows.
+TRUTH_OF_SCREEN = ("bound_target.bbox", "bound_target.functionality", "bound_target.label")
+TRUTH_OF_HISTORY = ("bound_target.bbox", "bound_target.label")
+
+
+def is_truth_of_screen(field: Column) -> Column:
+    return field.isin(*TRUTH_OF_SCREEN)
+
+
+def is_truth_of_history(field: Column) -> Column:
+    return field.isin(*TRUTH_OF_HISTORY)
+
+
+def runtime_view(records: DataFrame, modes: tuple[str, ...] = ("high_level", "low_level"), preserve_action: bool = False) -> DataFrame:
+    """Canonical records (goal, instruction, description, action, ...) as a model sees them in each mode: no target and effect, the instruction in low level only, the action only if preserved, overlaps of words without them."""
+    seen = records.drop("target", "effect", "words").withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    seen = seen.withColumn("instruction", F.when(F.col("mode") != "high_level", F.col("instruction"))).withColumn("policy", F.lit("runtime_observable_only"))
+    if not preserve_action:
+        seen = seen.withColumn("action", action(F.lit("UNOBSERVED")))
+    return seen.withColumn("words", lexical_alignment(F.col("goal"), F.col("description"), _none(), F.col("instruction"), _none()))
+
+
+def roi_change(kind: Column, next_available: Column) -> Column:
+    """Whether the screen changed where an action that depends on no place was done; null where that can't be told."""
+    return F.when(~is_localized(kind), next_available)
+
+
 def is_localized(kind: Column) -> Column:
     return F.coalesce(F.upper(kind).isin(*LOCALIZED), F.lit(False))
 

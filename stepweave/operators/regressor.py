@@ -6,6 +6,7 @@ all rows in Arrow batches, the weights travel with the function.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,3 +112,43 @@ def vector_of(rows: DataFrame, point: str) -> str:
 def metadata_of(rows: DataFrame, kind: str = "array<string>"):
     """The column metadata, else meta, else an empty list."""
     return F.coalesce(*[F.col(c) for c in ("metadata", "meta") if c in rows.columns], F.array().cast(kind))
+
+
+def checked_vectors(rows: DataFrame, features: str, n_metadata: int | None = None) -> None:
+    """ValueError if vectors differ in length, if some are null beside others, or if their number isn't that of the metadata."""
+    r = rows.agg(F.count("*").alias("n"), F.count(features).alias("given"), F.min(F.size(features)).alias("least"), F.max(F.size(features)).alias("most")).first()
+    if r.given and r.given != r.n:
+        raise ValueError(f"{r.n - r.given} of {r.n} rows have no {features}")
+    if r.least != r.most:
+        raise ValueError(f"{features} of {r.least} to {r.most} numbers")
+    if n_metadata is not None and n_metadata != r.n:
+        raise ValueError(f"{r.n} vectors, {n_metadata} metadata")
+
+
+def same_columns(rows: DataFrame, a: str, b: str) -> None:
+    """ValueError if two columns differ in any row."""
+    if n := rows.where(~F.col(a).eqNullSafe(F.col(b))).count():
+        raise ValueError(f"{a} and {b} differ in {n} rows")
+
+
+def save_vectors(rows: DataFrame, features: str, path: str) -> None:
+    """Vectors with their metadata as Parquet, if they are all of one kind."""
+    checked_vectors(rows, features)
+    rows.write.mode("overwrite").parquet(path)
+
+
+def save(model: Regressor, spark, path: str, **info) -> None:
+    """Weights and what is told of them as one JSON text."""
+    value = {"info": info, "weights": {k: v.tolist() for k, v in vars(model).items()}}
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load(spark, path: str) -> tuple[Regressor, dict]:
+    value = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    return Regressor(**{k: np.array(v) for k, v in value["weights"].items()}), value["info"]
+
+
+def best_epochs(losses: DataFrame) -> DataFrame:
+    """One JSON object per variant of losses (variant, epoch, loss): the epoch with the lowest loss (the first of equal ones) and that loss."""
+    best = losses.groupBy("variant").agg(F.min_by(F.struct("epoch", "loss"), F.struct("loss", "epoch")).alias("best"), F.count("*").alias("epochs"))
+    return best.select("variant", F.to_json(F.struct(F.col("best.epoch").alias("best_epoch"), F.col("best.loss").alias("best_loss"), "epochs")).alias("summary"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from stepweave.functions.text import chosen_label
+from stepweave.functions.text import chosen_label, version_numbers
 from stepweave.operators.inference import answer
 
 # Decoding parameters where a configuration gives none.
@@ -57,6 +59,12 @@ def answered_once(requests: DataFrame, cached: DataFrame, key: str = "key") -> t
     return requests.join(known, key), requests.join(known, key, "left_anti").dropDuplicates([key])
 
 
+@F.pandas_udf(LongType())
+def shard_of(keys: pd.Series, shards: pd.Series) -> pd.Series:
+    """The shard of each key: its BLAKE2b hash of eight bytes, the first the highest, by the number of shards; null for null."""
+    return pd.Series([None if k is None else int.from_bytes(blake2b(str(k).encode(), digest_size=8).digest(), "big") % int(n) for k, n in zip(keys, shards)], dtype="Int64")
+
+
 def in_rounds(rows: DataFrame, n: int, order: str) -> DataFrame:
     """rows with the worker (0 to n - 1) that each goes to in turn, in the order of a unique column; numbered by ranges, not in one task."""
     from stepweave.operators.metrics import number
@@ -144,3 +152,9 @@ def screen_elements(annotated: DataFrame, key: str = "step_id") -> DataFrame:
     label = F.array_join("e.xml_desc", " ")
     w = Window.partitionBy(key).orderBy("group_name", "at")  # the elements of one screen
     return good.select(key, (F.row_number().over(w) - 1).alias("place"), "group_name", F.struct(*[n[i].cast("int").alias(x) for i, x in enumerate("ltrb")]).alias("box"), label.alias("label"), F.col("e.functionality").alias("functionality"))
+
+
+def latest(rows: DataFrame, version: str, *keys: str) -> DataFrame:
+    """Of each group the row of the highest version, by its numbers."""
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(version_numbers(F.col(version)), version)).alias("best"))
+    return best.select("best.*")

@@ -77,8 +77,11 @@ def candidates(nodes: DataFrame, most: int = 128, stored: int = 192, screens: Da
     return n.withColumn("rank", F.row_number().over(Window.partitionBy(*screen).orderBy("place"))).where(F.col("rank") <= most).select(*screen, "window_no", "node_no", "label", "role", "area", "rank")
 
 
-def farthest_points(vectors: list, share: float) -> list[int]:
-    """Greedy choice of max(1, round(share * n)) vectors by cosine distance, each the farthest from those chosen; sorted positions."""
+def farthest_points(vectors: list, share: float, block: int = 1024) -> list[int]:
+    """Greedy choice of max(1, round(share * n)) vectors by cosine distance, each the farthest from those chosen; sorted positions.
+
+    Distances are made in blocks and for each chosen vector anew, so that memory grows with n, not with its square.
+    """
     import numpy as np
 
     x = np.asarray(vectors, float)
@@ -86,19 +89,31 @@ def farthest_points(vectors: list, share: float) -> list[int]:
     if not n:
         return []
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    distance = 1 - unit @ unit.T
-    k = max(1, round(share * n))
-    first = int(np.argmax(np.partition(distance, min(1, n - 1), axis=1)[:, min(1, n - 1)]))
-    chosen, gap = [first], distance[first].copy()
-    gap[first] = -np.inf
-    while len(chosen) < k:
+    # the second smallest distance of each vector, the smallest being that to itself
+    second = np.concatenate([np.partition(1 - unit[i : i + block] @ unit.T, min(1, n - 1), axis=1)[:, min(1, n - 1)] for i in range(0, n, block)])
+    chosen = [int(np.argmax(second))]
+    gap = 1 - unit @ unit[chosen[0]]
+    gap[chosen] = -np.inf
+    while len(chosen) < max(1, round(share * n)):
         i = int(np.argmax(gap))
         chosen.append(i)
-        gap = np.minimum(gap, distance[i])
+        gap = np.minimum(gap, 1 - unit @ unit[i])
         gap[chosen] = -np.inf
     return sorted(chosen)
 
 
+def farthest_by_group(vectors: DataFrame, group: str, key: str, features: str, share: float) -> DataFrame:
+    """group, key of the vectors that farthest_points chooses in each group, in the order of key. A group is one screen's or text's vectors and stands in one task."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        return pdf.iloc[farthest_points(list(pdf[features]), share)][[group, key]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    return vectors.where(F.col(features).isNotNull()).select(group, key, features).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}")
+
+
 def draft_tree(scores: DataFrame, roots: DataFrame, levels: int, per_level: int, total: int) -> DataFrame:
     """Best nodes of a tree that grows by scores: tree_id, node, parent, depth, score.
 

@@ -134,3 +134,34 @@ def by_order(names: list[str], first: list[str]) -> list[str]:
 
 def dump(value: Mapping[str, Any]) -> str:
     return json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True)
+
+
+def write_summaries(spark: SparkSession, folder: str, report: Mapping[str, Any]) -> dict[str, str]:
+    """The report, its summary and its lines in a folder of a run, and where they are."""
+    from stepweave.sources.config import write_json
+
+    s = summary(report)
+    paths = {k: f"{folder.rstrip('/')}/{k}" for k in ("report", "summary", "lines")}
+    write_json(spark, paths["report"], report)
+    write_json(spark, paths["summary"], s)
+    spark.createDataFrame([("\n".join(summary_lines(s)),)], "value string").coalesce(1).write.mode("overwrite").text(paths["lines"])
+    return paths
+
+
+def read_runs(spark: SparkSession, glob: str, *status: str) -> DataFrame:
+    """path, status and text of the pointer files of runs, of some states if any are named."""
+    runs = spark.read.text(glob, wholetext=True).select(F.input_file_name().alias("path"), F.get_json_object("value", "$.status").alias("status"), "value")
+    return runs.where(F.col("status").isin(*status)) if status else runs
+
+
+def json_state(spark: SparkSession, path: str) -> str:
+    """missing, unreadable, no object or object: what a report's path holds."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return "missing"
+    text = spark.read.text(path, wholetext=True).first()
+    try:
+        value = json.loads(text[0]) if text else None
+    except ValueError:
+        return "unreadable"
+    return "object" if isinstance(value, dict) else "no object"

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from stepweave.functions import geometry as G
 from stepweave.functions import text as T
+from stepweave.operators import payloads as L
+from stepweave.operators import records as R
 from stepweave.operators import regressor as N
 from stepweave.operators import requests as Q
 from stepweave.operators import scoring as C
+from stepweave.operators.spatial import farthest_by_group, farthest_points
 from stepweave.sources import config, nested_json, reports
 from stepweave.sources.tfrecord import lookup, read_shards, scan, with_late, write_file
 
@@ -195,3 +198,83 @@ def test_regressor(spark):
     with pytest.raises(ValueError):
         N.vector_of(df, "thinking_end")
     assert df.select(N.metadata_of(df)).first()[0] == [] and N.predict(df.limit(0), fitted, "h_action", "id").collect() == []
+
+
+def test_guards(spark):
+    assert L.violations({"a": [{"next_step": 1, "ok": {"teacher_x": 2}}], "future_b": {"future_trajectory": 0}}) == ["future_b", "a[0].next_step", "a[0].ok.teacher_x", "future_b.future_trajectory"]
+    df = spark.createDataFrame([(1, '{"a": {"goal_status": 1}}'), (2, None)], "id bigint, p string")
+    L.assert_clean(df, "id", "p")
+    with pytest.raises(ValueError, match="teacher"):
+        L.assert_clean(df.unionByName(spark.createDataFrame([(3, '{"a": [{"teacher": 1}]}')], "id bigint, p string")), "id", "p")
+    L.assert_artifact_clean({"stats": {"n": 1}, "model": {"feature_names": ["a"]}})
+    for bad in ({"stats": {"next_step_x": 1}}, {"model": {"feature_names": ["future_a"]}}):
+        with pytest.raises(ValueError):
+            L.assert_artifact_clean(bad)
+
+
+def test_runtime(spark):
+    df = spark.createDataFrame([("Go home", "Tap it", "home screen")], "goal string, instruction string, description string").select("*", R.action(F.lit("CLICK")).alias("action"), F.lit(1).alias("target"))
+    got = {r["mode"]: (r.instruction, r.action.action_type, r.words.goal_screen, "target" in r) for r in R.runtime_view(df).collect()}
+    assert got == {"high_level": (None, "UNOBSERVED", ["home"], False), "low_level": ("Tap it", "UNOBSERVED", ["home"], False)}
+    assert R.runtime_view(df, ("low_level",), preserve_action=True).first().action.action_type == "CLICK"
+    assert one(spark, R.is_truth_of_screen(F.lit("bound_target.label")), R.is_truth_of_history(F.lit("bound_target.functionality")), R.roi_change(F.lit("type"), F.lit(True)), R.roi_change(F.lit("NAV"), F.lit(True))) == [True, False, None, True]
+
+
+def test_pictures_and_shards(spark):
+    png = b"\x89PNG\r\n\x1a\n" + bytes(8) + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
+    none = F.lit(None).cast("string")
+    got = one(spark, G.picture(none, F.lit(png), F.lit(7), F.lit(None).cast("int")), G.picture(F.lit("p"), F.lit(None).cast("binary"), F.lit(None).cast("int"), F.lit(None).cast("int")))
+    assert [tuple(x) for x in got] == [(None, 7, 480, "bytes"), ("p", None, None, "path")]
+    from hashlib import blake2b
+
+    assert one(spark, Q.shard_of(F.lit("k"), F.lit(7)), Q.shard_of(none, F.lit(7))) == [int.from_bytes(blake2b(b"k", digest_size=8).digest(), "big") % 7, None]
+    df = spark.createDataFrame([("a", "4.9.0"), ("a", "4.10.0"), ("b", "1")], "k string, v string")
+    assert {r.k: r.v for r in Q.latest(df, "v", "k").collect()} == {"a": "4.10.0", "b": "1"}
+
+
+def naive_farthest(vectors, share):
+    x = np.asarray(vectors, float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    chosen = [int(np.argmax(np.sort(d, axis=1)[:, 1]))]
+    while len(chosen) < max(1, round(share * len(x))):
+        rest = d[:, chosen].min(1)
+        rest[chosen] = -9
+        chosen.append(int(np.argmax(rest)))
+    return sorted(chosen)
+
+
+@pytest.mark.parametrize("n,k,share", [(5, 4, 0.4), (8, 4, 1.0), (10, 4, 1e-9), (15, 6, 0.5), (20, 8, 0.3)])
+def test_farthest(spark, n, k, share):
+    x = np.random.default_rng(n).normal(size=(n, k))
+    assert farthest_points(list(x), share, block=3) == naive_farthest(x, share)
+
+
+def test_farthest_by_group(spark):
+    x = np.random.default_rng(1).normal(size=(12, 3))
+    df = spark.createDataFrame([(i % 2, i, x[i].tolist()) for i in range(12)] + [(0, 99, None)], "g int, id bigint, v array<double>")
+    got = sorted((r.g, r.id) for r in farthest_by_group(df, "g", "id", "v", 0.5).collect())
+    assert got == sorted((g, 2 * i + g) for g in (0, 1) for i in naive_farthest(x[g::2], 0.5))
+
+
+def test_vectors_and_summaries(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "id bigint, v array<double>")
+    N.checked_vectors(df, "v", 2)
+    N.save_vectors(df, "v", str(tmp_path / "v"))
+    for bad, n in ((df.unionByName(spark.createDataFrame([(3, [1.0])], df.schema)), None), (df.unionByName(spark.createDataFrame([(3, None)], df.schema)), None), (df, 3)):
+        with pytest.raises(ValueError):
+            N.checked_vectors(bad, "v", n)
+    with pytest.raises(ValueError):
+        N.same_columns(df.withColumn("w", F.lit(1)), "id", "w")
+    model = N.Regressor.new(3, 4, 2)
+    N.save(model, spark, str(tmp_path / "m"), epoch=3)
+    again, info = N.load(spark, str(tmp_path / "m"))
+    assert info == {"epoch": 3} and np.allclose(again(np.ones((1, 3))), model(np.ones((1, 3))))
+    losses = spark.createDataFrame([("a", 0, 0.5), ("a", 1, 0.2), ("a", 2, 0.2)], "variant string, epoch int, loss double")
+    assert json.loads(N.best_epochs(losses).first().summary) == {"best_epoch": 1, "best_loss": 0.2, "epochs": 3}
+    paths = reports.write_summaries(spark, str(tmp_path / "run"), {"benchmark": "b", "status": "promoted"})
+    assert "benchmark: b" in "\n".join(r.value for r in spark.read.text(paths["lines"]).collect())
+    assert reports.read_runs(spark, paths["report"], "promoted").count() == 1 and reports.read_runs(spark, paths["report"], "aborted").count() == 0
+    (tmp_path / "bad.json").write_text("{")
+    (tmp_path / "list.json").write_text("[]")
+    assert [reports.json_state(spark, str(tmp_path / x)) for x in ("none", "bad.json", "list.json", "run/report")] == ["missing", "unreadable", "no object", "object"]
