@@ -46,6 +46,8 @@ _BARE = re.compile(r"[^\W\d_]{2,}(?![.\w])")
 _ORDINALS = frozenset({"de", None})
 _OPENERS = re.compile(r"[\s“„«「『‘(（\[《【\"'¿¡]*")
 _LAST = re.compile(r"\S+$")
+_SIGN = re.compile(f"[{_CJK}]")
+_NUMBER, _CODED = re.compile(r"[\d.,:/-]+"), re.compile(r"[\d_/]")
 
 
 def blocks(text: str) -> list[tuple[int, int, int]]:
@@ -98,12 +100,13 @@ def _before(text: str, start: int, at: int) -> str:
     token = m.group().lstrip("\"'“„«‘([（「¿¡") if m else ""
     if _THAI.match(token[-1:]):
         return token[-4:]
-    token = re.split(rf"[{_CJK}]", token)[-1]
+    if not token.isascii():
+        token = _SIGN.split(token)[-1]
     if not token:
         return "<none>"
-    if re.fullmatch(r"[\d.,:/-]+", token):
+    if _NUMBER.fullmatch(token):
         return "<number>"
-    if re.search(r"\d", token) or "_" in token or "/" in token:
+    if _CODED.search(token):
         return "<code>"
     return token
 
@@ -130,6 +133,7 @@ class BoundaryModel:
         self.starts, self.inside, self.follows = Counter(), Counter(), Counter()
         self.bare: Counter = Counter()  # words without a stop after them: abbreviations hardly ever stand so
         self.weights: np.ndarray | None = None
+        self.asked: dict[tuple[str, str], bool] = {}
         edges: list[tuple[str, str]] = []
         middle: list[tuple[str, str]] = []
         for text in texts:
@@ -232,6 +236,15 @@ class BoundaryModel:
         self.weights = w
 
     def boundary(self, before: str, after: str) -> bool:
+        """Whether a stop between two tokens ends a sentence; what was asked before is known."""
+        known = self.asked.get((before, after))
+        if known is None:
+            if len(self.asked) >= 500_000:
+                self.asked.clear()
+            known = self.asked[before, after] = self._boundary(before, after)
+        return known
+
+    def _boundary(self, before: str, after: str) -> bool:
         if before.isalpha() and len(before) >= 2 and after[:1].isupper():
             stopped = self.before_any[before]
             # a word that also stands without a stop, or a rare long one, is no abbreviation
@@ -305,7 +318,7 @@ def units(text: str, model: BoundaryModel) -> list[tuple[int, int]]:
                 after = _after(text, space, end)
                 odds = model.start_odds(after)
                 # without a space: in a script that has none, or where two texts were joined
-                script = re.match(rf"[{_CJK}]", text[space]) or space == at and inside[-1] in "。！？"
+                script = _SIGN.match(text[space]) or space == at and inside[-1] in "。！？"
                 if not script and space == at and not after[:1].isupper():
                     cut = False
                 elif after[:1].islower():
@@ -337,7 +350,7 @@ def units(text: str, model: BoundaryModel) -> list[tuple[int, int]]:
                 space += 1
             if space >= end:
                 break
-            follows_cjk = bool(re.match(rf"[{_CJK}]", text[space]))
+            follows_cjk = bool(_SIGN.match(text[space]))
             after = _after(text, space, end)
             if sign[-1] in "。！？।॥｡":
                 cut = True
