@@ -98,7 +98,10 @@ def shingle_hashes(h: np.ndarray) -> np.ndarray:
 class Filter:
     """A set of 64-bit hashes as bits: it holds all of them, and few others (about one in 400)."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray | None, made: tuple[int, np.ndarray] | None = None):
+        if made is not None:
+            self.size, self.bits = made
+            return
         self.size = max(16, int(len(hashes) * 16 - 1).bit_length()) if len(hashes) else 16
         self.bits = np.zeros(1 << (self.size - 3), np.uint8)
         for at in self._places(hashes.astype(np.int64)):
@@ -209,10 +212,11 @@ CHUNK = 100_000
 def hits(documents: DataFrame, of_items: Filter | None, of_own: Filter | None, least: int) -> DataFrame:
     """One pass over the documents. kind 'd': documents that items' shingles and own words stand in, these, the places of the shingles, and the words around them; kind 'n': how many documents have a shingle, part by part."""
     spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast((of_items, of_own))
+    # plain arrays: a class of ours could not be read where the package is not installed
+    sent = spark.sparkContext.broadcast([f and (f.size, f.bits) for f in (of_items, of_own)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of_items, of_own = sent.value
+        of_items, of_own = (made and Filter(None, made) for made in sent.value)
         part, number = TaskContext.get().partitionId(), 0
         known: dict[str, int] = {}
         counts: Counter = Counter()
