@@ -23,10 +23,13 @@ def test_broken_files(tmp_path):
     path = str(tmp_path / "x")
     write_file(path, [{"id": [1]}])
     whole = open(path, "rb").read()
-    for cut in (5, len(whole) - 2):
+    for cut in (5, len(whole) - 5):
         open(path, "wb").write(whole[:cut])
         with pytest.raises(EOFError):
             list(frames(path))
+    # the last checksum may be short
+    open(path, "wb").write(whole[:-2])
+    assert len(list(frames(path))) == 1 and len(list(frames(whole))) == 1
     assert example(memoryview(b"")) == {}
     assert example(memoryview(encode({"a": [1], "b": ["x"]})), {"b"}) == {"b": [b"x"]}
 
