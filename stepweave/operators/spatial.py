@@ -26,10 +26,15 @@ def nearest(nodes: Column, x: Column, y: Column) -> Column:
     return F.array_min(F.transform(pool, lambda n: F.struct(gap(n).alias("distance"), n["pos"].alias("pos"), n["label"].alias("label"))))
 
 
+def label_of(text: Column, description: Column, view_id: Column) -> Column:
+    """A node's text, else its description, else its id's leaf."""
+    return F.coalesce(clean(text), clean(description), view_id_leaf(view_id))
+
+
 def with_boxes(nodes: DataFrame) -> DataFrame:
-    """Flat nodes with box parsed, and label: text, else description, else the id's leaf."""
+    """Flat nodes with box parsed, and label."""
     box = F.from_json("bbox", BOX)
-    label = F.coalesce(clean(F.col("text")), clean(F.col("content_description")), view_id_leaf(F.col("view_id_resource_name")))
+    label = label_of(F.col("text"), F.col("content_description"), F.col("view_id_resource_name"))
     return nodes.withColumn("box", F.when(box["r"].isNotNull() & box["l"].isNotNull() & box["t"].isNotNull() & box["b"].isNotNull(), box)).withColumn("label", label)
 
 
@@ -37,12 +42,15 @@ def bind_points(points: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFra
     """Each point (keys, point_id, x, y) with the smallest box of its screen that holds it: area, label, node_no; null without one.
 
     The screen's keys bring point and nodes together, so that only one screen's nodes are
-    compared; the best is an aggregate, which is combined before the shuffle.
+    compared; the best is an aggregate, which is combined before the shuffle, and only its
+    label is made. nodes: flat nodes with their leaves as text.
     """
-    boxes = nodes.where("box is not null").select(*keys, "window_no", "node_no", "box", "label", F.coalesce(F.expr("try_cast(depth as int)"), F.lit(0)).alias("depth"))
+    box = F.from_json("bbox", BOX)
+    said = ("text", "content_description", "view_id_resource_name")
+    boxes = nodes.select(*keys, "window_no", "node_no", box.alias("box"), F.coalesce(F.expr("try_cast(depth as int)"), F.lit(0)).alias("depth"), *said).where("box.l is not null and box.t is not null and box.r is not null and box.b is not null")
     inside = points.join(boxes, keys).where(contains(F.col("box"), F.col("x"), F.col("y")))
-    best = inside.groupBy("point_id").agg(F.min(F.struct(area(F.col("box")).alias("area"), (-F.col("depth")).alias("d"), "window_no", "node_no", "label")).alias("best"))
-    return points.join(best, "point_id", "left").select("point_id", *keys, "x", "y", F.col("best.area").alias("area"), F.col("best.label").alias("label"), F.col("best.node_no").alias("node_no"))
+    best = inside.groupBy("point_id").agg(F.min(F.struct(area(F.col("box")).alias("area"), (-F.col("depth")).alias("d"), "window_no", "node_no", *said)).alias("best"))
+    return points.join(best, "point_id", "left").select("point_id", *keys, "x", "y", F.col("best.area").alias("area"), label_of(*[F.col(f"best.{k}") for k in said]).alias("label"), F.col("best.node_no").alias("node_no"))
 
 
 def candidates(nodes: DataFrame, most: int = 128, stored: int = 192, screens: DataFrame | None = None) -> DataFrame:

@@ -256,9 +256,8 @@ def bound_clicks(spark: SparkSession, root: str) -> DataFrame:
     keys = records.select("record_id", F.explode("episode_id").alias("episode")).distinct()
     clicks = _typed(spark, root).where("action.x is not null and dataset = 'AndroidControl'").select(F.col("step_id").alias("point_id"), "step_index", F.expr("try_cast(episode_id as bigint)").alias("episode"), F.col("action.x").alias("x"), F.col("action.y").alias("y"))
     points = clicks.join(keys, "episode").groupBy("point_id", "step_index", "x", "y").agg(F.min("record_id").alias("record_id"))
-    # only records that clicks fall on are shredded, and of their nodes only what a box and a label need
-    hit = records.join(points.select("record_id").distinct(), "record_id", "left_semi")
-    nodes = P.with_boxes(ui_nodes(hit, leaves=("bbox", "text", "content_description", "view_id_resource_name", "depth")))
+    # trees are shredded where they lie; what is shuffled are the boxes and what a label needs
+    nodes = ui_nodes(records, leaves=("bbox", "text", "content_description", "view_id_resource_name", "depth"))
     return P.bind_points(points, nodes, ["record_id", "step_index"])
 
 
