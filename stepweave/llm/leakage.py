@@ -45,6 +45,8 @@ SHINGLE, LEAST, PIECES = 3, 1 / 3, 2
 OWN_ITEMS, OWN_WORDS, OWN_SHARE = 1, 2, 0.6
 #: Items that begin with the same whole sentence: from so many on it is a stock opening.
 STOCK_ITEMS = 3
+#: A shingle that an item has more often begins only runs that no other goes on to.
+REPEATED = 4
 #: Words between two runs of a piece, and signs of a script without spaces; words around shingles that travel with them.
 GAP, GAP_SIGNS, AROUND = 2, 4, 8
 #: Most shingles of items for which a filter is made (8 MB of bits).
@@ -311,19 +313,44 @@ def _onward(item: list[str], doc: list[str], k: int, p: int) -> list[tuple[int,
 
 
 def runs(item: list[str], places: dict[int, list[int]], shingles: list[int], at: list[int], doc: list[str], start: int) -> list[tuple[int, int, int]]:
-    """Equal runs (k in the item, p in the part, length) of at least SHINGLE words: shingles of one diagonal that follow each other."""
+    """Equal runs (k in the item, p in the part, length) of at least SHINGLE words: shingles of one diagonal that follow each other.
+
+    A shingle that the item has more than REPEATED times goes on with the runs that reach
+    it; only where none does it begins one, at its first place in the item.
+    """
     latest: dict[int, list[int]] = {}
+    active: list[list[int]] = []  # runs that the shingle before belongs to
     out: list[list[int]] = []
+    before = -2
+
+    def begin(k: int, p: int) -> list[int] | None:
+        if doc[p : p + SHINGLE] != item[k : k + SHINGLE]:
+            return None
+        run = latest[p - k] = [k, p, SHINGLE]
+        out.append(run)
+        return run
+
     for s, p in zip(shingles, at):
-        for k in places.get(s, ()):
-            p_here = p - start
-            run = latest.get(p_here - k)
-            if run and run[1] + run[2] >= p_here + SHINGLE - 1:
-                run[2] = p_here + SHINGLE - run[1]
-            elif doc[p_here : p_here + SHINGLE] == item[k : k + SHINGLE]:
-                run = [k, p_here, SHINGLE]
-                latest[p_here - k] = run
-                out.append(run)
+        p -= start
+        active, before = active if p == before + 1 else [], p
+        ks = places.get(s, ())
+        here: list[list[int]] = []
+        if len(ks) > REPEATED:
+            for run in active:
+                k = run[0] + p - run[1]
+                if k + SHINGLE <= len(item) and item[k + SHINGLE - 1] == doc[p + SHINGLE - 1]:
+                    run[2] += 1
+                    here.append(run)
+            ks = () if here else ks[:1]
+        for k in ks:
+            run = latest.get(p - k)
+            if run and run[1] + run[2] >= p + SHINGLE - 1:
+                run[2] = p + SHINGLE - run[1]
+            else:
+                run = begin(k, p)
+            if run:
+                here.append(run)
+        active = here
     return [tuple(r) for r in out]
 
 
@@ -335,11 +362,12 @@ def pieces(item: list[str], own: set[str], places: dict[int, list[int]], shingle
         begin = bisect_right(at, start - 1)
         end = bisect_right(at, starts[n + 1] - 1) if n + 1 < len(starts) else len(at)
         doc = part.split(" ")
+        reverse = doc[::-1]
         done: set[tuple[int, int]] = set()
         for k, p, size in sorted(runs(item, places, shingles[begin:end], at[begin:end], doc, start), key=lambda r: (-r[2], r[1])):
             if (k, p) in done:
                 continue
-            back = [(len(item) - x - z, len(doc) - y - z, z) for x, y, z in _onward(backwards, doc[::-1], len(item) - k, len(doc) - p)]
+            back = [(len(item) - x - z, len(doc) - y - z, z) for x, y, z in _onward(backwards, reverse, len(item) - k, len(doc) - p)]
             blocks = [*back[::-1], (k, p, size), *_onward(item, doc, k + size, p + size)]
             done.update((x + i, y + i) for x, y, z in blocks for i in range(z))
             matched = [x + i for x, _, z in blocks for i in range(z)]

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -258,25 +259,34 @@ class BoundaryModel:
         return float(np.dot(self.features(before, after), self.weights)) > 0
 
 
-def _closing(text: str, at: int, end: int) -> int:
-    """Where the quote or bracket opened at `at` closes, or -1."""
-    opened = text[at]
-    shut = _OPEN[opened]
-    if opened in "\"'‘":
-        if opened in "'‘" and (at and (text[at - 1].isalnum() or text[at - 1] in "’'") or not text[at + 1 : at + 2].strip()):
-            return -1
-        i = at + 1
-        while 0 <= (i := min((j for c in shut if (j := text.find(c, i, end)) >= 0), default=-1)):
-            if opened == '"' or not text[i + 1 : i + 2].isalnum():
-                return i
-            i += 1
-        return -1
-    depth = 0
-    for m in _SHUTS[opened].finditer(text, at, end):
-        depth += 1 if m.group() == opened else -1
-        if not depth:
-            return m.start()
-    return -1
+class _Closings:
+    """Where the quotes and brackets of a block close, each kind looked for once."""
+
+    def __init__(self, text: str, begin: int, end: int):
+        self.text, self.begin, self.end = text, begin, end
+        self.brackets: dict[str, dict[int, int]] = {}
+        self.quotes: dict[str, list[int]] = {}
+
+    def of(self, at: int) -> int:
+        """The place that closes what opens at a place, or -1."""
+        text, opened = self.text, self.text[at]
+        if opened in "\"'‘":
+            if opened in "'‘" and (at and (text[at - 1].isalnum() or text[at - 1] in "’'") or not text[at + 1 : at + 2].strip()):
+                return -1
+            if opened not in self.quotes:
+                # a single quote before a letter is an apostrophe
+                self.quotes[opened] = [m.start() for m in re.finditer(f"[{_OPEN[opened]}]", text[self.begin : self.end]) if opened == '"' or not text[self.begin + m.end() : self.begin + m.end() + 1].isalnum()]
+            found = self.quotes[opened]
+            i = bisect_left(found, at + 1 - self.begin)
+            return found[i] + self.begin if i < len(found) else -1
+        if opened not in self.brackets:
+            closes, stack = self.brackets.setdefault(opened, {}), []
+            for m in _SHUTS[opened].finditer(text, self.begin, self.end):
+                if m.group() == opened:
+                    stack.append(m.start())
+                elif stack:
+                    closes[stack.pop()] = m.start()
+        return self.brackets[opened].get(at, -1)
 
 
 def units(text: str, model: BoundaryModel) -> list[tuple[int, int]]:
@@ -296,11 +306,12 @@ def units(text: str, model: BoundaryModel) -> list[tuple[int, int]]:
         if bare[:1] == "{" and bare[-1:] == "}" or bare[:1] == "#":
             add(begin, end)
             continue
+        closings = _Closings(text, begin, end)
         start, said, at = begin, inner, inner  # start of the unit, of its words, and of what is unread
         while m := _WATCH.search(text, at, end):
             sign, at = m.group(), m.end()
             if sign[0] in _OPEN:
-                close = _closing(text, m.start(), end)
+                close = closings.of(m.start())
                 if close < 0:
                     continue
                 at = close + 1

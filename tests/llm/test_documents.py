@@ -98,6 +98,15 @@ def test_pieces_far_apart_and_swapped(spark):
     assert leaked(spark, [far, " ".join(words[20:28])]) == {(0, 1)}
 
 
+def test_repeated_words(spark):
+    """Texts of one word, and brackets and quotes that never close, take time in proportion to their length."""
+    again, signs = "la " * 100_000, "日本語" * 30_000
+    assert leaked(spark, [again, signs, "la la la la"], [(1, "la " * 300), (2, "日本語" * 100)]) == {(0, 1), (1, 2)}
+    model = sentences.BoundaryModel(CORPUS)
+    for text in ('("' * 30_000, " 'a" * 30_000, '"' * 50_000, "(" * 50_000):
+        assert sentences.units(text, model)
+
+
 def test_filter():
     import numpy as np
 
@@ -179,6 +188,15 @@ def test_same_task(a, b, same):
     assert (n == m and overlap.aligned(y, x) is not None) == same
 
 
+def test_very_long_goals(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    long, other = " ".join(words[:2000]), " ".join(words[1990:])
+    rows = [("a", "train", long, "s"), ("b", "test", long.replace(words[7], words[7][1:]), "s"), ("c", "test", other, "s"), ("d", "train", "x" * 100_000, "s"), ("e", "test", "X" * 100_000 + "!", "s"), ("f", "test", "x" * 99_999, "s"), (None, "test", long, "s"), ("g", None, long, "s")]
+    got = {(r.episode_a, r.episode_b) for r in overlap.found(spark.createDataFrame(rows, "episode_id string, split string, goal string, source string")).collect()}
+    assert got == {("a", "b"), ("d", "e")}
+
+
 def test_winnowing():
     assert overlap.fingerprints("ab") == ["^ab$"] and len(overlap.fingerprints("monday")) == 1
     whole = overlap.fingerprints("donaudampfschifffahrt")
