@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Callable, Mapping
+
+import numpy as np
 
 TERMINATORS = ".!?。！？…｡।॥‽"
 CLOSERS = "\"'”’»›)]}」』】）》〉*_`“"
@@ -123,69 +126,84 @@ def segments(text: str) -> list[str]:
     return [s for s in (x.strip() for x in _SEGMENT.findall(_TAGS.sub("\n", text))) if s]
 
 
+#: Texts to which the least numbers of TerminalContexts refer.
+PER = 20_000
+
+
 class TerminalContexts:
-    """How segments that begin alike end in a sample of texts.
+    """How segments that begin alike end in a body of texts.
 
     For each opening (first two words) it counts the segments with and without a
     terminator, and the last words of those without. A text that ends openly is complete if
     its opening mostly has no terminator and its last word, names and numbers masked, ended
     at least two other such segments or is a word known from elsewhere. A text of one or two
     words is complete if it stands alone at least five times and more often than it goes on.
+    These numbers are rates per PER texts, as among more texts each loss occurs again.
     """
 
     def __init__(self, texts: list[str]):
-        self.closed: Counter = Counter()
-        self.open: Counter = Counter()
-        self.last: dict = defaultdict(Counter)
-        self.known: Counter = Counter()
-        self.whole: Counter = Counter()
-        self.begun: Counter = Counter()
+        self.counts: Counter = Counter()
+        self.scale = self.scaled(sum(bool(t and t.strip()) for t in texts))
         for text in texts:
             if not text or ending(text) == "broken":
                 continue
             for s in segments(text):
-                w = words(s)
-                if not w:
-                    continue
-                key = self._opening(w)
-                if len(w) <= 3:
-                    self.whole[tuple(w)] += 1
-                for k in range(1, min(len(w), 4)):
-                    self.begun[tuple(w[:k])] += 1
-                if w[-1] in TERMINATORS:
-                    self.closed[key] += 1
-                    self.known.update(set(w[:-1]))
-                else:
-                    self.open[key] += 1
-                    self.last[key][_mask(w[-1])] += 1
-                    self.known.update(set(w[:-1]))
+                self.counts.update(self.counted(words(s)))
 
     @staticmethod
-    def _opening(w: list[str]) -> tuple[str, ...]:
+    def scaled(texts: int) -> float:
+        """What the least numbers are multiplied by, for so many texts."""
+        return max(1.0, texts / PER)
+
+    @staticmethod
+    def _opening(w: list[str]) -> str:
         if _SPACELESS.match(w[0]):
-            return tuple(w[:3])
-        return (w[0].lower(), _mask(w[1]) if len(w) > 1 else "")
+            return " ".join(w[:3])
+        return f"{w[0].lower()} {_mask(w[1]) if len(w) > 1 else ''}"
 
-    def complete(self, text: str) -> bool:
-        found = segments(text)
-        w = words(found[-1]) if found else []
+    @classmethod
+    def counted(cls, w: list[str]) -> list[str]:
+        """What a segment of these words is counted as; words hold no spaces."""
+        if not w:
+            return []
+        key = cls._opening(w)
+        out = [f"known {x}" for x in set(w[:-1])] + [f"begun {' '.join(w[:k])}" for k in range(1, min(len(w), 4))]
+        if len(w) <= 3:
+            out.append(f"whole {' '.join(w)}")
+        return out + ([f"closed {key}"] if w[-1] in TERMINATORS else [f"open {key}", f"last {_mask(w[-1])} {key}"])
+
+    @classmethod
+    def asked(cls, w: list[str]) -> list[str]:
+        """The counts that ended() needs for these words."""
+        key = cls._opening(w) if w else ""
+        return [f"whole {' '.join(w)}", f"begun {' '.join(w)}", f"known {w[-1]}", f"open {key}", f"closed {key}", f"last {_mask(w[-1])} {key}"] if w else []
+
+    @classmethod
+    def ended(cls, w: list[str], counts: Mapping[str, int], scale: float) -> bool:
+        """Whether a text is complete whose last segment has these words."""
         if not w:
             return True
+        whole, begun, known, opened, closed, last = (counts.get(x, 0) for x in cls.asked(w))
         if len(w) <= 2 or _SPACELESS.match(w[0]) and len(w) <= 3:
             # it stands alone at least five times, and more often than it goes on
-            return self.whole[tuple(w)] > max(4, self.begun[tuple(w)]) and (self.known[w[-1]] > 1 or not w[-1].isalpha())
-        key = self._opening(w)
-        if self.open[key] <= self.closed[key]:
-            return self.whole[tuple(w)] > 4
-        return self.last[key][_mask(w[-1])] > 2 or self.known[w[-1]] > 1
+            return whole > max(4 * scale, begun) and (known > scale or not w[-1].isalpha())
+        if opened <= closed:
+            return whole > 4 * scale
+        return last > 2 * scale or known > scale
 
+    def complete(self, text: str) -> bool:
+        found = segments(text)
+        return self.ended(words(found[-1]) if found else [], self.counts, self.scale)
 
+
+#: Features of a text, those that add up to its length, and texts without which there is no model.
+N_FEATURES, LENGTH, LEAST_TEXTS = 13, [0, 2, 5, 6, 8, 10], 30
 _FEATURE = re.compile(r"(?P<cjk>[㐀-鿿豈-﫿])|(?P<kana>[぀-ヿ฀-๿ऀ-ॿ])|(?P<word>(?:(?![぀-ヿ㐀-鿿豈-﫿฀-๿ऀ-ॿ])[^\W\d_])+)|(?P<digits>\d+)|(?P<sign>[^\w\s]|_)|(?P<line>\n)")
 
 
 def token_features(text: str) -> list[float]:
     """Counts from which a tokenizer's length is estimated: signs by kind, words, their quarters, digits and their groups."""
-    n = [0.0] * 13
+    n = [0.0] * N_FEATURES
     structured = 0
     for m in _FEATURE.finditer(text):
         kind, s = m.lastgroup, m.group()
@@ -212,27 +230,37 @@ def token_features(text: str) -> list[float]:
     return n
 
 
+def token_share(expected: float, tokens: float) -> float:
+    """Tokens that a text lacks, as a share of what it should have."""
+    return (tokens - max(8.0, expected)) / max(8.0, expected)
+
+
 class TokenModel:
-    """Least squares of token counts on token_features, fitted twice: outliers of the first fit are left out of the second."""
+    """Least squares of token counts on token_features, fitted four times: outliers of a fit are left out of the next.
 
-    def __init__(self, texts: list[str], tokens: list[float]):
-        import numpy as np
+    Rows are divided by their length, in tokens or, where there is more of it, in signs and
+    parts of words: every text weighs the same, so that a few very long ones, or absurd
+    counts, decide nothing.
+    """
 
-        self.weights, self.spread = None, math.inf
-        if len(texts) < 30:
+    def __init__(self, texts: list[str], tokens: list[float]):
+        self.weights = None
+        if len(texts) < LEAST_TEXTS:
             return
         x, y = np.array([token_features(t) for t in texts]), np.array(tokens, float)
-        keep = np.ones(len(y), bool)
-        for _ in range(4):
-            w, *_ = np.linalg.lstsq(x[keep], y[keep], rcond=None)
-            error = (y - x @ w) / np.maximum(8.0, x @ w)
-            spread = max(0.01, float(np.median(np.abs(error))) * 1.4826)
-            keep = np.abs(error) < 4 * spread
-        self.weights, self.spread = w, spread
+        scaled = np.column_stack([x, y]) / np.maximum(np.maximum(8.0, y), x[:, LENGTH].sum(axis=1))[:, None]
+        error = lambda w: np.abs(y - x @ w) / np.maximum(8.0, x @ w)
+        self.fit(len(y), lambda w, most: scaled if w is None else scaled[error(w) < most], lambda w: float(np.median(error(w))))
+
+    def fit(self, n: int, factor: Callable, median: Callable) -> TokenModel:
+        """From n rows: factor(weights, most) gives the scaled rows with an error below most (all without weights), or a triangular factor of them; median(weights) that of all errors."""
+        most = None
+        for round_ in range(4):
+            r = factor(self.weights, most)
+            self.weights, *_ = np.linalg.lstsq(r[:, :-1], r[:, -1], rcond=np.finfo(float).eps * max(n, r.shape[1]))
+            most = 4 * max(0.01, median(self.weights) * 1.4826) if round_ < 3 else None
+        return self
 
     def excess(self, text: str, tokens: float) -> float:
         """Tokens that the text lacks, as a share of what it should have; 0 without a model."""
-        if self.weights is None:
-            return 0.0
-        expected = max(8.0, sum(a * b for a, b in zip(token_features(text), self.weights)))
-        return (tokens - expected) / expected
+        return 0.0 if self.weights is None else token_share(float(np.dot(token_features(text), self.weights)), tokens)

@@ -18,14 +18,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.cluster import small, spread
 from stepweave.llm.completeness import TerminalContexts, TokenModel, ending, words
+from stepweave.llm.evidence import measured, settled, shares, token_model
 from stepweave.llm.language import language
 from stepweave.llm.refusals import declines
-from stepweave.llm.truncation import fit, lost, suspect
+from stepweave.llm.truncation import lost, suspect
 
 #: A response is taken for a copy if, compressed with its prompt, it keeps no more than this share of its bytes and FRAME bytes.
 COPY_SHARE, FRAME = 0.6, 24
@@ -121,53 +122,67 @@ def is_other_language(response: str, prompt: str, goal: str | None) -> bool:
     return asked is not None and said is not None and asked != said
 
 
-def defect(prompt: str | None, goal: str | None, response: str | None, tokens: float | None, limit: float | None, tokens_model: TokenModel, contexts: TerminalContexts) -> str | None:
-    """The defect of one pair, or None."""
+def other_defect(prompt: str | None, goal: str | None, response: str | None, how: str | None) -> str | None:
+    """The defect that no model is asked for, of a response with this ending: 'empty', 'echo', 'refusal', 'other_language' or None."""
     if is_empty(response):
         return "empty"
-    tokens = float(tokens) if tokens is not None and tokens > 0 else None
-    how = ending(response)
-    if lost(response, tokens, tokens_model, how):
-        return "truncated"
     if prompt and is_echo(response, prompt, goal):
         return "echo"
     if how == "broken":
-        return "truncated"
-    if how == "open":
-        if tokens is not None and tokens_model.weights is not None:
-            cut = suspect(response, tokens, limit, tokens_model) and not contexts.complete(response)
-        else:
-            cut = not contexts.complete(response) and not is_refusal(response)
-        if cut:
-            return "truncated"
+        return None
     if is_refusal(response):
         return "refusal"
-    if prompt and is_other_language(response, prompt, goal):
-        return "other_language"
-    return None
+    return "other_language" if prompt and is_other_language(response, prompt, goal) else None
+
+
+def judged(other: str | None, how: str | None, share: float | None, tokens: float, limit: float | None) -> tuple[str | None, bool]:
+    """(the defect, whether it is 'truncated' instead unless the end is a complete one); share: of tokens that the response lacks, None if unknown."""
+    if other == "empty":
+        return other, False
+    if share is not None and lost(share, tokens, how):
+        return "truncated", False
+    if other == "echo":
+        return other, False
+    if how == "broken":
+        return "truncated", False
+    return other, how == "open" and (suspect(share, tokens, limit) if share is not None else other != "refusal")
+
+
+def defect(prompt: str | None, goal: str | None, response: str | None, tokens: float | None, limit: float | None, tokens_model: TokenModel, contexts: TerminalContexts) -> str | None:
+    """The defect of one pair, or None."""
+    how = None if is_empty(response) else ending(response)
+    known = tokens is not None and tokens > 0 and tokens_model.weights is not None and how is not None
+    found, unsure = judged(other_defect(prompt, goal, response, how), how, tokens_model.excess(response, tokens) if known else None, tokens, limit)
+    return "truncated" if unsure and not contexts.complete(response) else found
 
 
 def broken_pairs(training: DataFrame, results: DataFrame, examples: DataFrame, configs: DataFrame) -> DataFrame:
     """record_table, record_id, defect of every defective pair of training_examples and step_results."""
     limits = configs.groupBy("config_id").agg(F.max("max_new_tokens").alias("max_new_tokens"))
-    asked = examples.select("example_id", "prompt_text", "goal")
+    # the models count an answer once, with however many examples it is joined
+    asked = examples.where("example_id is not null").select("example_id", "prompt_text", "goal", (F.row_number().over(Window.partitionBy("example_id").orderBy("example_id")) == 1).alias("first"))
     # no model was asked where full_model_calls is 0
     answers = results.where("full_model_calls is null or full_model_calls <> 0").select("result_id", "example_id", "config_id", "raw_output", "generated_tokens")
-    mine = training.select(F.lit("training_examples").alias("record_table"), F.col("example_id").alias("record_id"), "prompt_text", F.lit(None).cast("string").alias("goal"), F.col("response_text").alias("response"), F.lit(None).cast("bigint").alias("tokens"), F.lit(None).cast("int").alias("most"))
+    mine = training.select(F.lit("training_examples").alias("record_table"), F.col("example_id").alias("record_id"), "prompt_text", F.lit(None).cast("string").alias("goal"), F.col("response_text").alias("text"), F.lit(None).cast("bigint").alias("tokens"), F.lit(None).cast("double").alias("most"), F.lit(True).alias("counts"))
     theirs = (
         answers.join(asked, "example_id", "left").join(small(limits), "config_id", "left")
-        .select(F.lit("step_results").alias("record_table"), F.col("result_id").alias("record_id"), "prompt_text", "goal", F.col("raw_output").alias("response"), F.col("generated_tokens").cast("bigint").alias("tokens"), F.col("max_new_tokens").cast("int").alias("most"))
+        .select(F.lit("step_results").alias("record_table"), F.col("result_id").alias("record_id"), "prompt_text", "goal", F.col("raw_output").alias("text"), F.col("generated_tokens").cast("bigint").alias("tokens"), F.col("max_new_tokens").cast("double").alias("most"), F.coalesce("first", F.lit(True)).alias("counts"))
     )
-    sample = answers.select(F.col("result_id").alias("id"), F.col("raw_output").alias("text"), F.col("generated_tokens").cast("bigint").alias("tokens")).where("text is not null")
-    other = training.select(F.col("example_id").alias("id"), F.col("response_text").alias("text"), F.lit(None).cast("bigint").alias("tokens")).where("text is not null")
-    tokens_model, contexts = fit(other.unionByName(sample))
+
+    def others(b: pd.DataFrame, hows: list) -> dict:
+        none = lambda column: [None if pd.isna(x) else x for x in column]
+        return {"other": pd.Series([other_defect(*x) for x in zip(none(b.prompt_text), none(b.goal), none(b.text), hows)], dtype=object, index=b.index)}
+
+    kept = "record_table string, record_id bigint, most double, other string"
+    parts = [measured(spread(mine), kept, others), measured(theirs, kept, others)]
+    texts = parts[0].unionByName(parts[1])
+    weights = token_model(texts).weights
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            none = lambda column: [None if pd.isna(x) else x for x in column]
-            found = pd.Series([defect(*x, tokens_model, contexts) for x in zip(none(b.prompt_text), none(b.goal), none(b.response), none(b.tokens), none(b.most))], dtype=object, index=b.index)
-            hit = found.notna()
-            yield pd.DataFrame({"record_table": b.record_table[hit], "record_id": b.record_id[hit], "defect": found[hit]})
+            most = [None if pd.isna(x) else x for x in b.most]
+            found = [judged(*x) for x in zip(b.other, b.how, shares(b, weights), b.tokens, most)]
+            yield b[["record_table", "record_id", "last"]].assign(defect=pd.Series([x for x, _ in found], dtype=object, index=b.index), unsure=[x for _, x in found])
 
-    schema = "record_table string, record_id bigint, defect string"
-    return spread(mine).mapInPandas(run, schema).unionByName(theirs.mapInPandas(run, schema))
+    rows = texts.where("segment is null").mapInPandas(run, "record_table string, record_id bigint, last string, defect string, unsure boolean").where("unsure or defect is not null")
+    return settled(texts, rows, "defect", "truncated").where("defect is not null")

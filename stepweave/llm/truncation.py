@@ -45,18 +45,14 @@ def fit(texts: DataFrame) -> tuple[TokenModel, TerminalContexts]:
     return TokenModel([t for t, _ in done], [n for _, n in done]), TerminalContexts([r.text for r in rows])
 
 
-def lost(text: str, tokens: float | None, tokens_model: TokenModel, how: str, at_length: bool = False) -> bool:
+def lost(share: float, tokens: float, how: str, at_length: bool = False) -> bool:
     """Whether the model wrote more tokens than the text holds; an open text of the longest length needs half the excess."""
-    if tokens is None or tokens_model.weights is None:
-        return False
-    share = tokens_model.excess(text, tokens)
     most, least = LACK[how]
     return share > (most / 2 if at_length and how == "open" else most) and share * tokens / (1 + share) >= least
 
 
-def suspect(text: str, tokens: float, limit: float | None, tokens_model: TokenModel) -> bool:
+def suspect(share: float, tokens: float, limit: float | None) -> bool:
     """Whether an open ending needs its context to be called complete."""
-    share = tokens_model.excess(text, tokens)
     return limit is not None and tokens >= limit or share > SUSPECT[0] and share * tokens / (1 + share) >= SUSPECT[1]
 
 
@@ -68,12 +64,14 @@ def cut_reason(text: str | None, tokens: float | None, limit: float | None, at_l
     how = ending(text)
     if how == "broken":
         return "structure"
-    if lost(text, tokens, tokens_model, how, at_length):
+    known = tokens is not None and tokens_model.weights is not None
+    share = tokens_model.excess(text, tokens) if known else 0.0
+    if known and lost(share, tokens, how, at_length):
         return "tokens"
     if how == "closed":
         return None
-    if tokens is not None and tokens_model.weights is not None:
-        doubt = "limit" if suspect(text, tokens, limit, tokens_model) else "context" if steady else None
+    if known:
+        doubt = "limit" if suspect(share, tokens, limit) else "context" if steady else None
         return doubt if doubt and not contexts.complete(text) else None
     if at_length:
         return "limit"
