@@ -2,9 +2,9 @@
 
 Evidence, in this order: something is still open for the stack automaton; the count of
 generated tokens exceeds what the text can hold, by a model of token counts fitted on
-complete rows; the text ends openly (no terminator) at the permitted number of tokens, or,
+all complete rows; the text ends openly (no terminator) at the permitted number of tokens, or,
 where tokens are unknown, at the longest length of its source, or in a context in which
-texts of the sample do not end. Each source has a baseline, the share of its texts that end
+texts of the table do not end. Each source has a baseline, the share of its texts that end
 with a terminator or closing sign: where nearly all do, a missing one is judged by its
 context even if the tokens tell nothing.
 
@@ -23,10 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.cluster import small, spread
-from stepweave.llm.completeness import CLOSERS, TERMINATORS, TerminalContexts, TokenModel, ending
+from stepweave.llm.completeness import CLOSERS, TERMINATORS
+from stepweave.llm.evidence import measured, settled, shares, token_model
 
-#: Rows, and characters of each, on which the two models are fitted; all rows are judged.
-MODEL_ROWS, MODEL_CHARS = 20_000, 4_000
 #: Share of tokens, and tokens, that a text may lack: with a closed ending, and with an open one, which is evidence itself.
 #: From this share and number of lacking tokens on the context of an open ending decides, as it does at the permitted number of tokens.
 SUSPECT = (0.06, 4)
@@ -38,13 +37,6 @@ LACK = {"closed": (0.3, 8), "open": (0.12, 3), "broken": (0.3, 8)}
 _ENDED = "[" + re.escape(TERMINATORS + CLOSERS + ">}])") + "]$"
 
 
-def fit(texts: DataFrame) -> tuple[TokenModel, TerminalContexts]:
-    """The models, from the MODEL_ROWS rows (id, text, tokens) with the smallest hashed id."""
-    rows = texts.where((F.length("text") <= MODEL_CHARS) & (F.trim("text") != "")).orderBy(F.xxhash64("id"), "id").limit(MODEL_ROWS).collect()
-    done = [(r.text, r.tokens) for r in rows if r.tokens and r.tokens > 0 and ending(r.text) == "closed"]
-    return TokenModel([t for t, _ in done], [n for _, n in done]), TerminalContexts([r.text for r in rows])
-
-
 def lost(share: float, tokens: float, how: str, at_length: bool = False) -> bool:
     """Whether the model wrote more tokens than the text holds; an open text of the longest length needs half the excess."""
     most, least = LACK[how]
@@ -56,26 +48,20 @@ def suspect(share: float, tokens: float, limit: float | None) -> bool:
     return limit is not None and tokens >= limit or share > SUSPECT[0] and share * tokens / (1 + share) >= SUSPECT[1]
 
 
-def cut_reason(text: str | None, tokens: float | None, limit: float | None, at_length: bool, tokens_model: TokenModel, contexts: TerminalContexts, steady: bool = False) -> str | None:
-    """'structure', 'tokens', 'limit' or 'context' for a truncated text, None for a complete one."""
-    if text is None or not text.strip():
-        return None
-    tokens = float(tokens) if tokens is not None and tokens > 0 else None
-    how = ending(text)
+def cut_reason(how: str | None, share: float | None, tokens: float, limit: float | None, at_length: bool, steady: bool = False) -> tuple[str | None, bool]:
+    """('structure', 'tokens', 'limit' or 'context' for a truncated text, None for a complete one; whether it is complete too if its context is that of an end). share: of tokens that it lacks, None if unknown."""
+    if how is None:
+        return None, False
     if how == "broken":
-        return "structure"
-    known = tokens is not None and tokens_model.weights is not None
-    share = tokens_model.excess(text, tokens) if known else 0.0
-    if known and lost(share, tokens, how, at_length):
-        return "tokens"
+        return "structure", False
+    if share is not None and lost(share, tokens, how, at_length):
+        return "tokens", False
     if how == "closed":
-        return None
-    if known:
+        return None, False
+    if share is not None:
         doubt = "limit" if suspect(share, tokens, limit) else "context" if steady else None
-        return doubt if doubt and not contexts.complete(text) else None
-    if at_length:
-        return "limit"
-    return None if contexts.complete(text) else "context"
+        return doubt, doubt is not None
+    return ("limit", False) if at_length else ("context", True)
 
 
 def truncated_outputs(results: DataFrame, configs: DataFrame) -> DataFrame:
@@ -88,17 +74,20 @@ def truncated_outputs(results: DataFrame, configs: DataFrame) -> DataFrame:
         lengths.groupBy("source").agg(F.max("chars").alias("most_chars"), F.max_by("n", F.struct("chars", "n")).alias("n_chars"), F.max("bytes").alias("most_bytes"), F.max_by("n", F.struct("bytes", "n")).alias("n_bytes"), (F.sum("ended") / F.sum("n")).alias("ended"), F.sum("n").alias("n"))
         .select(F.col("source").alias("of"), F.when(F.col("n_chars") >= 3, F.col("most_chars")).alias("most_chars"), F.when(F.col("n_bytes") >= 3, F.col("most_bytes")).alias("most_bytes"), ((F.col("ended") >= STEADY) & (F.col("n") >= STEADY_ROWS)).alias("steady"))
     )
-    tokens_model, contexts = fit(texts.select(F.col("result_id").alias("id"), F.col("raw_output").alias("text"), F.col("generated_tokens").alias("tokens")))
     rows = texts.join(small(limits), "config_id", "left").join(longest, F.col("source").eqNullSafe(F.col("of")), "left")
-    rows = rows.select("result_id", "source", "raw_output", "generated_tokens", "max_new_tokens", (F.coalesce(F.length("raw_output") == F.col("most_chars"), F.lit(False)) | F.coalesce(F.octet_length("raw_output") > F.col("most_bytes") - 4, F.lit(False))).alias("at_length"), F.coalesce("steady", F.lit(False)).alias("steady"))
+    at_length = F.coalesce(F.length("raw_output") == F.col("most_chars"), F.lit(False)) | F.coalesce(F.octet_length("raw_output") > F.col("most_bytes") - 4, F.lit(False))
+    rows = rows.select("result_id", "source", F.col("raw_output").alias("text"), F.col("generated_tokens").alias("tokens"), F.col("max_new_tokens").cast("double").alias("most"), at_length.alias("at_length"), F.coalesce("steady", F.lit(False)).alias("steady"), F.lit(True).alias("counts"))
+    read = measured(rows, "result_id bigint, source string, most double, at_length boolean, steady boolean")
+    weights = token_model(read).weights
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            none = lambda column: [None if pd.isna(x) else x for x in column]
-            cuts = [cut_reason(t, n, m, bool(a), tokens_model, contexts, bool(s)) for t, n, m, a, s in zip(b.raw_output, none(b.generated_tokens), none(b.max_new_tokens), b.at_length, b.steady)]
-            yield pd.DataFrame({"result_id": b.result_id, "source": b.source, "cut": pd.Series(cuts, dtype=object, index=b.index)})
+            most = [None if pd.isna(x) else x for x in b.most]
+            found = [cut_reason(*x) for x in zip(b.how, shares(b, weights), b.tokens, most, b.at_length, b.steady)]
+            yield b[["result_id", "source", "last"]].assign(cut=pd.Series([x for x, _ in found], dtype=object, index=b.index), unsure=[x for _, x in found])
 
-    return rows.mapInPandas(run, "result_id bigint, source string, cut string")
+    judged = read.where("segment is null").mapInPandas(run, "result_id bigint, source string, last string, cut string, unsure boolean")
+    return settled(read, judged, "cut", None)
 
 
 def rates(judged: DataFrame) -> DataFrame:

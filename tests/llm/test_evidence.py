@@ -3,6 +3,7 @@ import random
 from stepweave.llm.completeness import TerminalContexts, TokenModel, segments, words
 from stepweave.llm.evidence import complete_ends, measured, token_model
 from stepweave.llm.pairs import broken_pairs
+from stepweave.llm.truncation import truncated_outputs
 
 OPEN = "I will tap the map pin next"
 LONG = "The keyboard is up and the field is focused. " * 100 + "\n" + OPEN
@@ -50,3 +51,16 @@ def test_ends_are_rates():
     few, many = TerminalContexts([whole] * 20_000 + [cut] * 2), TerminalContexts([whole] * 200_000 + [cut] * 20)
     assert not few.complete(cut) and not many.complete(cut) and not few.ended(words("The cloc"), few.counts, few.scale)
     assert few.ended(["The"], {"whole The": 5, "known The": 2}, few.scale) and not many.ended(["The"], {"whole The": 5, "known The": 2}, many.scale)
+
+
+def test_long_texts_count_for_cut_texts(spark):
+    """A long output shows how texts may end, and tokens that no text of its source needs."""
+    rows = [(i, "s", LONG, None, 1) for i in range(30)] + [(100, "s", OPEN, None, 1), (101, "s", "The keyboard is up and the fie", None, 1)]
+    rng = random.Random(7)
+    for i in range(60):
+        said = [rng.choice(["tap", "the", "button", "again", "list", "42", "Vesa"]) for _ in range(rng.randrange(1200, 2500) if i % 3 else rng.randrange(4, 40))]
+        rows.append((1000 + i, "s", " ".join(said) + ".", len(said) + 1, 1))
+    rows.append((2000, "s", "tap the button again.", 500, 1))
+    results = spark.createDataFrame(rows, "result_id bigint, source string, raw_output string, generated_tokens bigint, config_id int")
+    got = truncated_outputs(results, spark.createDataFrame([(1, 64)], "config_id int, max_new_tokens int"))
+    assert {(r.result_id, r.cut) for r in got.where("cut is not null").collect()} == {(101, "context"), (2000, "tokens")}
