@@ -5,16 +5,16 @@ numbers, and between them the roles that function words give (to, in, with, ...)
 breaks between clauses; courtesy and articles go. Goals of one sequence are one class, so
 that copies are never compared with each other.
 
-Each content word is fingerprinted by winnowing: of the rolling hashes of its runs of GRAM
-letters the smallest of every WINDOW neighbours is kept, with the word's place. Windows end
-at words, so that the order of clauses moves fingerprints but changes none. Fingerprints are
-counted over all classes; a word stands for itself by its rarest one. Classes join across
-splits on selections of RARE - SPOILT from their RARE rarest words together with all their
-numbers, so that no frequent name, app or day alone brings goals together; goals of up to
-RARE words join on their whole content, with one word left out on one side, or with one
-letter left out of one word.
-
-The shared fingerprints of a pair are its seeds: equal words are chained while they keep
+Classes that may set the same task are met over the words that a match needs, so that none
+is missed. Words are alike if a slip or two make one the other; these pairs are found over
+the letters that both have when one is left out, and over their sorted letters. Of the words
+that another goal must have, every train class asks for the one that leads to the fewest
+held-out classes, together with all its numbers; where these are more than COMMON for two of
+them together, so that no frequent name, app or day alone brings goals together. Every
+held-out class is met by all its words. (Winnowed fingerprints of words, which served here
+before, miss goals in which slips spoil several of the rarest words.)
+
+The shared words of a pair are its seeds: equal words are chained while they keep
 their order, chains are extended over spelling slips by alignment, and the pair is kept if
 the chains cover all content and every chain that stands elsewhere in the other goal is a
 clause or a phrase with the same role there: clauses may move, but names may not change
@@ -31,17 +31,20 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.cluster import cut, spread
+from stepweave.cluster import cut, small, spread
 from stepweave.functions.text import SPLITS, canonical
 
-#: Letters of a fingerprint, fingerprints of a window; rarest words of a goal, and how many of them slips may spoil.
-GRAM, WINDOW, RARE, SPOILT = 4, 8, 5, 2
+#: Letters of a fingerprint, fingerprints of a window.
+GRAM, WINDOW = 4, 8
+#: Places of a variant that lacks no letter, and of sorted letters that lack one; stands for the words of a class without any that must be met.
+WHOLE, LESS, NONE = -1, -2, ""
+#: Held-out classes to which a word may lead alone.
+COMMON = 1_000
 #: Letters of a word in which slips are looked for: a longer run of letters must be equal. Words that may be left after equal ones were matched: these, or half of the goal's.
 WORD, LEFT = 64, 12
 
@@ -339,74 +342,98 @@ def goals(episodes: DataFrame) -> DataFrame:
     return made.where("words <> ''").withColumn("side", F.when(F.col("split") == "train", "train").otherwise("held"))
 
 
-def keys(words: list[str], rare: list[str], train: bool, numbers: bool) -> list[str]:
-    """What a class joins on. words: its distinct content words without numbers; rare: the fingerprints of its rarest ones, rarest first.
+def forms(word: str) -> set[str]:
+    """What is compared of a word: itself, or an action's words, and each without letters written several times in a row."""
+    return {f for x in _SPELLINGS.get(word, [word]) for f in (x, _squeezed(x))}
 
-    Goals of RARE words or more: selections (s), and so with fewer words if numbers go with
-    them; all: the whole content (w). Of up to RARE: the content without one word on the one
-    side against the whole on the other (m, n), and the content with a letter of one word
-    left out, which two spellings of it share (d).
+
+def variants(word: str) -> set[tuple[str, int]]:
+    """(variant, place): of two words of which _same_word holds, one variant is the same, its places different or both WHOLE.
+
+    With a slip or two one form is the other, or both are the same without a letter of
+    different places (a letter put in, left out, both, or a swap); two swaps, or a swap and
+    a letter, leave the sorted letters the same, or the same without one. The place of
+    letters in a row is that of the first.
     """
-    size = max(2, min(len(rare), RARE) - SPOILT)
-    out = [f"s {'|'.join(c)}" for c in combinations(sorted(rare[:RARE]), size)] if len(words) >= RARE or numbers and len(rare) > size else []
-    words = sorted(words, key=_squeezed)
-    short = [_squeezed(w) for w in words]
-    whole = "|".join(short)
-    out.append(f"w {whole}")
-    if len(words) <= RARE:
-        out.append(f"{'m' if train else 'n'} {whole}")
-        for i, w in enumerate(words):
-            others = "|".join(short[:i] + short[i + 1 :])
-            if others:
-                out.append(f"{'n' if train else 'm'} {others}")
-            for x in _SPELLINGS.get(w, {w, short[i]}):
-                out += [f"d {others} {v}" for v in {x, *(x[:k] + x[k + 1 :] for k in range(len(x)))}] if 3 <= len(x) <= WORD else []
+    out = set()
+    for f in forms(word):
+        out.add((f, WHOLE))
+        if 3 <= len(f) <= WORD + 1:
+            out |= {(f[:k] + f[k + 1 :], k) for k in range(len(f)) if not k or f[k] != f[k - 1]}
+            if len(f) >= 6:
+                x = "".join(sorted(f))
+                out |= {(f"#{x}", WHOLE), *((f"#{x[:k]}{x[k + 1 :]}", LESS) for k in range(len(x)))}
     return out
 
 
-def class_pairs(classes: DataFrame) -> DataFrame:
+def keys(found: list[tuple[bool, int, str, list[str]]], common: int = COMMON) -> list[str]:
+    """What a train class asks for, so that every class of the same task has one of these words or pairs of words. found: (sure, classes it leads to, word, words like it) of its distinct words.
+
+    Words that are sure stand in the other goal too, or like ones: the one that leads to the
+    fewest classes is asked, or, if these are more than common, two of them together. Of
+    signs one may be left out, so that either of two is asked. A class that has neither asks
+    for all of its words and for the classes that have neither (NONE).
+    """
+    sure, signs = sorted(x for x in found if x[0]), sorted(x for x in found if _is_sign(x[2]))
+    if len(sure) > 1 and sure[0][1] > common:
+        return sorted({" ".join(sorted((x, y))) for x in sure[0][3] for y in sure[1][3]})
+    asked = sure[:1] or signs[:2] if NONE not in (x[2] for x in found) else found
+    return sorted({w for x in asked for w in x[3]})
+
+
+def class_pairs(classes: DataFrame, common: int = COMMON) -> DataFrame:
     """Pairs of different classes, one with train, one with held-out goals, that set the same task: words_a (train), words_b, numbers, coverage_a, coverage_b."""
 
-    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list[str]] = {}
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, bool] = {}
         for b in batches:
-            found = []
-            for sequence in b.words:
-                own: dict[str, list[str]] = {}
-                for w in contents(sequence)[0]:
-                    if w not in known:
-                        # a misspelt "please" is rare, but tells nothing; numbers are in every key
-                        known[w] = [] if w[0].isdigit() or _is_wording(w) else fingerprints(_squeezed(w))
-                    if known[w]:
-                        own[w] = known[w]
-                found.append([{"word": w, "print": p} for w, ps in own.items() for p in ps])
+            rows = []
+            for at, numbers, in_train, in_held, sequence in zip(b["class"], b.numbers, b.in_train, b.in_held, b.words):
+                own = {w for w in contents(sequence)[0] if not w[0].isdigit()}
+                for w in own - known.keys():
+                    # a misspelt "please" may be left out
+                    known[w] = not _is_sign(w) and not _is_wording(w)
+                if not any(known[w] for w in own) and sum(map(_is_sign, own)) < 2:
+                    own.add(NONE)
+                rows += [(at, numbers, in_train, in_held, w, w != NONE and known[w]) for w in own]
                 if len(known) > 500_000:
                     known.clear()
-            yield b[["words", "numbers", "in_train", "in_held"]].assign(prints=found)
+            yield pd.DataFrame(rows, columns=["class", "numbers", "in_train", "in_held", "word", "sure"])
 
-    def selections(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for words, numbers, in_train, in_held, found in zip(b.words, b.numbers, b.in_train, b.in_held, b.found):
-                best: dict[str, tuple[int, str]] = {}
-                for f in found:
-                    best[f["word"]] = min(best.get(f["word"], (1 << 62, "")), (f["n"], f["print"]))
-                rare = list(dict.fromkeys(p for _, p in sorted(best.values())))
-                for side, train in ((in_train, True), (in_held, False)):
-                    rows += [(k, words, numbers, train) for k in keys(list(best), rare, train, bool(numbers))] if side else []
-            yield pd.DataFrame(rows, columns=["selection", "words", "numbers", "train"]).astype({"train": bool})
-
-    schema = "words string, numbers string, in_train boolean, in_held boolean"
-    printed = cut(spread(classes).mapInPandas(prints, f"{schema}, prints array<struct<word string, print string>>"))
-    keyed = printed.select("words", "numbers", "in_train", "in_held", F.explode_outer("prints").alias("p")).select("words", "numbers", "in_train", "in_held", "p.*")
-    counts = keyed.where("print is not null").groupBy("print").agg(F.count("*").alias("n"))
-    # a class has a few fingerprints, so that its list is short
-    listed = keyed.join(counts, "print", "left").groupBy("words", "numbers", "in_train", "in_held").agg(F.collect_list(F.when(F.col("print").isNotNull(), F.struct("n", "word", "print"))).alias("found"))
-    chosen = listed.mapInPandas(selections, "selection string, words string, numbers string, train boolean").withColumn("key", F.xxhash64("selection", "numbers")).drop("selection")
-    a = chosen.where("train").select("key", F.col("words").alias("words_a"), "numbers")
-    b = chosen.where("not train").select("key", F.col("words").alias("words_b"), F.col("numbers").alias("numbers_b"))
-    # lengths bound what slips, roles and breaks can change
-    near = a.join(b, "key").where("words_a <> words_b and numbers = numbers_b and length(words_a) <= 2 * length(words_b) + 24 and length(words_b) <= 2 * length(words_a) + 24").select("words_a", "words_b", "numbers").distinct()
+            yield pd.DataFrame([(w, v, k) for w in b.word for v, k in variants(w)], columns=["word", "variant", "place"])
+
+    def like(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[_same_word(x, y) for x, y in zip(b.word, b.like)]]
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(at, numbers, w) for at, numbers, found in zip(b["class"], b.numbers, b.found) for w in keys([(x["sure"], x["n"], x["word"], list(x["like"])) for x in found], common)]
+            yield pd.DataFrame(rows, columns=["class", "numbers", "word"])
+
+    classes = classes.withColumn("class", F.xxhash64("words", "numbers"))
+    each = cut(spread(classes).mapInPandas(split, "class bigint, numbers string, in_train boolean, in_held boolean, word string, sure boolean"))
+    vocabulary = cut(each.groupBy("word").agg(F.count_if("in_held").alias("n")))
+    spelled = cut(vocabulary.select("word").mapInPandas(spell, "word string, variant string, place int").select("word", "place", F.xxhash64("variant").alias("variant")))
+    other = spelled.select(F.col("word").alias("like"), F.col("place").alias("there"), "variant")
+    near = spelled.join(other, "variant").where(f"word < like and (place <> there or place = {WHOLE})").select("word", "like").distinct().repartition(2 * classes.sparkSession.sparkContext.defaultParallelism).mapInPandas(like, "word string, like string")
+    near = cut(near)
+    near = near.unionByName(near.select(F.col("like").alias("word"), F.col("word").alias("like"))).unionByName(vocabulary.select("word", F.col("word").alias("like")))
+    near = cut(near.join(vocabulary.withColumnRenamed("word", "like"), "like").groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("like").alias("like")))
+    listed = each.where("in_train").join(near, "word").groupBy("class", "numbers").agg(F.collect_list(F.struct("sure", "n", "word", "like")).alias("found"))
+    key = F.xxhash64("word", "numbers").alias("key")
+    asked = listed.mapInPandas(ask, "class bigint, numbers string, word string").select(F.col("class").alias("class_a"), key)
+    # words like one that leads to many classes are met in pairs too
+    often = small(near.where(F.col("n") > common).select(F.explode("like").alias("word")).distinct())
+    several = each.where("in_held").join(often, "word").groupBy("class", "numbers").agg(F.collect_set("word").alias("words"))
+    pairs = several.withColumn("other", F.explode("words")).withColumn("word", F.explode("words")).where("word <= other").withColumn("word", F.concat_ws(" ", "word", "other"))
+    held = each.where("in_held").select("class", "numbers", "word").unionByName(pairs.select("class", "numbers", "word")).select(F.col("class").alias("class_b"), key)
+    met = asked.join(held, "key").where("class_a <> class_b").select("class_a", "class_b").distinct()
+    a = classes.where("in_train").select(F.col("class").alias("class_a"), F.col("words").alias("words_a"), "numbers")
+    b = classes.where("in_held").select(F.col("class").alias("class_b"), F.col("words").alias("words_b"), F.col("numbers").alias("numbers_b"))
+    near = met.join(a, "class_a").join(b, "class_b").where("words_a <> words_b and numbers = numbers_b").select("words_a", "words_b", "numbers")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
